@@ -39,7 +39,7 @@ BASES = (1103515245, 1220703125)
 #: Code points in a window of the sketch, and windows kept.
 SPAN, KEPT = 12, 64
 #: Ranges into which the ids are cut at most; a range holds about this many rows at least.
-RANGES, ROWS_IN_RANGE = 2048, 2000
+RANGES, ROWS_IN_RANGE = 1024, 2000
 
 
 @lru_cache(maxsize=8)
@@ -167,11 +167,11 @@ def likeness(a: str, b: str) -> float:
     """Of two fingerprints, from 0 to 1."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f.rpartition(".")[2]), dtype=">u8") for f in (a, b))
+    x, y = (np.frombuffer(bytes.fromhex(f.rpartition(".")[2]), dtype=">u8").astype(np.uint64) for f in (a, b))
     if not len(x) or not len(y):
         return 0.0
     both = np.union1d(x, y)[:KEPT]
-    return float(np.isin(both, x).__and__(np.isin(both, y)).sum() / len(both))
+    return float((np.isin(both, x) & np.isin(both, y)).sum() / len(both))
 
 
 def sketch_edited(a: PrefixHash, keep: int, b: PrefixHash, take: int, edited: PrefixHash) -> np.ndarray:
@@ -206,7 +206,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    found = docs.agg(F.count("*").alias("n"), F.count(doc_id).alias("with_id"), F.min(doc_id).alias("least"), F.expr(f"percentile_approx({doc_id}, transform(sequence(1, {RANGES - 1}), i -> i / {RANGES}D), {RANGES * 10})").alias("at")).first()
+    found = docs.agg(F.count("*").alias("n"), F.count(doc_id).alias("with_id"), F.min(doc_id).alias("least"), F.percentile_approx(doc_id, [i / RANGES for i in range(1, RANGES)], RANGES * 10).alias("at")).first()
     ranges = int(min(RANGES, max(1, found["n"] // ROWS_IN_RANGE)))
     at = found["at"] or []
     cuts = sorted({at[i * RANGES // ranges - 1] for i in range(1, ranges)} - {found["least"]}) if at else []
