@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "pii", "licenses", "sentencepieces", "fingerprints", "warc", "lm_scoring")
+MODULES = ("quality_rules", "pii", "licenses", "sentencepieces", "fingerprints", "warc", "lm_scoring", "ngram_join")
 
 
 def queries() -> dict:
