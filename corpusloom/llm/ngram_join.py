@@ -348,6 +348,17 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component; of rows alike in id and text one."""
+    found = similarity_classes(docs, doc_id, text, width, percent).filter(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    kept = stored(found.groupBy(F.col(doc_id).alias("_id")).agg(F.count("*").alias("_times")), "ng-kept")
+    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["_id"])).drop("_id")
+    if not kept.filter("_times > 1").limit(1).count():
+        return out.drop("_times")
+    again = out.filter("_times > 1").withColumn("_text", F.xxhash64(text)).dropDuplicates([doc_id, "_text"]).drop("_text")
+    return out.filter("_times = 1").unionByName(again).drop("_times")
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """Rows whose element at least two have."""
     met = rows.groupBy("e").agg(F.count("*").alias("k")).filter("k > 1").select("e")
