@@ -85,7 +85,7 @@ class PrefixHash:
 
     def span(self, begin: int, end: int, at: int) -> tuple[int, int]:
         """Hash of [begin, end) as if it began at ``at``, which is begin or later."""
-        return tuple(int(s[end] - s[begin]) % p * pow(b, at - begin, p) % p for s, p, b in zip(self.sums, PRIMES, BASES, strict=True))
+        return tuple((int(s[end]) - int(s[begin])) % p * pow(b, at - begin, p) % p for s, p, b in zip(self.sums, PRIMES, BASES, strict=True))
 
     def whole(self) -> tuple[int, int]:
         return int(self.sums[0][-1]), int(self.sums[1][-1])

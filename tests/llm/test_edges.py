@@ -1,0 +1,299 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import fingerprints, licenses, lm_scoring, ngram_join, pii, quality_rules, registry, sentencepieces, source_mixing, url_filters, warc
+
+PROSE = "the cat of the house and a dog that sat on the mat with the old man " * 4
+TEXTS = [
+    (1, PROSE), (2, None), (3, ""), (3, ""), (4, " \n\t "), (None, "null id here"), (None, None), (5, "x" * 30000), (6, "9" * 5000 + " 1.2.3.4"), (7, "A b c A b c A b c\nA b c\nA b c"),
+    (8, PROSE + "one more word"), (9, PROSE.upper()), (10, "two words"), (11, "two words"), (11, "two words"), (12, "mail a.b@c.example.org call +1 (555) 123-4567 at 10.0.0.1 card 4111 1111 1111 1111 end é"),
+    (13, "300.1.1.1 4111111111111112 +12 x@y 1.2.3.4.5.6.7.8 😀 ▁ \x00 a@b.cx+y@d.ef"), (14, "@" * 2000), (15, "a." * 3000 + "@b.c"), (16, "+1" * 2000), (17, "1 - 2--3 4-5 6"),
+]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = [(*r, "en", "src1", 7) for r in TEXTS]
+    return spark.createDataFrame(extra, f"{SCHEMA}, lang string, source string, n_words int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], f"{SCHEMA}, lang string, source string, n_chars long")
+
+
+def rows_by(df, key="doc_id"):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r[key], []).append(r.asDict())
+    return out
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m.group(0).lower(), text or "")
+
+
+def test_quality(docs, empty):
+    got = rows_by(quality_rules.quality_rules(docs))
+    for i, t in TEXTS:
+        w = words(t)
+        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n = Counter(windows)
+        covered = {k + j for k, x in enumerate(windows) if n[x] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+        assert want in {(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got[i]}
+    assert quality_rules.quality_rules(empty).count() == 0
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and all(r["n_words"] == 7 for r in kept.collect())
+
+
+def test_licences(spark, docs, empty):
+    mit = "Copyright (c) 2020 Somebody\n\n" + licenses.LICENCES["MIT"].replace("Software", "SOFTWARE").replace(".", " .")
+    got = rows_by(licenses.license_scan(spark.createDataFrame([(1, mit), (2, "MIT"), (3, None), (4, licenses.LICENCES["ISC"].replace("author", "Author") + "\n© me")], SCHEMA)))
+    assert [got[k][0]["license_id"] for k in (1, 2, 3, 4)] == ["MIT", None, None, "ISC"]
+    assert licenses.license_scan(docs).count() == len(TEXTS) and licenses.license_scan(empty).count() == 0
+    a, b = (rows_by(licenses.license_scan(spark.createDataFrame([(1, x)], SCHEMA)))[1][0]["text_digest"] for x in ("the sub-licence, whilst whilst", "The SUBLICENSE while while!"))
+    assert a == b
+
+
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def base_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group(0))
+            luhn = sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(digits[::-1])) % 10 == 0
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.group(0).split(".")), "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end(), kind))
+    return [(kind, a, b) for a, _, b, kind in sorted(out)]
+
+
+def test_pii_base(docs, empty):
+    got = rows_by(pii.sanitise(docs))
+    for i, t in TEXTS:
+        assert base_spans(t) in [[(s["kind"], s["start"], s["end"]) for s in r["_p_base"]] for r in got[i]]
+    assert pii.sanitise(empty).count() == 0
+    clean = rows_by(pii.sanitised(docs))
+    assert sum(map(len, clean.values())) == len(TEXTS) and clean[1][0]["text"] == PROSE and clean[2][0]["text"] is None
+    assert clean[12][0]["text"] == "mail [EMAIL] call [PHONE] at [IP] card [CARD] end é" and clean[12][0]["n_words"] == 7
+
+
+def test_pii_terms(spark):
+    near = [(i, f"text {i} number Zorbax writes from ann.lee@mail.example.org about it") for i in range(4)]
+    far = [(10 + i, f"the text number {i} writes about things from here") for i in range(30)]
+    got = rows_by(pii.sanitise(spark.createDataFrame(near + far, SCHEMA)))
+    for i, t in near:
+        assert "Zorbax" in [t[s["start"] : s["end"]] for s in got[i][0]["_p_added"]]
+        assert "writes" not in [t[s["start"] : s["end"]] for s in got[i][0]["_p_added"]]
+    assert not any(r["_p_added"] for i, rs in got.items() if i >= 10 for r in rs)
+    text = rows_by(pii.sanitised(spark.createDataFrame(near + far, SCHEMA)))[0][0]["text"]
+    assert "Zorbax" not in text and "[EMAIL]" in text and text.startswith("text 0 number ")
+
+
+def test_sentencepiece(docs, empty):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    got = rows_by(sentencepieces.encode(docs))
+    for i, t in TEXTS:
+        ids = lib.encode(t or "")
+        r = next(r for r in got[i] if r["ids"] == ids)
+        assert r["decoded"] == lib.decode(ids)
+        data = (t or "").encode()
+        assert all(0 <= a <= b <= len(data) for a, b in zip(r["begins"], r["ends"], strict=True)) and (not ids or r["ends"][-1] == len(data))
+    assert sentencepieces.encode(empty).count() == 0 and sentencepieces.digests(docs).count() == len(TEXTS)
+
+
+def test_character_map_normalises_with_offsets():
+    import struct
+
+    # A trie for the one key "ab" with the replacement "X".
+    units = [0] * 1024
+
+    def offset(n):
+        return n << 10
+
+    root = 256
+    units[0] = offset(root)
+    a = root ^ ord("a")
+    units[a] = ord("a") | offset(a ^ 512)
+    b = 512 ^ ord("b")
+    units[b] = ord("b") | offset(b ^ 768) | (1 << 8)
+    units[768] = 0x80000000
+    blob = struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + b"X\0"
+
+    class Spec:
+        precompiled_charsmap, add_dummy_prefix, remove_extra_whitespaces, escape_whitespaces = blob, True, True, True
+
+    text, source = sentencepieces.Normaliser(Spec)("  zab  a é ")
+    assert text.decode() == "▁zX▁a▁é"
+    assert [int(source[text.index(c.encode())]) for c in "zXé"] == [2, 3, 9] and source[-1] == 11
+
+
+def test_fingerprints(spark, docs, empty):
+    ordered = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    got = rows_by(fingerprints.fingerprints(docs.select("doc_id", "text")))
+    for (i, t), (_, u) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        t, u = t or "", u or ""
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        r = [x for x in got[i] if x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()]
+        assert r and r[0]["n_chars"] == len(t)
+        assert r[0]["fingerprint"] == fingerprints._Document(t).print and r[0]["edited_fingerprint"] == fingerprints._Document(edited).print
+        assert (t != edited or r[0]["near_edited"] == 1) and 0 <= r[0]["near_edited"] <= 1 and 0 <= r[0]["near_next"] <= 1
+    assert sum(map(len, got.values())) == len(TEXTS) and fingerprints.fingerprints(empty).count() == 0
+    one = fingerprints.fingerprints(spark.createDataFrame([(5, "abcdef")], SCHEMA)).first()
+    assert one["n_chars"] == 6 and one["near_next"] == 1.0
+
+
+def test_spans_and_extensions():
+    a, b = fingerprints.PrefixHash.of("hello wörld, again"), fingerprints.PrefixHash.of("say hello wörld, alas")
+    assert fingerprints.equal_spans(a, 0, b, 4, 12) and not fingerprints.equal_spans(a, 0, b, 3, 12) and not fingerprints.equal_spans(a, 0, b, 4, 99)
+    assert fingerprints.common_extension(a, 0, b, 4) == len("hello wörld, a") and fingerprints.common_extension(a, 1, b, 0) == 0
+    c = fingerprints.PrefixHash.spliced(a, 6, b, 3)
+    assert c.whole() == fingerprints.PrefixHash.of("hello say").whole()
+
+
+def components(texts, width, percent):
+    sets = []
+    for _, t in texts:
+        w = words(lower(t))
+        sets.append(frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                old = label[i]
+                label = [label[j] if x == old else x for x in label]
+    least = {}
+    for k, (i, _) in enumerate(texts):
+        if i is not None:
+            least[label[k]] = min(least.get(label[k], i), i)
+    return [(i, len(s), least.get(label[k]) if s else i) for k, ((i, _), s) in enumerate(zip(texts, sets, strict=True))]
+
+
+def test_ngram_join(spark, docs, empty, monkeypatch):
+    got = sorted(map(tuple, ngram_join.similarity_classes(docs, width=3, percent=90).collect()), key=str)
+    assert got == sorted(components(TEXTS, 3, 90), key=str)
+    assert ngram_join.similarity_classes(empty).count() == 0
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 5)
+    many = [(100 * f + k, " ".join(f"w{f}x{j if (k * 7 + j) % 23 else j + 1000 * k}" for j in range(40 + k % 3)) + " common tail of all the texts here") for f in range(3) for k in range(20)]
+    got = sorted(map(tuple, ngram_join.similarity_classes(spark.createDataFrame(many, SCHEMA), width=2, percent=70).collect()))
+    assert got == sorted(components(many, 2, 70)) and len({c for _, _, c in got}) >= 3
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] in (10, 11)) == [10]
+
+
+def test_lm_scoring(docs, empty, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "COMMON", 3)
+    monkeypatch.setattr(lm_scoring, "PAIRS_PER_SHARD", 40)
+    monkeypatch.setattr(lm_scoring, "RESIDENT_BYTES", 200)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    toks = [(i, [*words(lower(t)), "\n"]) for i, t in TEXTS]
+    c = Counter(w for i, ws in toks if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    got = rows_by(lm_scoring.score(docs))
+    for i, ws in toks:
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        near = [r for r in got[i] if r["n_tokens"] == len(ws) and abs(r["base_score"] - base) < 1e-6]
+        assert near and near[0]["n_known"] == sum(c[w] > 0 for w in ws) and near[0]["train_tokens"] == n and near[0]["held_out"] == held(i) and near[0]["score"] < 0
+    assert lm_scoring.score(empty).count() == 0
+
+
+def test_bloom_levels():
+    import numpy as np
+
+    h = lm_scoring.mix(np.arange(1, 20001, dtype=np.uint64))
+    n = np.random.default_rng(1).geometric(0.2, len(h)).astype(np.int64)
+    f = lm_scoring.LogFrequencyFilter.build(h, n)
+    got, want = f.levels(h), lm_scoring.levels_of(n)
+    assert (got >= want).all() and (got > want).mean() < 0.05
+    assert (f.levels(lm_scoring.mix(np.arange(10**6, 10**6 + 20000, dtype=np.uint64))) > 0).mean() < 0.05
+
+
+def test_mixing(spark, docs, empty):
+    tokens = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    assert source_mixing.mix(empty, ["lang", "source"], "doc_id", tokens, {}, share=1.0).count() == 0
+    leaves = spark.createDataFrame([("a", "x", 100), ("a", "y", 10), ("b", "z", 1000), (None, "z", 5)], "d string, s string, tokens long")
+    plan = {(r["d"], r["s"]): r["target"] for r in source_mixing.budgets(leaves, ["d", "s"], {("a",): 2, ("b",): 1}, F.lit(400), 2).collect()}
+    # a may give 220 at most and takes 200 of its share; y is short, so x makes it up; the null domain is short, a and b make it up
+    assert sum(plan.values()) == 400 and plan[("a", "y")] == 20 and plan[(None, "z")] == 10 and plan[("a", "x")] == 200 and plan[("b", "z")] == 170
+    once = source_mixing.mixed_documents(docs, {"lang": F.col("lang"), "source": F.col("source")}, "doc_id", tokens, {}, share=1.0)
+    assert once.columns == docs.columns and once.filter("text IS NOT NULL").count() >= len([t for _, t in TEXTS if t]) - 1
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.com/en/7?x#y", "https://a.example.com/en/8", "ftp://net/de/", "http://x.example.net/de/81", "http://org/es/", "http://notorg/es/", "a://b://c", "http://h?q=/en/", "http://com/en/"]
+    pages = spark.createDataFrame(list(enumerate([*urls, urls[4]])), "page_id long, url string")
+    labels = spark.createDataFrame([(4, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rules = url_filters.mine_rules(url_filters.labelled_urls(pages, labels))
+    got = rows_by(url_filters.url_filter(pages.withColumn("host", F.lit("clash")), rules), "page_id")
+    want = {4: ("example.com", "/en/7", "example.com/en/7", "allow"), 5: ("a.example.com", "/en/8", "com/en/", "block"), 6: ("net", "/de/", "net/de/", "allow"), 7: ("x.example.net", "/de/81", "example.net/de/8", "block"), 8: ("org", "/es/", "org/es/", "block"), 9: ("notorg", "/es/", None, "allow"), 10: ("b:", "//c", None, "allow"), 11: ("h", "", None, "allow"), 12: ("com", "/en/", "com/en/", "block")}
+    for k in range(len(urls)):
+        r = got[k][0]
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == want.get(k, ("", "", None, "allow"))
+    assert url_filters.url_filter(pages.limit(0), rules).count() == 0
+
+
+def test_rules_are_mined_and_matched(spark):
+    bad = [(k, f"http://s{k}.spam.example/buy/{k}") for k in range(40)]
+    good = [(100 + k, f"http://s{k}.fine.example/read/{k}") for k in range(60)]
+    pages = spark.createDataFrame(bad + good, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 0) for i, _ in bad] + [(i, 1, 0) for i, _ in good], "doc_id long, quality int, toxic int")
+    rules = url_filters.mine_rules(url_filters.labelled_urls(pages, labels))
+    assert all(r["confidence"] >= url_filters.MIN_CONFIDENCE and r["index_item"] in r["items"] for r in rules.collect())
+    new = spark.createDataFrame([(1, "http://new.spam.example/buy/1"), (2, "http://new.fine.example/read/1")], "page_id long, url string")
+    got = rows_by(url_filters.url_filter(new, rules), "page_id")
+    assert got[1][0]["verdict"] == "block" and got[2][0]["verdict"] == "allow"
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "ü" * 60
+    rows = [(3, "http://a/", big), (1, "http://b/\r\nX: y", big), (2, None, "short"), (5, "u", "short"), (4, "u", None), (6, "u", "WARC/1.1\r\n\r\n" * 20), (None, "u", big), (7, "u", big), (7, "u", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    got = rows_by(warc.captures(warc.read_warc(spark, str(tmp_path / "w"))), "capture_id")
+    found = [r for rs in got.values() for r in rs]
+    assert len(found) == len(rows) and all(r["request"] and r["metadata"] for r in found)
+    kinds = Counter(r["record"]["record_type"] for r in found)
+    assert kinds == {"response": 5, "revisit": 4}
+    blocks = {r["record"]["block"].split(b"\r\n\r\n", 1)[1].decode() for r in found if r["record"]["record_type"] == "response"}
+    assert blocks == {big, "short", "", "WARC/1.1\r\n\r\n" * 20}
+    warc.write_warc(pages.limit(0), str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        list(warc.parse_records(b"junk"))
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(name, same_rows):
+    same_rows(registry.queries()[name], registry.oracle_sql()[name])
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.count(), corpus_pipeline.stored(stage(spark, docs, ""), "test")
+        assert docs.columns == columns and 0 < docs.count() <= before
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert out.count() == docs.count() and out.filter("n_tokens = 0").count() == 0
