@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +10,7 @@ from corpusloom.operators import anonymise as A
 from corpusloom.operators import checkpoints as P
 from corpusloom.operators import telemetry as T
 from corpusloom.plans.common import joined, long, rows, sql_rows, table
+from corpusloom.sources.files import pretty_json
 
 
 #: Microseconds of a time without zone, whatever the session's zone.
@@ -165,13 +162,7 @@ def json_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_pretty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole object, indented by two, keys in order: no built-in prints it so."""
-
-    @F.pandas_udf("string")
-    def pretty(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda x: None if x is None else json.dumps(json.loads(x), ensure_ascii=False, indent=2))
-
-    return table(spark, sf_dir, "events").select("event_id", pretty("props").alias("text"))
+    return table(spark, sf_dir, "events").select("event_id", pretty_json(F.col("props")).alias("text"))
 
 
 def pii_label(spark: SparkSession, sf_dir: str) -> DataFrame:

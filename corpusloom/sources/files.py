@@ -77,8 +77,7 @@ def json_text(value: Column, text_key: str) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(v, at, "string"))
 
 
-@F.pandas_udf("string")
-def pretty_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def pretty_json(value: Column) -> Column:
     """A JSON text indented by two, with its keys in order; null if it isn't JSON. No built-in prints it so."""
 
     def one(x: str | None) -> str | None:
@@ -87,15 +86,19 @@ def pretty_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         except ValueError:
             return None
 
-    for s in parts:
-        yield s.map(one)
+    @F.pandas_udf("string")
+    def pretty(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(one)
+
+    return pretty(value)
 
 
 def read_jsonl(spark: SparkSession, base: str | list[str], text_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """text and path of the good lines, and value and path of those that aren't JSON or lack the key."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(_paths(base))
     lines = lines.select("value", F.col("_metadata.file_path").alias("path")).filter(F.trim("value") != "")
-    read = lines.withColumn("text", json_text(F.col("value"), text_key) if text_key else pretty_json("value"))
+    read = lines.withColumn("text", json_text(F.col("value"), text_key) if text_key else pretty_json(F.col("value")))
     return read.filter("text IS NOT NULL").select("text", "path"), read.filter("text IS NULL").select("value", "path")
 
 
@@ -110,7 +113,7 @@ def json_rows(spark: SparkSession, base: str | list[str]) -> DataFrame:
 def read_json(spark: SparkSession, base: str | list[str], text_key: str | None = None) -> DataFrame:
     """text and path of the objects of JSON files, by key or printed whole; others are left out."""
     out = json_rows(spark, base)
-    return out.select((json_text(F.col("value"), text_key) if text_key else pretty_json("value")).alias("text"), "path").filter("text IS NOT NULL")
+    return out.select((json_text(F.col("value"), text_key) if text_key else pretty_json(F.col("value"))).alias("text"), "path").filter("text IS NOT NULL")
 
 
 def read_directory(spark: SparkSession, base: str, only: str | None = None, text_key: str | None = None, text_column: str | None = None, whole_files: bool = False) -> DataFrame:
