@@ -40,6 +40,8 @@ from corpusloom.llm.common import BROADCAST_ROWS, small_arrow_batches, stored, t
 U = np.uint64
 #: Bits of a signature.
 BITS = 1024
+#: Bits of a signature where the sets themselves are at hand, at most.
+MOST_BITS = 1 << 17
 #: Classes in a tile, about.
 TILE = 1024
 #: Classes with an element in their prefix from which it comes last in the order.
@@ -85,12 +87,17 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    flags = np.zeros(BITS, dtype=bool)
-    flags[(hashes & U(BITS - 1)).astype(np.int64)] = True
+def bitmap(hashes: np.ndarray, bits: int = BITS) -> bytes:
+    flags = np.zeros(bits, dtype=bool)
+    flags[(hashes & U(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
 
 
+def bits_for(largest: int) -> int:
+    """A width at which few elements of the largest set share a bit, so that the bound is close; at least :data:`BITS`."""
+    return min(max(BITS, 1 << (8 * largest - 1).bit_length()), MOST_BITS)
+
+
 def band_of(n: np.ndarray, percent: int) -> np.ndarray:
     """Size bands so wide that sets which reach the threshold lie in one or in neighbours."""
     return np.floor(np.log(n) / -math.log(percent / 100 * 0.999)).astype(np.int64)
@@ -253,7 +260,8 @@ def _exact_links(rows: DataFrame, percent: int) -> DataFrame:
             raw, classes = t.column("set").to_pylist(), t.column("class").to_pylist()
             sets = [np.frombuffer(raw[k], dtype=np.uint64) for k in order]
             n, side = n[order], t.column("side").to_numpy()[order]
-            bits = np.frombuffer(b"".join(bitmap(s) for s in sets), dtype=np.uint64).reshape(len(n), -1)
+            width = bits_for(int(n[-1]))
+            bits = np.frombuffer(b"".join(bitmap(s, width) for s in sets), dtype=np.uint64).reshape(len(n), -1)
             forest = _Forest([classes[k] for k in order], np.arange(len(n)))
             for i in range(len(n) - 1):
                 at = _candidates(i, n, bits, side, forest, percent)
