@@ -47,12 +47,13 @@ FOLDS, HELD_OUT = 5, 1
 LAMBDA = 0.6
 #: Probes for each level, and bits for each level of an n-gram: about 1 % false hits.
 PROBES, BITS_PER_LEVEL = 6, 9
-#: Terms in the broadcast of exact counts at most.
-COMMON = 2_000_000
+#: Terms in the broadcast of exact counts at most, and occurrences that each of them has at least.
+#: Rarer terms always go through the join, so that small and large corpora take the same way.
+COMMON, LEAST_COMMON = 1_000_000, 4
 #: Pairs (before summing up) that one shard's task gets, about.
 PAIRS_PER_SHARD = 3_000_000
 #: Bytes of filters that workers hold at a time.
-RESIDENT_BYTES = 256 << 20
+RESIDENT_BYTES = 96 << 20
 #: Distinct terms or pairs that a counting task holds before it passes them on.
 HELD_COUNTS = 1_000_000
 END, START = b"\n", b"\t"  # no token can be one of these
@@ -102,7 +103,7 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 def _spots(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the probes for a level begin, and how far apart they are."""
-    h = mix(hashes + U(level) * MIX_B)
+    h = mix(hashes + U(level * int(MIX_B) & 0xFFFFFFFFFFFFFFFF))
     return h, (h >> U(32)) | U(1)
 
 
@@ -260,7 +261,8 @@ def build_filter(counts: DataFrame) -> DataFrame:
 
 
 def _broadcast(context: SparkContext, rows: list) -> object:
-    return context.broadcast([(r["shard"], r["bits"], bytes(r["data"])) for r in rows])
+    """Shards of collected rows; a row is given up once its bytes are taken."""
+    return context.broadcast([(r["shard"], r["bits"], bytes(r["data"])) for r in (rows.pop() for _ in range(len(rows)))])
 
 
 def _held(value: list) -> dict[int, LogFrequencyFilter]:
@@ -321,17 +323,17 @@ def _packed(shards: int):
 
 
 def _common_from(terms: DataFrame, distinct: int) -> int:
-    """The least count c so that at most :data:`COMMON` terms have c or more."""
+    """The least count c, from :data:`LEAST_COMMON`, so that at most :data:`COMMON` terms have c or more."""
     if distinct <= COMMON:
-        return 1
+        return LEAST_COMMON
     level = F.least(F.col("n"), F.lit(1 << 20))
-    histogram = sorted((r["level"], r["k"]) for r in terms.groupBy(level.alias("level")).agg(F.count("*").alias("k")).filter("level > 1").collect())
+    histogram = sorted((r["level"], r["k"]) for r in terms.groupBy(level.alias("level")).agg(F.count("*").alias("k")).filter(F.col("level") >= LEAST_COMMON).collect())
     held = 0
     for c, k in reversed(histogram):
         held += k
         if held > COMMON:
             return c + 1
-    return 2
+    return LEAST_COMMON
 
 
 def _groups(sizes: dict[int, int], most: int) -> list[list[int]]:
