@@ -55,7 +55,7 @@ PAIRS_PER_SHARD = 3_000_000
 #: Bytes of filters that workers hold at a time.
 RESIDENT_BYTES = 96 << 20
 #: Distinct terms or pairs that a counting task holds before it passes them on.
-HELD_COUNTS = 1_000_000
+HELD_COUNTS = 250_000
 END, START = b"\n", b"\t"  # no token can be one of these
 
 U = np.uint64
