@@ -1,12 +1,13 @@
 """Personal data: spans by pattern, and terms that give protected entities away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each such
-value is a protected entity. Over the whole corpus, a term next to a mention
-discloses the entity by their pointwise mutual information; where that reaches
-a share of the entity's information content, the term's occurrences beside the
-mention are generalised, and above a second share removed. All of it is built
-from SQL functions; patterns carry look-behinds and possessive quantifiers
-that change no match, but keep long texts linear and off the stack.
+value is a protected entity. Over the whole corpus, a term in the documents that
+mention an entity discloses it by their pointwise mutual information; where that
+reaches a share of the entity's information content, all occurrences of the term
+in documents that mention the entity are generalised, and above a second share
+removed. A document holds a term where it stands outside of the base spans. All
+of it is built from SQL functions; patterns carry look-behinds and possessive
+quantifiers that change no match, but keep long texts linear and off the stack.
 
 Defined results: a null or empty text has no spans and stays as it is; repeated
 rows are handled one by one and count one by one; documents without a mention
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, stored, table
+from corpusloom.llm.common import BROADCAST_ROWS, broadcast_if_small, stored, table
 
 # The contract's patterns, in the order of its kinds.
 PATTERNS = {
@@ -32,19 +33,13 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = (*PATTERNS, "term")
 
-#: Characters on either side of a mention in which terms are looked for.
-WINDOW = 64
-#: Documents in which a term must stand beside an entity before it is judged.
+#: Documents in which a term and an entity must meet before they are judged.
 MIN_SUPPORT = 3
 #: Shares of an entity's information content from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.9, 0.99
 TERM = r"\p{L}{3,}"
 
-_SPAN = "struct<start:int,kord:int,end:int,kind:string,value:string,before:string,after:string>"
-
-
-def _quote(pattern: str) -> str:
-    return "r'" + pattern.replace("'", "\\'") + "'"
+_SPAN = "struct<start:int,kord:int,end:int,kind:string,value:string>"
 
 
 def _matches(out: DataFrame, text: str, kind: str) -> DataFrame:
@@ -58,14 +53,13 @@ def _matches(out: DataFrame, text: str, kind: str) -> DataFrame:
 
 
 def _located(m: str, g: str, kind: str) -> Column:
-    """Spans of the matches m between the gaps g, in code points, with what stands around them."""
+    """Spans of the matches m between the gaps g, in code points."""
     k = KINDS.index(kind)
     return F.expr(
         f"CASE WHEN size({m}) = 0 THEN cast(array() AS array<{_SPAN}>) ELSE aggregate(sequence(0, size({m}) - 1), "
         f"named_struct('at', 0, 'out', cast(array() AS array<{_SPAN}>)), "
         f"(a, i) -> named_struct('at', a.at + length({g}[i]) + length({m}[i]), 'out', concat(a.out, array(named_struct("
-        f"'start', a.at + length({g}[i]), 'kord', {k}, 'end', a.at + length({g}[i]) + length({m}[i]), 'kind', '{kind}', 'value', {m}[i], "
-        f"'before', right({g}[i], {WINDOW + 1}), 'after', left({g}[i + 1], {WINDOW + 1}))))), a -> a.out) END"
+        f"'start', a.at + length({g}[i]), 'kord', {k}, 'end', a.at + length({g}[i]) + length({m}[i]), 'kind', '{kind}', 'value', {m}[i])))), a -> a.out) END"
     )
 
 
@@ -94,67 +88,76 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("_p_text", *[f"_p_{x}_{k}" for x in "mgs" for k in PATTERNS])
 
 
-def _terms(side: str, at: str) -> str:
-    """Terms of the string ``side`` as structs of start, end and the lower-cased term, counted from ``at``."""
-    return (
-        f"CASE WHEN NOT rlike({side}, {_quote(TERM)}) THEN cast(array() AS array<struct<start:int,end:int,term:string>>) ELSE "
-        f"aggregate(sequence(0, size(regexp_extract_all({side}, {_quote(TERM)}, 0)) - 1), "
-        "named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int,term:string>>)), "
-        f"(a, i) -> named_struct('at', a.at + length(split({side}, {_quote(TERM)}, -1)[i]) + length(regexp_extract_all({side}, {_quote(TERM)}, 0)[i]), "
-        f"'out', concat(a.out, array(named_struct('start', {at} + a.at + length(split({side}, {_quote(TERM)}, -1)[i]), "
-        f"'end', {at} + a.at + length(split({side}, {_quote(TERM)}, -1)[i]) + length(regexp_extract_all({side}, {_quote(TERM)}, 0)[i]), "
-        f"'term', lower(regexp_extract_all({side}, {_quote(TERM)}, 0)[i]))))), a -> a.out) END"
+def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``_p_base``, ``_p_entities`` (distinct keys), ``_p_terms`` (distinct, lower case) and, where there is a mention, ``_p_open``: the text with base spans blanked."""
+    plain = "CASE WHEN x.kind IN ('card', 'phone') THEN regexp_replace(x.value, '[^0-9]', '') ELSE lower(x.value) END"
+    slim = "transform(_p_base, x -> named_struct('start', x.start, 'kord', x.kord, 'end', x.end, 'kind', x.kind))"
+    name = f"`{text}`"
+    blanked = (
+        "CASE WHEN size(_p_base) > 0 THEN aggregate(_p_base, named_struct('at', 0, 'out', cast(array() AS array<string>)), "
+        "(a, s) -> named_struct('at', greatest(a.at, s.end), 'out', CASE WHEN s.end <= a.at THEN a.out ELSE concat(a.out, "
+        f"array(substring({name}, a.at + 1, s.start - a.at), repeat(' ', s.end - greatest(a.at, s.start)))) END), "
+        f"a -> concat(array_join(a.out, ''), substring({name}, a.at + 1))) END"
     )
+    out = base_spans(docs, text).withColumn("_p_entities", F.expr(f"array_distinct(transform(_p_base, x -> xxhash64(x.kind, {plain})))"))
+    out = out.withColumn("_p_base", F.expr(slim)).withColumn("_p_open", F.expr(blanked))
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("_p_open"), F.col(name), F.lit(""))), F.lit(TERM), F.lit(0)))
+    return out.withColumn("_p_terms", held)
 
 
-def _beside() -> Column:
-    """For each base span: a key of its entity and the whole terms within the window, none of them inside a base span."""
-    cut_before = f"CASE WHEN length(x.before) > {WINDOW} THEN regexp_replace(x.before, '^\\\\p{{L}}+', '') ELSE x.before END"
-    cut_after = f"CASE WHEN length(x.after) > {WINDOW} THEN regexp_replace(x.after, '\\\\p{{L}}+$', '') ELSE x.after END"
-    plain = "CASE WHEN x.kind IN ('card', 'phone') THEN regexp_replace(x.value, '[^0-9]', '') ELSE lower(x.value) END"
-    cut = F.expr(f"transform(_p_base, x -> named_struct('entity', xxhash64(x.kind, {plain}), 'start', x.start, 'end', x.end, 'before', {cut_before}, 'after', {cut_after}))")
-    return cut
-
+def disclosing_terms(found: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """The rows (``_p_row``) and terms in which a term discloses an entity that the row mentions, with ``removed``.
 
-def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_p_base`` and ``_p_terms``: structs of entity, term, start and end, for the terms beside mentions."""
-    out = base_spans(docs, text).withColumn("_p_cut", _beside())
-    both = f"concat({_terms('x.before', 'x.start - length(x.before)')}, {_terms('x.after', 'x.end')})"
-    near = f"flatten(transform(_p_cut, x -> transform({both}, t -> named_struct('entity', x.entity, 'term', t.term, 'start', t.start, 'end', t.end))))"
-    free = f"filter({near}, t -> NOT exists(_p_base, b -> t.start < b.end AND b.start < t.end))"
-    nothing = "cast(array() AS array<struct<entity:bigint,term:string,start:int,end:int>>)"
-    out = out.withColumn("_p_terms", F.expr(f"CASE WHEN size(_p_base) = 0 THEN {nothing} ELSE {free} END"))
-    slim = F.expr("transform(_p_base, x -> named_struct('start', x.start, 'kord', x.kord, 'end', x.end, 'kind', x.kind))")
-    return out.drop("_p_cut").withColumn("_p_base", slim)
-
-
-def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """Pairs of entity and term whose mutual information exceeds the thresholds, with ``removed``.
-
-    found: what :func:`mentions` gives, written out. Joint counts are documents
-    with the term beside the entity; the terms' own counts come from all whole
-    texts. Rows are counted per document before anything is shuffled.
+    found: what :func:`mentions` gives, written out. All counts are documents,
+    over whole texts. A pair meets in at most as many documents as its rarer
+    side has, so terms and pairs that must fail with that many drop out, exactly,
+    before pairs are counted, and all texts are asked only for the terms left.
     """
-    told = found.filter("size(_p_terms) > 0")
-    pairs = told.select(F.explode(F.expr("array_distinct(transform(_p_terms, t -> named_struct('entity', t.entity, 'term', t.term)))")).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_support)
-    beside = told.select(F.explode(F.expr("array_distinct(transform(_p_terms, t -> t.term))")).alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
-    entities = told.select(F.explode(F.expr("array_distinct(transform(_p_terms, t -> t.entity))")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = F.lit(float(found.count()))
-    known = F.log2(n / F.col("n_entity"))
-
-    def shared(n_term: str) -> Column:
-        return F.log2(F.col("both") * n / (F.col(n_term) * F.col("n_entity")))
-
-    # A term is in at least as many documents as it stands beside mentions in, so pairs that
-    # fail with that count fail with the true one, too: common words drop out before texts are counted.
-    pairs = pairs.join(beside, "term").join(entities, "entity").filter(shared("n_beside") >= known * generalise)
+    n = float(found.count())
+    entities = found.select(F.explode("_p_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = stored(entities.filter(F.col("n_entity") >= min_support), "pii-entities")
+    most = entities.agg(F.max("n_entity")).first()[0] or 1
+
+    def reach(n_entity: Column) -> Column:
+        # both <= n_entity in both * n / (n_term * n_entity) >= (n / n_entity) ** generalise; a little more for rounding
+        return F.pow(F.lit(n) / n_entity, F.lit(-generalise)) * n * (1 + 1e-9)
+
+    # Terms of documents without a mention raise n_term alone, so counts over the others bound it from below.
+    told = found.filter("size(_p_entities) > 0").select("_p_row", "_p_entities", "_p_terms")
+    beside = told.select(F.explode("_p_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
+    beside = stored(beside.filter((F.col("n_beside") >= min_support) & (F.col("n_beside") <= reach(F.lit(float(most))))), "pii-beside")
+    known = told.select("_p_row", F.explode("_p_entities").alias("entity")).join(broadcast_if_small(entities), "entity")
+    known = stored(known, "pii-known")
+    held = told.join(broadcast_if_small(known.select("_p_row").distinct()), "_p_row", "left_semi")
+    held = held.select("_p_row", F.explode("_p_terms").alias("term")).join(broadcast_if_small(beside), "term")
+    met = stored(known.join(held, "_p_row").filter(F.col("n_beside") <= reach(F.col("n_entity"))), "pii-met")
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("n_beside").alias("n_beside"), F.first("n_entity").alias("n_entity"))
+    pairs = pairs.filter((F.col("both") >= min_support) & (F.col("n_beside") <= reach(F.col("n_entity")) * F.col("both") / F.col("n_entity")))
     pairs = stored(pairs.drop("n_beside"), "pii-pairs")
     wanted = stored(pairs.select("term").distinct(), "pii-terms")
-    tokens = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = tokens.join(broadcast_if_small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    judged = pairs.join(counts, "term").withColumns({"known": known, "shared": shared("n_term")})
-    return judged.filter(F.col("shared") >= F.col("known") * generalise).select("entity", "term", (F.col("shared") >= F.col("known") * remove).alias("removed"))
+    n_wanted = wanted.count()
+    tokens = found.select(F.explode("_p_terms").alias("term"))
+    if n_wanted <= BROADCAST_ROWS:
+        tokens = tokens.join(F.broadcast(wanted), "term", "left_semi")
+    counts = tokens.groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = pairs.join(counts, "term").withColumn("known", F.log2(F.lit(n) / F.col("n_entity")))
+    pairs = pairs.withColumn("shared", F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity"))))
+    risky = pairs.filter(F.col("shared") >= F.col("known") * generalise).select("entity", "term", (F.col("shared") >= F.col("known") * remove).alias("removed"))
+    risky = stored(risky, "pii-risky")
+    return met.select("_p_row", "entity", "term").join(broadcast_if_small(risky), ["entity", "term"]).groupBy("_p_row", "term").agg(F.max("removed").alias("removed"))
+
+
+def _occurrences(told: DataFrame) -> DataFrame:
+    """``_p_row`` and ``_p_added``: all places of the terms ``_p_risky`` in ``_p_open``, in code points."""
+    out = told.withColumns({"_p_m": F.regexp_extract_all("_p_open", F.lit(TERM), F.lit(0)), "_p_g": F.split("_p_open", TERM, -1)})
+    out = out.withColumn("_p_hit", F.expr("transform(_p_m, m -> element_at(_p_risky, lower(m)))"))
+    span = "struct<start:int,end:int,removed:boolean>"
+    places = (
+        f"aggregate(sequence(0, size(_p_m) - 1), named_struct('at', 0, 'out', cast(array() AS array<{span}>)), (a, i) -> named_struct("
+        "'at', a.at + length(_p_g[i]) + length(_p_m[i]), 'out', CASE WHEN _p_hit[i] IS NULL THEN a.out ELSE concat(a.out, array(named_struct("
+        "'start', a.at + length(_p_g[i]), 'end', a.at + length(_p_g[i]) + length(_p_m[i]), 'removed', _p_hit[i]))) END), a -> a.out)"
+    )
+    return out.select("_p_row", F.expr(places).alias("_p_added"))
 
 
 def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None, **thresholds: float) -> DataFrame:
@@ -164,15 +167,14 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     """
     keep = docs.columns if keep is None else keep
     found = mentions(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]), text)
-    found = found.select(*keep, "_p_base", "_p_terms", F.monotonically_increasing_id().alias("_p_row"))
+    found = found.select(*[F.col(f"`{c}`") for c in keep], "_p_base", "_p_entities", "_p_terms", "_p_open", F.monotonically_increasing_id().alias("_p_row"))
     found = stored(found, "pii-found")
-    risky = stored(disclosing_terms(found, docs, text, **thresholds), "pii-risky")
-    told = found.filter("size(_p_terms) > 0").select("_p_row", F.explode("_p_terms").alias("t")).select("_p_row", "t.*")
-    added = told.join(broadcast_if_small(risky), ["entity", "term"]).groupBy("_p_row", "start", "end").agg(F.max("removed").alias("removed"))
-    added = added.groupBy("_p_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("_p_added"))
+    risky = disclosing_terms(found, **thresholds).groupBy("_p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("_p_risky"))
+    told = found.filter("size(_p_entities) > 0").select("_p_row", "_p_open")
+    added = stored(_occurrences(told.join(risky, "_p_row")), "pii-added")
     nothing = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
     out = found.join(added, "_p_row", "left").withColumn("_p_added", F.coalesce("_p_added", nothing))
-    return out.drop("_p_terms", "_p_row")
+    return out.drop("_p_entities", "_p_terms", "_p_open", "_p_row")
 
 
 def masked(text: Column) -> Column:

@@ -107,6 +107,22 @@ def test_pii_terms(spark):
     assert "Zorbax" not in text and "[EMAIL]" in text and text.startswith("text 0 number ")
 
 
+def test_pii_terms_of_whole_documents(spark):
+    gap = "the text writes about things from here " * 3
+    rows = [(i, f"Zorbax {gap} {i} or zorbax writes from ann@x.org. {gap} ZORBAX, Quexley; zorbax@y.org") for i in range(4)]
+    rows += [(4, "ann@x.org"), (5, f"Zorbax {gap}"), *((10 + i, gap) for i in range(200))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = rows_by(pii.sanitise(df))
+    for i in range(4):
+        told = [rows[i][1][s["start"] : s["end"]] for s in got[i][0]["_p_added"]]
+        assert told == ["Zorbax", "zorbax", "ZORBAX", "Quexley"]
+    assert not any(r["_p_added"] for i, rs in got.items() if i >= 4 for r in rs)
+    clean = rows_by(pii.sanitised(df))
+    assert "zorbax" not in clean[0][0]["text"].lower() and "[EMAIL]" in clean[0][0]["text"] and clean[5][0]["text"] == rows[5][1]
+    single = rows_by(pii.sanitise(spark.createDataFrame([*rows, (400, f"Vantrop ben@x.org {gap}")], SCHEMA), min_support=1))
+    assert [s["start"] for s in single[400][0]["_p_added"]] == [0]
+
+
 def test_sentencepiece(docs, empty):
     import sentencepiece
 
