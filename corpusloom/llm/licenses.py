@@ -3,7 +3,9 @@
 The canonical form follows the usual matching guidelines: case, punctuation and
 blanks don't count, copyright lines are left out, equivalent spellings become
 one. The same expressions make the digests of the known licences, a table of a
-few rows that is broadcast; documents are never shuffled.
+few rows that is broadcast; documents are never shuffled. Next to the SQL's
+digest, a stricter form, in which only lines with a year or a mark are copyright
+lines, is looked up among whole texts and bodies with their usual titles.
 
 Defined results: a null or empty text has the digest of the empty canonical
 form and no licence; repeated rows give repeated results; extra columns of the
@@ -12,6 +14,8 @@ input ride along.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +118,43 @@ LICENCES = {
 _COPYRIGHT = r"\n[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
 
+# What is surely a copyright line: a body may be wrapped so that a line begins with "copyright holder".
+_MARKED = r"\n[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[<\[{])|copyright[^\n]*[0-9]{4}|\(c\)[^\n]*[0-9]{4}|©|all rights reserved[.]?[ \t\r]*(?=\n|$))[^\n]*"
+
+#: Lines that usually stand above a body.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Ids and texts: bodies with and without a title, and the long licences, with and without what follows their terms."""
+    out = [*LICENCES.items(), *((k, f"{t}\n\n{LICENCES[k]}") for k, titles in TITLES.items() for t in titles)]
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        body = path.read_text(encoding="utf-8")
+        out.append((path.stem, body))
+        if _END in body:
+            out.append((path.stem, body[: body.index(_END) + len(_END)]))
+    return out
+
+
+def _lines(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))), pattern, "\n")
+
+
 def canonical(text: Column) -> Column:
     """The canonical form: words of letters and digits, two blanks between and around them."""
-    lines = F.regexp_replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))), _COPYRIGHT, "\n")
+    return _canonical(_lines(text, _COPYRIGHT))
+
+
+def _canonical(lines: Column) -> Column:
     out = F.concat(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
     for old, new in SPELLINGS.items():
         if old != new:
@@ -138,11 +176,19 @@ def known_licences(spark: SparkSession, licences: dict[str, str] | None = None)
 def license_scan(docs: DataFrame, text: str = "text", licences: dict[str, str] | None = None) -> DataFrame:
     """``docs`` with text_digest and, where the whole text is a known licence, its license_id.
 
-    The known licences are a parameter written in code, so their table is small enough to broadcast.
+    The known licences are a parameter written in code, so their tables are small enough to broadcast.
     """
-    known = known_licences(docs.sparkSession, licences).withColumnRenamed("license_digest", "text_digest")
-    out = docs.drop("text_digest", "license_id").withColumn("text_digest", digest(F.col(f"`{text}`")))
-    return out.join(F.broadcast(known), "text_digest", "left")
+    spark = docs.sparkSession
+    known = known_licences(spark, licences).withColumnRenamed("license_digest", "text_digest").withColumnRenamed("license_id", "_l_id")
+    strict = spark.createDataFrame(list(licences.items()) if licences else whole_texts(), "_l_other string, body string")
+    strict = strict.groupBy(F.sha2(_canonical(_lines(F.col("body"), _MARKED)).cast("binary"), 256).alias("_l_digest")).agg(F.min("_l_other").alias("_l_other"))
+    out = docs.drop("text_digest", "license_id").withColumns({"_l_wide": _lines(F.col(f"`{text}`"), _COPYRIGHT), "_l_lines": _lines(F.col(f"`{text}`"), _MARKED)})
+    out = out.withColumn("text_digest", F.sha2(_canonical(F.col("_l_wide")).cast("binary"), 256))
+    # Most texts have the same lines in both forms.
+    other = F.when(F.col("_l_lines") == F.col("_l_wide"), F.col("text_digest")).otherwise(F.sha2(_canonical(F.col("_l_lines")).cast("binary"), 256))
+    out = out.withColumn("_l_digest", other).drop("_l_wide", "_l_lines")
+    out = out.join(F.broadcast(known), "text_digest", "left").join(F.broadcast(strict), "_l_digest", "left")
+    return out.withColumn("license_id", F.coalesce("_l_id", "_l_other")).drop("_l_id", "_l_other", "_l_digest")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,20 @@ def test_licences(spark, docs, empty):
     assert a == b
 
 
+def test_standard_licence_files(spark):
+    import textwrap
+    from pathlib import Path
+
+    wrapped = {w: textwrap.fill(licenses.LICENCES["BSD-3-Clause"].replace("\n", " "), w) for w in range(60, 90)}
+    assert any(re.search(r"^copyright holder", t, re.I | re.M) for t in wrapped.values())
+    files = [(k, (Path(licenses.__file__).parent / "licence_texts" / f"{k}.txt").read_text()) for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0")]
+    cases = [*files, ("Apache-2.0", files[0][1].split("APPENDIX")[0]), ("MIT", "MIT License\n\nCopyright (c) 2021 Some One\n\n" + textwrap.fill(licenses.LICENCES["MIT"], 79))]
+    cases += [("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2021, Some One\nAll rights reserved.\n\n{t}") for t in wrapped.values()]
+    cases += [(None, "MIT License"), (None, files[1][1][:5000])]
+    got = rows_by(licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], SCHEMA)))
+    assert [got[i][0]["license_id"] for i in range(len(cases))] == [k for k, _ in cases]
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
