@@ -43,8 +43,6 @@ RULES = (HostRule("block", "com", "/en/"), HostRule("allow", "example.com", "/en
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.75
 #: Labelled URLs that a combination must reach in any case: below, a confidence is chance.
 LEAST_URLS = 10
-#: Tokens of a URL that mining looks at: its rarest frequent ones. Bounds the combinations of one URL by 2 to that power; matching takes all tokens.
-MINED_TOKENS = 10
 LABEL = "\x00block"
 
 
@@ -88,7 +86,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """items, index_item, confidence and support of the kept rules; labelled: tokens (array) and blocked (boolean).
 
     The frequent tokens number at most tokens in a URL / ``min_support``, and the
-    rules at most 2^MINED_TOKENS / ``min_support``, whatever the number of URLs.
+    rules at most 2^(most frequent tokens in a URL) / ``min_support``, whatever the number of URLs.
     """
     labelled = stored(labelled.select("tokens", "blocked"), "url-labelled")
     n = labelled.count()
@@ -101,7 +99,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     # The frequent tokens of each distinct set, rarest first.
     sets = labelled.groupBy("tokens", "blocked").agg(F.count("*").alias("times")).withColumn("set", F.monotonically_increasing_id())
     sets = stored(sets, "url-sets")
-    ranked = sets.select("set", F.explode("tokens").alias("token")).join(F.broadcast(counts), "token").groupBy("set").agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "token"))), 1, MINED_TOKENS).alias("top"))
+    ranked = sets.select("set", F.explode("tokens").alias("token")).join(F.broadcast(counts), "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("top"))
     baskets = sets.join(ranked, "set", "left").select(F.concat(F.coalesce(F.col("top.token"), F.array().cast("array<string>")), F.when(F.col("blocked"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"), "times")
     baskets = baskets.select("items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("items")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)

@@ -295,6 +295,14 @@ def test_rules_are_mined_and_matched(spark):
     assert got[1][0]["verdict"] == "block" and got[2][0]["verdict"] == "allow"
 
 
+def test_common_tokens_of_deep_urls_are_mined(spark):
+    urls = [("http://x/" + "/".join("abcdefghi") + "/buy", True)] * 30 + [("http://y/buy", True)] * 30 + [("http://z/read", False)] * 60
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not bad), 0) for i, (_, bad) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    rules = {tuple(r["items"]): r for r in url_filters.mine_rules(url_filters.labelled_urls(pages, labels)).collect()}
+    assert (rules[("path=buy",)]["support"], rules[("path=buy",)]["confidence"]) == (0.5, 1.0)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "ü" * 60
     rows = [(3, "http://a/", big), (1, "http://b/\r\nX: y", big), (2, None, "short"), (5, "u", "short"), (4, "u", None), (6, "u", "WARC/1.1\r\n\r\n" * 20), (None, "u", big), (7, "u", big), (7, "u", big)]
