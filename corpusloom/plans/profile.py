@@ -68,18 +68,31 @@ def source_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.agg(long(F.count("*")).alias("sources"), F.try_divide(F.max("files"), F.min("files")).alias("balance"))
 
 
-def char_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters in the first 1000 of each document."""
-    chars = _docs(spark, sf_dir).select(F.explode(F.split(F.substring("text", 1, 1000), "")).alias("char")).filter("char <> ''")
+def char_histogram(spark: SparkSession, sf_dir: str, first: int | None = 1000) -> DataFrame:
+    """Characters in the ``first`` of each document, as the SQL has it; None: in all."""
+    text = F.col("text") if first is None else F.substring("text", 1, first)
+    chars = _docs(spark, sf_dir).select(F.explode(F.split(text, "")).alias("char")).filter("char <> ''")
     return chars.groupBy("char").agg(F.count("*").alias("n"))
 
 
-def word_length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of the first 100 words of each document."""
-    lengths = _docs(spark, sf_dir).select(F.explode(F.transform(F.slice(X.words(F.col("text")), 1, 100), lambda w: long(F.length(w)))).alias("length"))
+def char_histogram_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of whole documents."""
+    return char_histogram(spark, sf_dir, None)
+
+
+def word_length_hist(spark: SparkSession, sf_dir: str, first: int | None = 100) -> DataFrame:
+    """Lengths of the ``first`` words of each document, as the SQL has it; None: of all."""
+    words = X.words(F.col("text"))
+    words = words if first is None else F.slice(words, 1, first)
+    lengths = _docs(spark, sf_dir).select(F.explode(F.transform(words, lambda w: long(F.length(w)))).alias("length"))
     return lengths.groupBy("length").agg(F.count("*").alias("n"))
 
 
+def word_length_hist_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of all words of each document."""
+    return word_length_hist(spark, sf_dir, None)
+
+
 def file_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.length("text")
     return _docs(spark, sf_dir).agg(long(F.count("*")).alias("files"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), long(F.max(c)).alias("longest"))
@@ -230,7 +243,7 @@ _FORMAL = " + ".join(SQL.occurrences("low", t) for t in L.FORMAL_TERMS)
 _INFORMAL = " + ".join(SQL.occurrences("low", t) for t in L.INFORMAL_TERMS)
 _TERMS = ", ".join(f"('{t}')" for t in L.REGIONAL_TERMS)
 
-QUERIES = {f.__name__: f for f in (content_profile_by_source, content_profile_rollup, structure_counts, top_sources, source_balance, char_histogram, word_length_hist, file_size_stats, file_size_hist50, word_freq_top100, language_share, language_by_source, primary_language_per_source, lexicon_hits, register_balance, sentence_stats, char_quality_ratios, quality_category_counts, problem_report, repeated_char_flag, quality_labels, domain_description_join, analysis_validation)}
+QUERIES = {f.__name__: f for f in (content_profile_by_source, content_profile_rollup, structure_counts, top_sources, source_balance, char_histogram, char_histogram_whole, word_length_hist, word_length_hist_whole, file_size_stats, file_size_hist50, word_freq_top100, language_share, language_by_source, primary_language_per_source, lexicon_hits, register_balance, sentence_stats, char_quality_ratios, quality_category_counts, problem_report, repeated_char_flag, quality_labels, domain_description_join, analysis_validation)}
 
 ORACLES = {
     "content_profile_by_source": f"WITH {_F} SELECT source, {_CONTENT} FROM f GROUP BY source",

@@ -175,3 +175,12 @@ def test_plans_stay_native(spark):
     for name in ("content_profile_by_source", "stratified_split", "conversation_repair", "rolling_throughput"):
         plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_whole_histograms(spark, tmp_path):
+    from corpusloom.plans import profile
+
+    spark.createDataFrame([(1, "ab " * 1000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["char"]: r["n"] for r in profile.char_histogram_whole(spark, str(tmp_path)).collect()}
+    assert got == {"a": 1000, "b": 1000, " ": 1000}
+    assert [tuple(r) for r in profile.word_length_hist_whole(spark, str(tmp_path)).collect()] == [(2, 1000)]
