@@ -22,6 +22,8 @@ def chosen(rules: tuple[tuple[str, str], ...], labels: list[str] | None) -> list
     """The rules of the labels asked for; none asked for means all."""
     if unknown := set(labels or ()) - set(LABELS):
         raise ValueError(f"unknown labels: {', '.join(sorted(unknown))}")
+    if without := set(labels or ()) - {r[0] for r in rules}:
+        raise ValueError(f"no rule for labels: {', '.join(sorted(without))}")
     return [r for r in rules if not labels or r[0] in labels]
 
 

@@ -184,3 +184,9 @@ def test_whole_histograms(spark, tmp_path):
     got = {r["char"]: r["n"] for r in profile.char_histogram_whole(spark, str(tmp_path)).collect()}
     assert got == {"a": 1000, "b": 1000, " ": 1000}
     assert [tuple(r) for r in profile.word_length_hist_whole(spark, str(tmp_path)).collect()] == [(2, 1000)]
+
+
+def test_labels_without_a_rule_are_a_fault():
+    with pytest.raises(ValueError, match="no rule for labels: ZIP"):
+        anonymise.chosen(anonymise.RULES, ["EMAIL", "ZIP"])
+    assert [k for k, _ in anonymise.chosen(anonymise.RULES, ["EMAIL"])] == ["EMAIL"]
