@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session doesn't name one (as in tests) a folder of our own is set.
+    Only a session with a local master, as in tests, may do without: it gets a
+    temporary folder. On a cluster such a folder would be one machine's alone.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
     return named or context.getCheckpointDir()
 
@@ -43,9 +46,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't add up in a worker."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))):
-        spark.conf.set(key, value)
+    """Bound what one Arrow batch holds, so that very long texts don't add up in a worker.
+
+    Sets two options of the session, downwards only; a longer text still travels whole, in a batch of its own.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = _bytes(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(size: str) -> int:
+    """A number of Spark's options, with or without a unit; 0 if it can't be read."""
+    digits, unit = size.rstrip("bBkKmMgG"), size.lower().rstrip("b")[-1:]
+    return int(digits) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) if digits.isdigit() else 0
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:

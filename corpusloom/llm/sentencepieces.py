@@ -6,9 +6,8 @@ notes, for every byte of the normalised text, which byte of the source it came
 from; the pieces, laid end to end over the normalised text, are so projected to
 byte spans of the original. Ids are those of the sentencepiece library.
 
-Where a model's vocabulary has no piece that crosses a blank or a line break,
-the text falls into segments that are encoded on their own, and a bounded cache
-of segments saves most of the work; ids stay the same (the test compares both).
+Decoding hands all ids of a text to the library's decode(ids); nothing of the
+source text is used for it.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are
 encoded one by one; very long texts are held one at a time; extra columns are
@@ -18,7 +17,6 @@ passed through by :func:`encode`, and columns named like its outputs give way.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,12 +30,8 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import small_arrow_batches, table
 
 BLANK = "▁"
-#: Segments kept by a worker; when full, the cache starts afresh.
-CACHE_SEGMENTS = 500_000
-#: A first segment longer than this is decoded with the whole text.
-HEAD = 1000
-#: Longer segments aren't kept.
-CACHE_CHARS = 48
+#: Characters of texts that are encoded at a time, about; a longer text is taken alone, and whole.
+CHARS_AT_ONCE = 1 << 20
 
 
 def default_model() -> str:
@@ -145,45 +139,18 @@ class Codec:
         self.normaliser = Normaliser(proto.normalizer_spec)
         kinds = proto.SentencePiece
         self.widths = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces], dtype=np.int64)
-        self.chars = [p.piece for p in proto.pieces]
         self.byte = np.array([p.type == kinds.BYTE for p in proto.pieces])
-        pieces = [p.piece for p in proto.pieces if p.type not in (kinds.BYTE, kinds.CONTROL, kinds.UNKNOWN)]
-        crosses = re.compile(f"[^{BLANK}]{BLANK}|\n")
         spec = proto.trainer_spec
-        self.segments = (
-            self.normaliser.identity and self.normaliser.dummy_prefix and spec.model_type == 2 and spec.byte_fallback and not spec.treat_whitespace_as_suffix
-            and not any(p.type == kinds.USER_DEFINED for p in proto.pieces) and not any(crosses.search(p) for p in pieces) and BLANK in pieces
-        )
-        self.blank_id = self.lib.piece_to_id(BLANK)
-        self.cut = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n[^{BLANK}\n]*")
-        self.cache: dict[str, bytes] = {}
+        #: Whether each piece stands for its own bytes of the source, but for the blank put before the text.
+        self.literal = self.normaliser.identity and self.normaliser.dummy_prefix and spec.byte_fallback and not spec.treat_whitespace_as_suffix
         self.decimal = [str(i) for i in range(len(proto.pieces))]
         #: Bytes of the source below each piece, where no blank mark stands in the source itself.
         self.source_widths = np.array([1 if p.type == kinds.BYTE else len(p.piece.replace(BLANK, " ").encode()) for p in proto.pieces], dtype=np.int64)
         self.inner_byte = self.byte & np.array([p.type == kinds.BYTE and int(p.piece[1:-1], 16) >= 0x80 for p in proto.pieces])
 
-    def _learn(self, segments: set[str]) -> None:
-        """Puts the ids of the segments, as little-endian 32-bit numbers, into the cache."""
-        for begins_blank, strip in ((True, 0), (False, 1)):
-            own = [x for x in segments if (x[0] == BLANK) == begins_blank]
-            got = self.lib.encode([x[1:] if begins_blank else x for x in own])
-            for x, ids in zip(own, got, strict=True):
-                # the library gives no ids for an empty text, and begins the others with a blank
-                self.cache[x] = np.array(ids[strip:] if ids else [self.blank_id], dtype="<i4").tobytes()
-
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if not self.segments:
-            return [np.array(ids, dtype="<i4") for ids in self.lib.encode(texts)]
-        if len(self.cache) > CACHE_SEGMENTS:
-            self.cache.clear()
-        cache = self.cache
-        cuts = [self.cut.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        self._learn({s for cut in cuts for s in cut if s not in cache})
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, cut)), dtype="<i4") for cut in cuts]
-        for s in {s for cut in cuts for s in cut if len(s) > CACHE_CHARS}:
-            del cache[s]
-        return out
+        return [np.array(ids, dtype="<i4") for ids in self.lib.encode(texts, num_threads=1)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
@@ -200,7 +167,7 @@ class Codec:
         """
         if not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.segments and BLANK not in text and not self.inner_byte[ids].any():
+        if self.literal and BLANK not in text and not self.inner_byte[ids].any():
             ends = np.cumsum(self.source_widths[ids])
             return np.maximum(ends - self.source_widths[ids] - 1, 0), ends - 1
         if self.normaliser.identity:
@@ -230,18 +197,9 @@ class Codec:
         pieces = [self.lib.id_to_piece(i) for i in ids.tolist()]
         return np.array([1 if b else len(p.encode()) for p, b in zip(pieces, self.byte[ids], strict=True)], dtype=np.int64)
 
-    def decode(self, text: str, ids: np.ndarray) -> str:
-        """What the library's decode(ids) gives for the ids of ``text``.
-
-        With segments, all but the first decode to themselves with blanks for
-        blank marks: every byte piece belongs to a whole character there.
-        """
-        if not self.segments or not text:
-            return self.lib.decode(ids.tolist())
-        head = self.cut.match(BLANK + text[:HEAD].replace(" ", BLANK)).group(0)
-        if len(head) > HEAD:
-            return self.lib.decode(ids.tolist())
-        return self.lib.decode(self.encode(text[: len(head) - 1]).tolist()) + text[len(head) - 1 :].replace(BLANK, " ")
+    def decode(self, ids: np.ndarray) -> str:
+        """The library's decode(ids), over all of them."""
+        return self.lib.decode(ids.tolist())
 
 
 @lru_cache(maxsize=4)
@@ -249,6 +207,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _at_a_time(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about :data:`CHARS_AT_ONCE` characters."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > CHARS_AT_ONCE:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 SCHEMA = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("begins", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
@@ -257,19 +228,21 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, output
     path = model or default_model()
     small_arrow_batches(docs.sparkSession)
     docs = docs.drop(*[f.name for f in SCHEMA if f.name != text])
-    ints = pa.list_(pa.int32())
+    ints, spans = pa.list_(pa.int32()), "begins" in outputs or "ends" in outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
         for batch in batches:
             ids, begins, ends, decoded = [], [], [], []
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for t, got in zip(texts, use.encode_many(texts), strict=True):
-                begin, end = use.spans(t, got)
-                ids.append(got.astype(np.int32))
-                begins.append(begin.astype(np.int32))
-                ends.append(end.astype(np.int32))
-                decoded.append(use.decode(t, got))
+            for texts in _at_a_time([t or "" for t in batch.column(text).to_pylist()]):
+                for t, got in zip(texts, use.encode_many(texts), strict=True):
+                    if spans:
+                        begin, end = use.spans(t, got)
+                        begins.append(begin.astype(np.int32))
+                        ends.append(end.astype(np.int32))
+                    ids.append(got.astype(np.int32))
+                    if "decoded" in outputs:
+                        decoded.append(use.decode(got))
             made = {"ids": (ids, ints), "begins": (begins, ints), "ends": (ends, ints), "decoded": (decoded, pa.string())}
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(*made[c]) for c in outputs]], names=[*batch.schema.names, *outputs])
 
@@ -290,13 +263,13 @@ def digests(docs: DataFrame, text: str = "text", model: str | None = None) -> Da
         use, sha = codec(path), lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
             n, digest, decoded, covered = [], [], [], []
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for t, ids in zip(texts, use.encode_many(texts), strict=True):
-                ends = use.spans(t, ids)[1]
-                n.append(len(ids))
-                digest.append(sha(use.joined(ids)))
-                decoded.append(sha(use.decode(t, ids)))
-                covered.append(int(ends[-1]) if len(ends) else 0)
+            for texts in _at_a_time([t or "" for t in batch.column(text).to_pylist()]):
+                for t, ids in zip(texts, use.encode_many(texts), strict=True):
+                    ends = use.spans(t, ids)[1]
+                    n.append(len(ids))
+                    digest.append(sha(use.joined(ids)))
+                    decoded.append(sha(use.decode(ids)))
+                    covered.append(int(ends[-1]) if len(ends) else 0)
             arrays = [*[batch.column(c) for c in names], pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string()), pa.array(covered, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *[f.name for f in fields]])
 

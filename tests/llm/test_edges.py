@@ -151,6 +151,58 @@ def test_sentencepiece(docs, empty):
     assert sentencepieces.encode(empty).count() == 0 and sentencepieces.digests(docs).count() == len(TEXTS)
 
 
+def test_decoded_text_comes_from_the_ids(docs):
+    use = sentencepieces.codec(sentencepieces.default_model())
+    ids = use.encode(PROSE)
+    for k in (0, len(ids) // 2, len(ids) - 1):
+        other = ids.copy()
+        other[k] = ids[k] + 1 if ids[k] + 1 < 32000 else 300
+        assert use.decode(other) == use.lib.decode(other.tolist()) != PROSE
+    assert use.decode(ids) == PROSE and use.decode(ids[:0]) == ""
+    got = rows_by(sentencepieces.digests(docs))
+    for i, t in TEXTS:
+        ids = use.lib.encode(t or "")
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(use.lib.decode(ids).encode()).hexdigest())
+        assert want in {(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got[i]}
+
+
+def _trie():
+    """A compiled character map for the one key "ab" with the replacement "X"."""
+    import struct
+
+    units = [0] * 1024
+    root = 256
+    units[0] = root << 10
+    units[root ^ ord("a")] = ord("a") | ((root ^ ord("a")) ^ 512) << 10
+    units[512 ^ ord("b")] = ord("b") | ((512 ^ ord("b")) ^ 768) << 10 | 1 << 8
+    units[768] = 0x80000000
+    return struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + b"X\0"
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_spans_of_a_model_with_a_character_map(spark, tmp_path, squeeze):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(sentencepieces.default_model(), "rb").read())
+    proto.normalizer_spec.precompiled_charsmap = _trie()
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["zab and ab", "  crab   abab é a", "", "abé\nab ", "plain words", "😀ab"]
+    got = rows_by(sentencepieces.encode(spark.createDataFrame(list(enumerate(texts)), SCHEMA), model=str(path)))
+    for i, t in enumerate(texts):
+        r, data = got[i][0], t.encode()
+        assert r["ids"] == lib.encode(t) and r["decoded"] == lib.decode(r["ids"])
+        for k, a, b in zip(r["ids"], r["begins"], r["ends"], strict=True):
+            piece = lib.id_to_piece(k)
+            if not piece.startswith("<0x"):
+                source = data[a:b].decode().replace("ab", "X").replace(" ", "▁")
+                assert (source if not squeeze else re.sub("▁+", "▁", source)).lstrip("▁") == piece.lstrip("▁")
+
+
 def test_character_map_normalises_with_offsets():
     import struct
 
