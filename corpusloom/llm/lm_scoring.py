@@ -12,17 +12,21 @@ P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), with every c read from a filter and
 c(v,w) at most c(v) and c(w). The base score takes the exact counts: tokens
 frequent enough to fit a broadcast of at most :data:`COMMON` terms (16 bytes
 each) are looked up in the worker by their hash, all others by a join on the
-term itself, in which no trained term can be hot, since each has fewer
-occurrences than the frequent ones.
+term itself. Frequent means frequent in all documents, held-out ones included,
+so no term of the join is hot.
 
-Resident size: the filters hold some 10 bits for each level of each distinct
-n-gram. If all shards together exceed :data:`RESIDENT_BYTES`, documents are
-scored in rounds, each with as many shards as fit; every pair belongs to one
-shard, so the rounds' sums add up.
+Broadcasts are bounded by :data:`RESIDENT_BYTES` (or ``resident``), some 10 bits
+being needed for each level of each distinct n-gram. Larger filters are held in
+rounds. Terms fall into groups and pairs into cells of a group for the left and
+one for the right token, so that a round that holds two groups of terms and
+some shards of their cell has all that its pairs need; each pair is scored in
+one round and the rounds' sums add up. A round reads the documents again and
+writes a key and a sum for each, never the texts.
 
 Defined results: a null text counts as empty and has one token, the end; a null
 id counts as training; repeated rows count and are scored one by one; without
-training tokens N and V are 0. Columns but the id and the text are not used.
+training tokens N and V are 0. Columns but the id and the text are not used,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -52,10 +56,12 @@ PROBES, BITS_PER_LEVEL = 6, 9
 COMMON, LEAST_COMMON = 1_000_000, 4
 #: Pairs (before summing up) that one shard's task gets, about.
 PAIRS_PER_SHARD = 3_000_000
-#: Bytes of filters that workers hold at a time.
+#: Bytes of filters that a worker holds at a time.
 RESIDENT_BYTES = 96 << 20
-#: Distinct terms or pairs that a counting task holds before it passes them on.
-HELD_COUNTS = 250_000
+#: Distinct terms, words or (times four) pairs that a worker holds before it passes them on or forgets them.
+HELD_COUNTS = 200_000
+#: Characters of texts that a worker takes apart at a time, about; a longer text is taken alone.
+CHARS_AT_ONCE = 1 << 20
 END, START = b"\n", b"\t"  # no token can be one of these
 
 U = np.uint64
@@ -76,19 +82,46 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * PAIR + right)
 
 
-class Hasher:
-    """64-bit hashes of tokens, remembered up to a bound."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > HELD_COUNTS // 2:
-            self.known.clear()
+def _runs(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The tokens of texts, in runs of about :data:`CHARS_AT_ONCE` characters, each with the number of its first text."""
+    run, begin, size = [], 0, 0
+    for k, t in enumerate(texts):
+        body = t.as_py() or ""
+        if run and size + len(body) > CHARS_AT_ONCE:
+            yield begin, run
+            run, begin, size = [], k, 0
+        run.append(tokens(body))
+        size += len(body)
+    if run:
+        yield begin, run
+
+
+class Words:
+    """Numbers of words, with facts about each that ``facts`` finds from the 64-bit hashes; forgotten beyond a bound."""
+
+    def __init__(self, facts=lambda hashes: ()):
+        self.facts = facts
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {START: 0, END: 1}
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(START), xxhash.xxh3_64_intdigest(END)], dtype=np.uint64)
+        #: The hash by which a word's group is chosen: the start, as often as the end, lies with it.
+        self.homes = self.hashes[[1, 1]]
+        self.columns = [np.asarray(c)[[1, 1]] for c in self.facts(self.hashes)]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in ``hashes`` and ``columns``."""
+        if len(self.known) > HELD_COUNTS:
+            self._forget()
         known = self.known
-        for w in {w for w in words if w not in known}:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        fresh = [w for w in set(words) if w not in known]
+        if fresh:
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], dtype=np.uint64)
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            self.hashes, self.homes = np.concatenate([self.hashes, hashes]), np.concatenate([self.homes, hashes])
+            self.columns = [np.concatenate([c, x]) for c, x in zip(self.columns, self.facts(hashes), strict=True)]
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -144,23 +177,43 @@ class LogFrequencyFilter:
         return out
 
 
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> U(40)) % U(shards)).astype(np.int64)
+class Layout:
+    """Where n-grams lie: groups of terms, ``per_group`` shards each; cells of pairs, ``per_cell`` shards each."""
+
+    def __init__(self, groups: int, per_group: int, per_cell: int):
+        self.groups, self.per_group, self.per_cell = groups, per_group, per_cell
+
+    def group(self, terms: np.ndarray) -> np.ndarray:
+        return ((terms & U(0xFFFFFFFF)) * U(self.groups) >> U(32)).astype(np.int64)
+
+    def term_shard(self, terms: np.ndarray) -> np.ndarray:
+        return self.group(terms) * self.per_group + _part(terms, self.per_group)
+
+    def pair_shard(self, left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        return (self.group(left) * self.groups + self.group(right)) * self.per_cell + _part(pairs, self.per_cell)
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a range of hashes that each lies in, from its upper half: sorted hashes have sorted parts."""
+    return ((hashes >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
 class ShardedFilter:
-    """Shards that may be held by broadcasts; hashes of absent shards get -1."""
+    """Some shards; hashes of shards that aren't held get -1."""
 
-    def __init__(self, shards: int, held: dict[int, LogFrequencyFilter]):
-        self.shards, self.held = shards, held
+    def __init__(self, held: dict[int, LogFrequencyFilter]):
+        self.held = held
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        own, out = shard_of(hashes, self.shards).astype(np.int16 if self.shards < 1 << 15 else np.int64), np.full(len(hashes), -1, dtype=np.int64)
+    def levels(self, hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        if len(self.held) == 1 and not own.any() and 0 in self.held:
+            return self.held[0].levels(hashes)
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        if not len(hashes):
+            return out
         order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            at = order[edges[s] : edges[s + 1]]
-            if len(at) and s in self.held:
+        names, begins = np.unique(own[order], return_index=True)
+        for s, at in zip(names.tolist(), np.split(order, begins[1:]), strict=True):
+            if s in self.held:
                 out[at] = self.held[s].levels(hashes[at])
         return out
 
@@ -169,85 +222,105 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def count_terms(docs: DataFrame, text: str) -> DataFrame:
-    """term (binary) and n over all tokens, the end among them; summed in the worker before the shuffle."""
+def count_terms(docs: DataFrame) -> DataFrame:
+    """term (binary), n over the tokens of training documents and n_all over all, the end among them; summed in the worker before the shuffle.
+
+    docs: body and training (boolean).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            held[END] += len(texts)
-            for t in texts:
-                held.update(tokens(t))
-                if len(held) > HELD_COUNTS:
-                    yield _counts(held)
-                    held.clear()
-        if held:
-            yield _counts(held)
-
-    def _counts(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
-
-    return docs.select(text).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def pairs_of(lists: list[list[bytes]], hashes: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of left and right tokens of all pairs (the start before, the end after each text), and the text each belongs to."""
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    total = int(sizes.sum()) + len(lists)
-    right = np.empty(total, dtype=np.uint64)
-    ends = np.cumsum(sizes + 1) - 1
-    inner = np.ones(total, dtype=bool)
+            training = batch.column("training").to_pylist()
+            for begin, lists in _runs(batch.column("body")):
+                for k, words in enumerate(lists, begin):
+                    held[training[k]].update(words)
+                    held[training[k]][END] += 1
+                if len(held[0]) + len(held[1]) > HELD_COUNTS:
+                    yield from _counts(*held)
+                    held = Counter(), Counter()
+        yield from _counts(*held)
+
+    def _counts(other: Counter, own: Counter) -> Iterator[pa.RecordBatch]:
+        for counts, share in ((own, 1), (other, 0)):
+            if counts:
+                n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(n * share), pa.array(n)], names=["term", "n", "n_all"])
+
+    return docs.select("body", "training").mapInArrow(run, "term binary, n long, n_all long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+
+
+def pairs_of(words: Words, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of left and right tokens of all pairs (the start before, the end after each text), and the text each belongs to."""
+    sizes = np.array([len(x) + 1 for x in lists], dtype=np.int64)
+    ends = np.cumsum(sizes) - 1
+    right = np.ones(int(sizes.sum()), dtype=np.int32)  # the end has number 1, the start 0
+    inner = np.ones(len(right), dtype=bool)
     inner[ends] = False
-    right[inner], right[ends] = hashes, U(end)
-    left = np.empty(total, dtype=np.uint64)
+    right[inner] = words.numbers([w for x in lists for w in x])
+    left = np.zeros_like(right)
     left[1:] = right[:-1]
-    left[ends - sizes] = U(start)
-    return left, right, np.repeat(np.arange(len(lists)), sizes + 1)
+    left[ends - sizes + 1] = 0
+    return left, right, np.repeat(np.arange(len(lists)), sizes)
+
 
+def count_pairs(docs: DataFrame, layout: Layout) -> DataFrame:
+    """Hashes and counts of adjacent tokens by shard, packed, summed within the worker but not between workers.
 
-def count_pairs(docs: DataFrame, text: str, shards: int) -> DataFrame:
-    """Hashes and counts of adjacent tokens by shard, packed, summed within the worker but not between workers."""
-    start, end = xxhash.xxh3_64_intdigest(START), xxhash.xxh3_64_intdigest(END)
+    A worker holds more pairs where there are more shards, so that what it writes for one of them doesn't become tiny.
+    """
+    most = min(max(4 * HELD_COUNTS, 4 * layout.groups**2 * layout.per_cell), 32 * HELD_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+        words, held, size = Words(), [], 0
         for batch in batches:
-            lists = [tokens(t) for t in batch.column(text).to_pylist()]
-            if lists:
-                left, right, _ = pairs_of(lists, hasher([w for x in lists for w in x]), start, end)
-                held.append(pair_hash(left, right))
-                size += len(left)
-            if size > 4 * HELD_COUNTS:
-                yield from _counts(held)
-                held, size = [], 0
+            for _, lists in _runs(batch.column("body")):
+                left, right, _ = pairs_of(words, lists)
+                pairs = pair_hash(words.hashes[left], words.hashes[right])
+                held.append((pairs, layout.pair_shard(words.homes[left], words.homes[right], pairs) if layout.groups > 1 else None))
+                size += len(pairs)
+                if size > most:
+                    yield _counted(held)
+                    held, size = [], 0
         if size:
-            yield from _counts(held)
+            yield _counted(held)
 
-    def _counts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hashes, n = np.unique(np.concatenate(held), return_counts=True)
-        own = shard_of(hashes, shards)
-        order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(shards + 1))
-        for s in range(shards):
-            at = order[edges[s] : edges[s + 1]]
-            if len(at):
-                yield _blob(s, hashes[at], n[at])
+    def _counted(held: list[tuple]) -> pa.RecordBatch:
+        every = np.concatenate([x for x, _ in held])
+        if layout.groups == 1:
+            pairs, n = np.unique(every, return_counts=True)
+            return _blobs(_part(pairs, layout.per_cell), pairs, n)
+        pairs, first, n = np.unique(every, return_index=True, return_counts=True)
+        return _blobs(np.concatenate([x for _, x in held])[first], pairs, n)
 
-    return docs.select(text).mapInArrow(run, BLOBS)
+    return docs.select("body").mapInArrow(run, BLOBS)
 
 
 BLOBS = "shard int, hashes binary, counts binary"
 
 
-def _blob(shard: int, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([hashes.tobytes()], pa.binary()), pa.array([n.astype(np.uint32).tobytes()], pa.binary())], names=["shard", "hashes", "counts"])
+def _blobs(own: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each shard: its hashes, and their counts in as few bytes each as hold the largest."""
+    order = np.argsort(own, kind="stable")  # in linear time where shards come in order
+    own, hashes, n = own[order], hashes[order], n[order].astype(np.min_scalar_type(int(n.max(initial=0))))
+    begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    edges = np.append(begins, len(own))
+    packed = [_binary(x.tobytes(), edges * x.dtype.itemsize) for x in (hashes, n)]
+    return pa.RecordBatch.from_arrays([pa.array(own[begins].astype(np.int32)), *packed], names=["shard", "hashes", "counts"])
+
+
+def _binary(data: bytes, edges: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _counts_of(hashes: bytes, counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, f"u{len(counts) * 8 // max(len(hashes), 1) or 1}").astype(np.int64)
 
 
 def _build(table: pa.Table) -> pa.Table:
     """One shard's filter from its counts."""
-    hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
-    n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]).astype(np.int64)
+    parts = [(x.as_py(), y.as_py()) for x, y in zip(table.column("hashes"), table.column("counts"), strict=True)]
+    hashes, n = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in parts]), np.concatenate([_counts_of(x, y) for x, y in parts])
     order = np.argsort(hashes, kind="stable")
     hashes, n = hashes[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
@@ -261,143 +334,172 @@ def build_filter(counts: DataFrame) -> DataFrame:
 
 
 def _broadcast(context: SparkContext, rows: list) -> object:
-    """Shards of collected rows; a row is given up once its bytes are taken."""
+    """Shards of collected rows, whose sizes the caller has checked; a row is given up once its bytes are taken."""
     return context.broadcast([(r["shard"], r["bits"], bytes(r["data"])) for r in (rows.pop() for _ in range(len(rows)))])
 
 
-def _held(value: list) -> dict[int, LogFrequencyFilter]:
-    return {s: LogFrequencyFilter(bits, np.frombuffer(data, dtype=np.uint8)) for s, bits, data in value}
+def _held(value: list) -> ShardedFilter:
+    return ShardedFilter({s: LogFrequencyFilter(bits, np.frombuffer(data, dtype=np.uint8)) for s, bits, data in value})
+
 
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", resident: int | None = None) -> DataFrame:
+    """The id with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The id with held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    resident: bytes of filters that a worker holds at a time, :data:`RESIDENT_BYTES` by default; a
+    cluster with more memory takes fewer rounds with a larger number, to the same results.
+    """
     spark = docs.sparkSession
     context = spark.sparkContext
     small_arrow_batches(spark)
+    resident = resident or RESIDENT_BYTES
     docs = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("body"))
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS))
-    training = docs.filter(F.col("id").isNull() | (fold != HELD_OUT))
-
-    terms = stored(count_terms(training, "body").mapInArrow(_with_hash, "term binary, n long, hash long"), "lm-terms")
-    total, distinct = (x or 0 for x in terms.agg(F.sum("n"), F.count("*")).first())
-    common_from = _common_from(terms, distinct)
-    common = terms.filter(F.col("n") >= common_from).select("hash", "n").toArrow()
-    keys, counts = common.column("hash").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    docs = docs.withColumn("training", F.coalesce(fold != HELD_OUT, F.lit(True)))
+
+    terms = stored(count_terms(docs).mapInArrow(_with_hash, "term binary, n long, n_all long, hash long"), "lm-terms")
+    found = terms.agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("distinct"), F.count("*").alias("every")).first()
+    total, distinct = found["total"] or 0, found["distinct"]
+    common = _is_common(terms, found["every"])
+    exact = terms.filter(common).select("hash", "n").toArrow()
+    keys, counts = exact.column("hash").to_numpy().view(np.uint64), exact.column("n").to_numpy()
     order = np.argsort(keys)
     lookup = context.broadcast((keys[order], counts[order]))
 
-    # Terms go into a filter of their own shards, pairs into theirs; the number of tokens bounds both.
-    term_shards = max(1, math.ceil(distinct / PAIRS_PER_SHARD))
-    pair_shards = max(1, math.ceil(total / PAIRS_PER_SHARD))
-    unigrams = stored(build_filter(terms.select("hash", "n").mapInArrow(_packed(term_shards), BLOBS)), "lm-unigrams")
-    bigrams = stored(build_filter(count_pairs(training, "body", pair_shards)), "lm-bigrams")
+    # The number of tokens bounds what a shard's task gets. Two groups of terms take a quarter of the room each at most.
+    trained = terms.filter("n > 0")
+    term_bits = trained.agg(F.sum(F.floor(F.log2("n")) + 1)).first()[0] or 0
+    groups = max(1, math.ceil(term_bits * BITS_PER_LEVEL / 8 / (resident / 4))) if term_bits * BITS_PER_LEVEL / 8 > resident / 2 else 1
+    layout = Layout(groups, max(1, math.ceil(distinct / PAIRS_PER_SHARD / groups)), max(1, math.ceil(total / PAIRS_PER_SHARD / groups**2)))
+    unigrams = stored(build_filter(trained.select("hash", "n").mapInArrow(_packed(layout), BLOBS)), "lm-unigrams")
+    bigrams = stored(build_filter(count_pairs(docs.filter("training"), layout)), "lm-bigrams")
 
-    sizes = {r["shard"]: r["bits"] // 8 + 1 for r in bigrams.select("shard", "bits").collect()}
-    uni = _broadcast(context, unigrams.collect())
     norm = total + 0.5 * (distinct + 1)
-    rows, groups = docs, _groups(sizes, RESIDENT_BYTES)
-    for k, group in enumerate(groups):
-        pairs = _broadcast(context, bigrams.filter(F.col("shard").isin(group)).collect())
-        rows = _round(rows, None if k else lookup, uni, pairs, term_shards, pair_shards, norm)
-        if k + 1 < len(groups):
-            rows = stored(rows, "lm-round")
-    rows = stored(rows.drop("body").withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    return _with_rare(rows, terms.filter(F.col("n") < common_from).select("term", "n"), norm, doc_id, total)
+    plan = _rounds({r["shard"]: r["bits"] // 8 + 1 for r in bigrams.select("shard", "bits").toLocalIterator()}, layout, resident // 2)
+    passes = []
+    for k, (cell, shards) in enumerate(plan):
+        held = sorted({*divmod(cell, groups)})
+        ones = _broadcast(context, unigrams.filter(F.floor(F.col("shard") / layout.per_group).isin(held)).collect())
+        twos = _broadcast(context, bigrams.filter(F.col("shard").between(shards[0], shards[-1])).collect() if shards else [])
+        got = stored(_round(docs, lookup if k == 0 else None, ones, twos, layout, cell, (shards[0], shards[-1]) if shards else (0, -1), norm), "lm-rows" if k == 0 else "lm-round")
+        ones.destroy()
+        twos.destroy()
+        passes.append(got)
+    lookup.destroy()
+    rows = passes[0].withColumn("row", F.monotonically_increasing_id())
+    if len(passes) > 1:
+        # Rows with one key have one text, so each round has one sum for all of them.
+        later = [p.withColumn("round", F.lit(k)) for k, p in enumerate(passes[1:])]
+        sums = later[0]
+        for p in later[1:]:
+            sums = sums.union(p)
+        sums = sums.groupBy("key", "round").agg(F.max("part").alias("part")).groupBy("key").agg(F.sum("part").alias("rest"))
+        rows = stored(rows.join(sums, "key").withColumn("part", F.col("part") + F.col("rest")).drop("rest"), "lm-summed")
+    return _with_rare(rows.withColumnRenamed("part", "score"), terms.filter(~common).select("term", "n"), norm, doc_id, total)
 
 
 def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = np.array([xxhash.xxh3_64_intdigest(t) for t in batch.column("term").to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], names=["term", "n", "hash"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], names=[*batch.schema.names, "hash"])
 
 
-def _packed(shards: int):
+def _packed(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, n = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("n").to_numpy(zero_copy_only=False)
-            own = shard_of(h, shards)
-            for s in np.unique(own).tolist():
-                yield _blob(s, h[own == s], np.minimum(n[own == s], 2**32 - 1))
+            yield _blobs(layout.term_shard(h), h, n)
 
     return run
 
 
-def _common_from(terms: DataFrame, distinct: int) -> int:
-    """The least count c, from :data:`LEAST_COMMON`, so that at most :data:`COMMON` terms have c or more."""
-    if distinct <= COMMON:
-        return LEAST_COMMON
-    level = F.least(F.col("n"), F.lit(1 << 20))
-    histogram = sorted((r["level"], r["k"]) for r in terms.groupBy(level.alias("level")).agg(F.count("*").alias("k")).filter(F.col("level") >= LEAST_COMMON).collect())
-    held = 0
-    for c, k in reversed(histogram):
-        held += k
+def _is_common(terms: DataFrame, every: int):
+    """Whether a term is looked up in the broadcast: at least :data:`LEAST_COMMON` occurrences in all documents, and
+    as many sixteenths of an octave as leave at most :data:`COMMON` such terms."""
+    level = F.floor(F.log2("n_all") * 16)
+    enough = F.col("n_all") >= LEAST_COMMON
+    if every <= COMMON:
+        return enough
+    held, least = 0, 1 << 20
+    for r in sorted(terms.filter(enough).groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):  # at most 16 * 64 rows
+        held += r["k"]
         if held > COMMON:
-            return c + 1
-    return LEAST_COMMON
-
-
-def _groups(sizes: dict[int, int], most: int) -> list[list[int]]:
-    """Shards in rounds whose filters together fit ``most`` bytes; one round at least, if only of an empty list."""
-    out: list[list[int]] = [[]]
-    held = 0
-    for s in sorted(sizes):
-        if out[-1] and held + sizes[s] > most:
-            out.append([])
-            held = 0
-        out[-1].append(s)
-        held += sizes[s]
+            break
+        least = r["level"]
+    return enough & (level >= least)
+
+
+def _rounds(sizes: dict[int, int], layout: Layout, most: int) -> list[tuple[int, list[int]]]:
+    """Cells with shards in order, whose filters together fit ``most`` bytes; every cell has a round, if only of an empty list."""
+    out = []
+    for cell in range(layout.groups**2):
+        run, held = [], 0
+        for s in range(cell * layout.per_cell, (cell + 1) * layout.per_cell):
+            if run and held + sizes.get(s, 0) > most:
+                out.append((cell, run))
+                run, held = [], 0
+            run.append(s)
+            held += sizes.get(s, 0)
+        out.append((cell, run))
     return out
 
 
-ROW = "id {0}, body string, n_tokens long, known long, base double, rare array<binary>, times array<long>, score double"
+FIRST = "key string, id {0}, n_tokens long, known long, base double, rare array<binary>, times array<long>, part double"
 
 
-def _round(rows: DataFrame, lookup, uni, pairs, term_shards: int, pair_shards: int, norm: float) -> DataFrame:
-    """One pass over the texts: with ``lookup`` the base counts of common terms, always the scores of the held shards' pairs."""
-    start, end = xxhash.xxh3_64_intdigest(START), xxhash.xxh3_64_intdigest(END)
-    kind = rows.schema["id"].dataType.simpleString()
+def _round(docs: DataFrame, lookup, uni, pairs, layout: Layout, cell: int, shards: tuple[int, int], norm: float) -> DataFrame:
+    """One pass over the texts: the sums over the pairs of the shards in question, and with ``lookup`` the base counts of common terms."""
+    kind = docs.schema["id"].dataType.simpleString()
+    groups = divmod(cell, layout.groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        ones, twos = ShardedFilter(term_shards, _held(uni.value)), ShardedFilter(pair_shards, _held(pairs.value))
-        texts = count_of(ones.levels(np.array([end], dtype=np.uint64)))[0]
+        ones, twos = _held(uni.value), _held(pairs.value)
+        exact = lookup.value if lookup is not None else None
+
+        def facts(hashes: np.ndarray) -> tuple:
+            told = count_of(ones.levels(hashes, layout.term_shard(hashes))), layout.group(hashes)
+            return told if exact is None else (*told, *_base_values(hashes, exact, norm))
+
+        words = Words(facts)
         for batch in batches:
-            lists = [tokens(t) for t in batch.column("body").to_pylist()]
-            if not lists:
-                continue
-            left, right, owner = pairs_of(lists, hasher([w for x in lists for w in x]), start, end)
-            seen, back = np.unique(right, return_inverse=True)
-            after = count_of(ones.levels(seen))[back]
-            before = np.empty_like(after)
-            before[1:] = after[:-1]
-            before[left == U(start)] = texts
-            level = twos.levels(pair_hash(left, right))
-            here = level >= 0  # pairs of shards that this round holds
-            before, single = before[here], (after[here] + 0.5) / norm if norm else 1.0
-            both = np.minimum(np.minimum(count_of(level[here]), after[here]), before)
-            p = LAMBDA * np.divide(both, before, out=np.zeros_like(both), where=before > 0) + (1 - LAMBDA) * single
-            sums = np.bincount(owner[here], weights=np.log10(p), minlength=len(lists))
-            columns = {c: batch.column(c) for c in ("id", "body")}
-            if lookup is not None:
-                columns |= _base(lists, seen, back, owner, lookup.value, norm)
-            else:
-                columns |= {c: batch.column(c) for c in ("n_tokens", "known", "base", "rare", "times")}
-                sums = sums + batch.column("score").to_numpy(zero_copy_only=False)
-            columns["score"] = pa.array(sums, pa.float64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return rows.mapInArrow(run, ROW.format(kind))
-
-
-def _base(lists: list[list[bytes]], seen: np.ndarray, back: np.ndarray, owner: np.ndarray, exact: tuple[np.ndarray, np.ndarray], norm: float) -> dict[str, pa.Array]:
-    """Counts and log sums of the tokens that ``exact`` has; the others with their number in the text."""
+            ids = batch.column("id")
+            for begin, lists in _runs(batch.column("body")):
+                left, right, owner = pairs_of(words, lists)
+                count, group = words.columns[:2]
+                here = slice(None) if layout.groups == 1 else np.flatnonzero((group[left] == groups[0]) & (group[right] == groups[1]))
+                hashes = pair_hash(words.hashes[left[here]], words.hashes[right[here]])
+                own = layout.pair_shard(words.homes[left[here]], words.homes[right[here]], hashes)
+                level = twos.levels(hashes, own)
+                whose = owner[here]
+                if shards != (cell * layout.per_cell, (cell + 1) * layout.per_cell - 1):
+                    mine = np.flatnonzero((own >= shards[0]) & (own <= shards[1]))
+                    level, whose, here = level[mine], whose[mine], np.arange(len(left))[here][mine]
+                after, before = count[right[here]], count[left[here]]
+                single = (after + 0.5) / norm if norm else 1.0
+                both = np.minimum(np.minimum(count_of(np.maximum(level, 0)), after), before)
+                p = LAMBDA * np.divide(both, before, out=np.zeros_like(both), where=before > 0) + (1 - LAMBDA) * single
+                columns = {"key": pa.array([f"{i}:{xxhash.xxh3_128_hexdigest(b' '.join(x))}" for i, x in zip(ids.slice(begin, len(lists)).to_pylist(), lists, strict=True)], pa.string())}
+                if exact is not None:
+                    columns |= {"id": ids.slice(begin, len(lists))} | _base(lists, right, owner, *words.columns[2:])
+                columns["part"] = pa.array(np.bincount(whose, weights=np.log10(p), minlength=len(lists)), pa.float64())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return docs.select("id", "body").mapInArrow(run, FIRST.format(kind) if lookup is not None else "key string, part double")
+
+
+def _base_values(hashes: np.ndarray, exact: tuple[np.ndarray, np.ndarray], norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether ``exact`` has each hash, whether with training occurrences, and what it adds to the base score."""
     keys, counts = exact
+    if not len(keys):
+        return np.zeros(len(hashes), bool), np.zeros(len(hashes), bool), np.zeros(len(hashes))
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    found = keys[at] == hashes
+    return found, found & (counts[at] > 0), np.where(found, np.log10((counts[at] + 0.5) / (norm or 1)), 0.0)
+
+
+def _base(lists: list[list[bytes]], right: np.ndarray, owner: np.ndarray, found: np.ndarray, trained: np.ndarray, value: np.ndarray) -> dict[str, pa.Array]:
+    """Counts and log sums of the tokens that the broadcast has; the others with their number in the text."""
     n = len(lists)
-    at = np.minimum(np.searchsorted(keys, seen), max(len(keys) - 1, 0))
-    found = keys[at] == seen if len(keys) else np.zeros(len(seen), dtype=bool)
-    value = np.where(found, np.log10(((counts[at] if len(keys) else 0) + 0.5) / norm), 0.0) if norm else np.zeros(len(seen))
-    found = found[back]
-    rest = np.flatnonzero(~found)
+    rest = np.flatnonzero(~found[right])
     others: list[Counter] = [Counter() for _ in lists]
     sizes = np.array([len(x) + 1 for x in lists], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -406,8 +508,8 @@ def _base(lists: list[list[bytes]], seen: np.ndarray, back: np.ndarray, owner: n
         others[i][words[k] if k < len(words) else END] += 1
     return {
         "n_tokens": pa.array(sizes, pa.int64()),
-        "known": pa.array(np.bincount(owner, weights=found, minlength=n).astype(np.int64), pa.int64()),
-        "base": pa.array(np.bincount(owner, weights=value[back], minlength=n), pa.float64()),
+        "known": pa.array(np.bincount(owner, weights=trained[right], minlength=n).astype(np.int64), pa.int64()),
+        "base": pa.array(np.bincount(owner, weights=value[right], minlength=n), pa.float64()),
         "rare": pa.array([list(x) for x in others], pa.list_(pa.binary())),
         "times": pa.array([list(x.values()) for x in others], pa.list_(pa.int64())),
     }

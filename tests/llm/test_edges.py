@@ -284,15 +284,44 @@ def test_ngram_join(spark, docs, empty, monkeypatch):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] in (10, 11)) == [10]
 
 
-def test_lm_scoring(docs, empty, monkeypatch):
+def quantised(c):
+    level = c.bit_length()
+    return 0.75 * 2**level - (0.5 if level == 1 else 0) if level else 0.0
+
+
+def model_scores(toks, held):
+    """The interpolated model with exact dictionaries in place of filters; counts are rounded to their classes alike."""
+    train = [ws for i, ws in toks if not held(i)]
+    ones, twos = Counter(w for ws in train for w in ws), Counter(x for ws in train for x in zip(["\t", *ws], ws, strict=False))
+    n, v = sum(ones.values()), len(ones)
+    norm = n + 0.5 * (v + 1)
+    one = lambda w: quantised(ones["\n" if w == "\t" else w])
+    out = []
+    for i, ws in toks:
+        total = 0.0
+        for a, b in zip(["\t", *ws], ws, strict=False):
+            both = min(quantised(twos[(a, b)]), one(a), one(b))
+            total += math.log10(lm_scoring.LAMBDA * (both / one(a) if one(a) else 0) + (1 - lm_scoring.LAMBDA) * (one(b) + 0.5) / norm)
+        out.append((i, len(ws), total))
+    return out
+
+
+@pytest.mark.parametrize("resident", [None, 1600])
+def test_lm_scoring(docs, empty, monkeypatch, resident):
     monkeypatch.setattr(lm_scoring, "COMMON", 3)
-    monkeypatch.setattr(lm_scoring, "PAIRS_PER_SHARD", 40)
-    monkeypatch.setattr(lm_scoring, "RESIDENT_BYTES", 200)
+    monkeypatch.setattr(lm_scoring, "PAIRS_PER_SHARD", 400)
+    monkeypatch.setattr(lm_scoring, "RESIDENT_BYTES", resident or lm_scoring.RESIDENT_BYTES)
+    monkeypatch.setattr(lm_scoring, "BITS_PER_LEVEL", 32)  # so that false hits are rare in so few bits
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     toks = [(i, [*words(lower(t)), "\n"]) for i, t in TEXTS]
     c = Counter(w for i, ws in toks if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    got = rows_by(lm_scoring.score(docs))
+    got = rows_by(lm_scoring.score(docs.withColumns({"key": F.lit(1), "id": F.lit("x"), "body": F.lit(2), "training": F.lit(None), "row": F.lit(3)})))
+    assert sum(map(len, got.values())) == len(TEXTS)
+    off = 0
+    for i, n_tokens, total in model_scores(toks, held):
+        off += not any(r["n_tokens"] == n_tokens and abs(r["score"] - total) < 1e-6 for r in got[i])
+    assert off <= 2  # false hits of the filters
     for i, ws in toks:
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
         near = [r for r in got[i] if r["n_tokens"] == len(ws) and abs(r["base_score"] - base) < 1e-6]
