@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +36,51 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+
+
+#: The folders written by each operator that is at work, the innermost last.
+_WRITTEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The written rows survive a lost executor, and a later read prunes columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written, and all that it stored on the way deleted; for results that are small beside the texts."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _WRITTEN.append(paths := [])
+        try:
+            out = operator(*args, **kwargs)
+            spark, path = out.sparkSession, new_path(out.sparkSession, operator.__name__)
+            out.write.parquet(path)
+        finally:
+            _WRITTEN.pop()
+        for x in paths:
+            removed(spark, x)
+        if _WRITTEN:
+            _WRITTEN[-1].append(path)
+        return spark.read.schema(out.schema).parquet(path)
+
+    return run
 
 
 def small_arrow_batches(spark: SparkSession) -> None:

@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import small_arrow_batches, stored, table
+from corpusloom.llm.common import small_arrow_batches, stored, table, tidied
+from corpusloom.llm.word_hashes import Run, hashed, mix, runs
 
 FOLDS, HELD_OUT = 5, 1
 #: Weight of the pair's relative frequency.
@@ -57,73 +57,20 @@ COMMON, LEAST_COMMON = 1_000_000, 4
 #: Pairs (before summing up) that one shard's task gets, about.
 PAIRS_PER_SHARD = 3_000_000
 #: Bytes of filters that a worker holds at a time.
-RESIDENT_BYTES = 96 << 20
-#: Distinct terms, words or (times four) pairs that a worker holds before it passes them on or forgets them.
-HELD_COUNTS = 200_000
-#: Characters of texts that a worker takes apart at a time, about; a longer text is taken alone.
-CHARS_AT_ONCE = 1 << 20
-END, START = b"\n", b"\t"  # no token can be one of these
+RESIDENT_BYTES = 160 << 20
+#: Bytes of texts whose terms are summed up at a time, and pairs that a worker sums up at least.
+TERM_RUN, HELD_PAIRS = 8 << 20, 800_000
+END = b"\n"  # no word can be this
 
 U = np.uint64
-MIX_A, MIX_B, PAIR = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased; ``bytes`` split and lower at exactly the ASCII blanks and letters."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(31))) * MIX_A
-    return (h ^ (h >> U(29))) * MIX_B
+PAIR, LEVEL = U(0xD6E8FEB86659FD93), 0xC2B2AE3D27D4EB4F
+START_HASH, END_HASH = mix(np.array([1, 2], dtype=np.uint64))
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * PAIR + right)
 
 
-def _runs(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """The tokens of texts, in runs of about :data:`CHARS_AT_ONCE` characters, each with the number of its first text."""
-    run, begin, size = [], 0, 0
-    for k, t in enumerate(texts):
-        body = t.as_py() or ""
-        if run and size + len(body) > CHARS_AT_ONCE:
-            yield begin, run
-            run, begin, size = [], k, 0
-        run.append(tokens(body))
-        size += len(body)
-    if run:
-        yield begin, run
-
-
-class Words:
-    """Numbers of words, with facts about each that ``facts`` finds from the 64-bit hashes; forgotten beyond a bound."""
-
-    def __init__(self, facts=lambda hashes: ()):
-        self.facts = facts
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {START: 0, END: 1}
-        self.hashes = np.array([xxhash.xxh3_64_intdigest(START), xxhash.xxh3_64_intdigest(END)], dtype=np.uint64)
-        #: The hash by which a word's group is chosen: the start, as often as the end, lies with it.
-        self.homes = self.hashes[[1, 1]]
-        self.columns = [np.asarray(c)[[1, 1]] for c in self.facts(self.hashes)]
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word in ``hashes`` and ``columns``."""
-        if len(self.known) > HELD_COUNTS:
-            self._forget()
-        known = self.known
-        fresh = [w for w in set(words) if w not in known]
-        if fresh:
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], dtype=np.uint64)
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            self.hashes, self.homes = np.concatenate([self.hashes, hashes]), np.concatenate([self.homes, hashes])
-            self.columns = [np.concatenate([c, x]) for c, x in zip(self.columns, self.facts(hashes), strict=True)]
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
-
-
 def levels_of(counts: np.ndarray) -> np.ndarray:
     """1 + floor(log2 c), exactly, for c from 1."""
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
@@ -136,7 +83,7 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 def _spots(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the probes for a level begin, and how far apart they are."""
-    h = mix(hashes + U(level * int(MIX_B) & 0xFFFFFFFFFFFFFFFF))
+    h = mix(hashes + U(level * LEVEL & 0xFFFFFFFFFFFFFFFF))
     return h, (h >> U(32)) | U(1)
 
 
@@ -151,9 +98,9 @@ class LogFrequencyFilter:
         self.bits, self.data = bits, data
 
     @classmethod
-    def build(cls, hashes: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
+    def build(cls, hashes: np.ndarray, counts: np.ndarray, bits_per_level: int = BITS_PER_LEVEL) -> LogFrequencyFilter:
         levels = levels_of(counts)
-        bits = max(64, int(levels.sum()) * BITS_PER_LEVEL)
+        bits = max(64, int(levels.sum()) * bits_per_level)
         flags = np.zeros(bits, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             h, step = _spots(hashes[levels >= level], level)
@@ -229,39 +176,38 @@ def count_terms(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
         for batch in batches:
-            training = batch.column("training").to_pylist()
-            for begin, lists in _runs(batch.column("body")):
-                for k, words in enumerate(lists, begin):
-                    held[training[k]].update(words)
-                    held[training[k]][END] += 1
-                if len(held[0]) + len(held[1]) > HELD_COUNTS:
-                    yield from _counts(*held)
-                    held = Counter(), Counter()
-        yield from _counts(*held)
-
-    def _counts(other: Counter, own: Counter) -> Iterator[pa.RecordBatch]:
-        for counts, share in ((own, 1), (other, 0)):
-            if counts:
-                n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(n * share), pa.array(n)], names=["term", "n", "n_all"])
+            training = batch.column("training").to_numpy(zero_copy_only=False).astype(np.int64)
+            for r in runs(batch.column("body"), TERM_RUN):
+                own = training[r.first : r.first + len(r.sizes)]
+                _, first, at, n_all = np.unique(r.hashes, return_index=True, return_inverse=True, return_counts=True)
+                n = np.bincount(at, weights=np.repeat(own, r.sizes), minlength=len(first)).astype(np.int64)
+                sizes = (r.ends - r.begins)[first]
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                every = np.frombuffer(r.data, dtype=np.uint8)[np.arange(edges[-1]) + np.repeat(r.begins[first] - edges[:-1], sizes)]
+                terms = _binary(every.tobytes() + END, np.append(edges, edges[-1] + 1))
+                yield pa.RecordBatch.from_arrays([terms, pa.array(np.append(n, own.sum())), pa.array(np.append(n_all, len(own)).astype(np.int64))], names=["term", "n", "n_all"])
 
     return docs.select("body", "training").mapInArrow(run, "term binary, n long, n_all long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
-def pairs_of(words: Words, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of left and right tokens of all pairs (the start before, the end after each text), and the text each belongs to."""
-    sizes = np.array([len(x) + 1 for x in lists], dtype=np.int64)
+def tokens_of(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens before and at each place (the start before, the end after each text), and the text each belongs to."""
+    sizes = run.sizes + 1
     ends = np.cumsum(sizes) - 1
-    right = np.ones(int(sizes.sum()), dtype=np.int32)  # the end has number 1, the start 0
+    right = np.full(int(sizes.sum()), END_HASH)
     inner = np.ones(len(right), dtype=bool)
     inner[ends] = False
-    right[inner] = words.numbers([w for x in lists for w in x])
-    left = np.zeros_like(right)
+    right[inner] = run.hashes
+    left = np.empty_like(right)
     left[1:] = right[:-1]
-    left[ends - sizes + 1] = 0
-    return left, right, np.repeat(np.arange(len(lists)), sizes)
+    left[ends - sizes + 1] = START_HASH
+    return left, right, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _home(left: np.ndarray) -> np.ndarray:
+    """The hashes by which groups are chosen: the start, as often as the end, lies with it."""
+    return np.where(left == START_HASH, END_HASH, left)
 
 
 def count_pairs(docs: DataFrame, layout: Layout) -> DataFrame:
@@ -269,15 +215,15 @@ def count_pairs(docs: DataFrame, layout: Layout) -> DataFrame:
 
     A worker holds more pairs where there are more shards, so that what it writes for one of them doesn't become tiny.
     """
-    most = min(max(4 * HELD_COUNTS, 4 * layout.groups**2 * layout.per_cell), 32 * HELD_COUNTS)
+    most = min(max(HELD_PAIRS, 4 * layout.groups**2 * layout.per_cell), 8 * HELD_PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
+        held, size = [], 0
         for batch in batches:
-            for _, lists in _runs(batch.column("body")):
-                left, right, _ = pairs_of(words, lists)
-                pairs = pair_hash(words.hashes[left], words.hashes[right])
-                held.append((pairs, layout.pair_shard(words.homes[left], words.homes[right], pairs) if layout.groups > 1 else None))
+            for r in runs(batch.column("body")):
+                left, right, _ = tokens_of(r)
+                pairs = pair_hash(left, right)
+                held.append((pairs, layout.pair_shard(_home(left), right, pairs) if layout.groups > 1 else None))
                 size += len(pairs)
                 if size > most:
                     yield _counted(held)
@@ -317,20 +263,20 @@ def _counts_of(hashes: bytes, counts: bytes) -> np.ndarray:
     return np.frombuffer(counts, f"u{len(counts) * 8 // max(len(hashes), 1) or 1}").astype(np.int64)
 
 
-def _build(table: pa.Table) -> pa.Table:
-    """One shard's filter from its counts."""
-    parts = [(x.as_py(), y.as_py()) for x, y in zip(table.column("hashes"), table.column("counts"), strict=True)]
-    hashes, n = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in parts]), np.concatenate([_counts_of(x, y) for x, y in parts])
-    order = np.argsort(hashes, kind="stable")
-    hashes, n = hashes[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    got = LogFrequencyFilter.build(hashes[first], np.add.reduceat(n, first))
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bits": pa.array([got.bits], pa.int64()), "data": pa.array([got.data.tobytes()], pa.binary())})
-
-
 def build_filter(counts: DataFrame) -> DataFrame:
     """A row for each shard with its filter; a shard's counts are bounded by the number of shards that the caller took."""
-    return counts.groupBy("shard").applyInArrow(_build, "shard int, bits long, data binary")
+    bits_per_level = BITS_PER_LEVEL
+
+    def build(table: pa.Table) -> pa.Table:
+        parts = [(x.as_py(), y.as_py()) for x, y in zip(table.column("hashes"), table.column("counts"), strict=True)]
+        hashes, n = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in parts]), np.concatenate([_counts_of(x, y) for x, y in parts])
+        order = np.argsort(hashes, kind="stable")
+        hashes, n = hashes[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        got = LogFrequencyFilter.build(hashes[first], np.add.reduceat(n, first), bits_per_level)
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bits": pa.array([got.bits], pa.int64()), "data": pa.array([got.data.tobytes()], pa.binary())})
+
+    return counts.groupBy("shard").applyInArrow(build, "shard int, bits long, data binary")
 
 
 def _broadcast(context: SparkContext, rows: list) -> object:
@@ -342,6 +288,7 @@ def _held(value: list) -> ShardedFilter:
     return ShardedFilter({s: LogFrequencyFilter(bits, np.frombuffer(data, dtype=np.uint8)) for s, bits, data in value})
 
 
+@tidied
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", resident: int | None = None) -> DataFrame:
     """The id with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -365,16 +312,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", resident:
     order = np.argsort(keys)
     lookup = context.broadcast((keys[order], counts[order]))
 
-    # The number of tokens bounds what a shard's task gets. Two groups of terms take a quarter of the room each at most.
+    # The number of tokens bounds what a shard's task gets. Two groups of terms take a quarter of the room together at most.
     trained = terms.filter("n > 0")
-    term_bits = trained.agg(F.sum(F.floor(F.log2("n")) + 1)).first()[0] or 0
-    groups = max(1, math.ceil(term_bits * BITS_PER_LEVEL / 8 / (resident / 4))) if term_bits * BITS_PER_LEVEL / 8 > resident / 2 else 1
+    term_bytes = (trained.agg(F.sum(F.floor(F.log2("n")) + 1)).first()[0] or 0) * BITS_PER_LEVEL / 8
+    groups = 1 if term_bytes <= resident / 4 else math.ceil(term_bytes / (resident / 8))
     layout = Layout(groups, max(1, math.ceil(distinct / PAIRS_PER_SHARD / groups)), max(1, math.ceil(total / PAIRS_PER_SHARD / groups**2)))
     unigrams = stored(build_filter(trained.select("hash", "n").mapInArrow(_packed(layout), BLOBS)), "lm-unigrams")
     bigrams = stored(build_filter(count_pairs(docs.filter("training"), layout)), "lm-bigrams")
 
     norm = total + 0.5 * (distinct + 1)
-    plan = _rounds({r["shard"]: r["bits"] // 8 + 1 for r in bigrams.select("shard", "bits").toLocalIterator()}, layout, resident // 2)
+    plan = _rounds({r["shard"]: r["bits"] // 8 + 1 for r in bigrams.select("shard", "bits").toLocalIterator()}, layout, resident * 3 // 4)
     passes = []
     for k, (cell, shards) in enumerate(plan):
         held = sorted({*divmod(cell, groups)})
@@ -399,7 +346,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", resident:
 
 def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = np.array([xxhash.xxh3_64_intdigest(t) for t in batch.column("term").to_pylist()], dtype=np.uint64)
+        r = hashed(batch.column("term").to_pylist())
+        h = np.full(len(r.sizes), END_HASH)
+        h[r.sizes == 1] = r.hashes
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], names=[*batch.schema.names, "hash"])
 
 
@@ -454,33 +403,35 @@ def _round(docs: DataFrame, lookup, uni, pairs, layout: Layout, cell: int, shard
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, twos = _held(uni.value), _held(pairs.value)
         exact = lookup.value if lookup is not None else None
-
-        def facts(hashes: np.ndarray) -> tuple:
-            told = count_of(ones.levels(hashes, layout.term_shard(hashes))), layout.group(hashes)
-            return told if exact is None else (*told, *_base_values(hashes, exact, norm))
-
-        words = Words(facts)
+        every = shards == (cell * layout.per_cell, (cell + 1) * layout.per_cell - 1)
+        texts = count_of(ones.levels(np.array([END_HASH]), layout.term_shard(np.array([END_HASH]))))[0]
         for batch in batches:
             ids = batch.column("id")
-            for begin, lists in _runs(batch.column("body")):
-                left, right, owner = pairs_of(words, lists)
-                count, group = words.columns[:2]
-                here = slice(None) if layout.groups == 1 else np.flatnonzero((group[left] == groups[0]) & (group[right] == groups[1]))
-                hashes = pair_hash(words.hashes[left[here]], words.hashes[right[here]])
-                own = layout.pair_shard(words.homes[left[here]], words.homes[right[here]], hashes)
-                level = twos.levels(hashes, own)
-                whose = owner[here]
-                if shards != (cell * layout.per_cell, (cell + 1) * layout.per_cell - 1):
-                    mine = np.flatnonzero((own >= shards[0]) & (own <= shards[1]))
-                    level, whose, here = level[mine], whose[mine], np.arange(len(left))[here][mine]
-                after, before = count[right[here]], count[left[here]]
+            for r in runs(batch.column("body")):
+                left, right, owner = tokens_of(r)
+                n = len(r.sizes)
+                seen, at = np.unique(right, return_inverse=True)
+                after = count_of(ones.levels(seen, layout.term_shard(seen)))[at]
+                before = np.append(texts, after[:-1])
+                before[left == START_HASH] = texts  # as many texts begin as end
+                begins = np.concatenate([[0], np.cumsum(r.sizes + 1)])
+                digests = (xxhash.xxh3_128_hexdigest(right[a:b].tobytes()) for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False))
+                columns = {"key": pa.array([f"{i}:{d}" for i, d in zip(ids.slice(r.first, n).to_pylist(), digests, strict=True)], pa.string())}
+                if exact is not None:
+                    columns |= {"id": ids.slice(r.first, n)} | _base(r, at, owner, *_base_values(seen, exact, norm))
+                hashes = pair_hash(left, right)
+                if not every or layout.groups > 1:
+                    here = np.arange(len(left)) if layout.groups == 1 else np.flatnonzero((layout.group(_home(left)) == groups[0]) & (layout.group(seen)[at] == groups[1]))
+                    if not every:
+                        own = layout.pair_shard(_home(left[here]), right[here], hashes[here])
+                        here = here[(own >= shards[0]) & (own <= shards[1])]
+                    left, right, hashes, owner, before, after = (x[here] for x in (left, right, hashes, owner, before, after))
+                asked, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+                level = twos.levels(asked, layout.pair_shard(_home(left[first]), right[first], asked) if layout.groups > 1 else _part(asked, layout.per_cell))[which]
                 single = (after + 0.5) / norm if norm else 1.0
                 both = np.minimum(np.minimum(count_of(np.maximum(level, 0)), after), before)
                 p = LAMBDA * np.divide(both, before, out=np.zeros_like(both), where=before > 0) + (1 - LAMBDA) * single
-                columns = {"key": pa.array([f"{i}:{xxhash.xxh3_128_hexdigest(b' '.join(x))}" for i, x in zip(ids.slice(begin, len(lists)).to_pylist(), lists, strict=True)], pa.string())}
-                if exact is not None:
-                    columns |= {"id": ids.slice(begin, len(lists))} | _base(lists, right, owner, *words.columns[2:])
-                columns["part"] = pa.array(np.bincount(whose, weights=np.log10(p), minlength=len(lists)), pa.float64())
+                columns["part"] = pa.array(np.bincount(owner, weights=np.log10(p), minlength=n), pa.float64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.select("id", "body").mapInArrow(run, FIRST.format(kind) if lookup is not None else "key string, part double")
@@ -496,22 +447,26 @@ def _base_values(hashes: np.ndarray, exact: tuple[np.ndarray, np.ndarray], norm:
     return found, found & (counts[at] > 0), np.where(found, np.log10((counts[at] + 0.5) / (norm or 1)), 0.0)
 
 
-def _base(lists: list[list[bytes]], right: np.ndarray, owner: np.ndarray, found: np.ndarray, trained: np.ndarray, value: np.ndarray) -> dict[str, pa.Array]:
-    """Counts and log sums of the tokens that the broadcast has; the others with their number in the text."""
-    n = len(lists)
-    rest = np.flatnonzero(~found[right])
-    others: list[Counter] = [Counter() for _ in lists]
-    sizes = np.array([len(x) + 1 for x in lists], dtype=np.int64)
-    begins = np.cumsum(sizes) - sizes
-    for k, i in zip((rest - begins[owner[rest]]).tolist(), owner[rest].tolist(), strict=True):
-        words = lists[i]
-        others[i][words[k] if k < len(words) else END] += 1
+def _base(r: Run, at: np.ndarray, owner: np.ndarray, found: np.ndarray, trained: np.ndarray, value: np.ndarray) -> dict[str, pa.Array]:
+    """Counts and log sums of the tokens that the broadcast has; the others with their number in the text.
+
+    at: for each token the place of its facts; the ends are the last token of each text.
+    """
+    n = len(r.sizes)
+    places = np.arange(len(at)) - owner  # of the word, if it isn't an end
+    rest = np.flatnonzero(~found[at])
+    # Each text's rare tokens, equal ones side by side.
+    order = rest[np.lexsort((at[rest], owner[rest]))]
+    firsts = np.flatnonzero(np.concatenate([[True], (at[order][1:] != at[order][:-1]) | (owner[order][1:] != owner[order][:-1])])) if len(order) else np.zeros(0, np.int64)
+    ends = np.cumsum(r.sizes + 1) - 1
+    told = [END if k == ends[i] else r.word(p) for k, i, p in zip(*(x[order[firsts]].tolist() for x in (np.arange(len(at)), owner, places)), strict=True)]
+    edges = pa.array(np.searchsorted(owner[order[firsts]], np.arange(n + 1)).astype(np.int32))
     return {
-        "n_tokens": pa.array(sizes, pa.int64()),
-        "known": pa.array(np.bincount(owner, weights=trained[right], minlength=n).astype(np.int64), pa.int64()),
-        "base": pa.array(np.bincount(owner, weights=value[right], minlength=n), pa.float64()),
-        "rare": pa.array([list(x) for x in others], pa.list_(pa.binary())),
-        "times": pa.array([list(x.values()) for x in others], pa.list_(pa.int64())),
+        "n_tokens": pa.array(r.sizes + 1, pa.int64()),
+        "known": pa.array(np.bincount(owner, weights=trained[at], minlength=n).astype(np.int64), pa.int64()),
+        "base": pa.array(np.bincount(owner, weights=value[at], minlength=n), pa.float64()),
+        "rare": pa.ListArray.from_arrays(edges, pa.array(told, pa.binary())),
+        "times": pa.ListArray.from_arrays(edges, pa.array(np.diff(np.append(firsts, len(order))), pa.int64())),
     }
 
 
