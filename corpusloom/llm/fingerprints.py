@@ -6,40 +6,47 @@ collision of two 31-bit hashes) without looking at them again, and a binary
 search over span lengths finds longest common extensions.
 
 A fingerprint is the length, the hash of the whole text under both primes and a
-sketch: the smallest mixed hashes of all windows of :data:`SPAN` code points. The
-likeness of two fingerprints is 1 for equal ones, else the sketches' estimate
-of the Jaccard likeness of the window sets.
+sketch: the smallest mixed hashes of all windows of :data:`SPAN` code points.
+Sketches tell likely neighbours without their texts (:func:`likeness`). Where
+the prefix arrays of two texts are at hand, as here, likeness is exact in what
+they can answer: equal spans are found in order, each extended as far as it goes
+by binary search, and their share of both texts is the likeness
+(:func:`span_likeness`).
 
-The next document's text is needed beside each text. Cut points, themselves ids,
-split the ids into ranges; the text at a cut point goes to both ranges that it
-ends and begins, so that one shuffle suffices and tasks see one pair at a time.
+The next document's text is needed beside each text. Rows are dealt into ranges
+of ids and sorted; each range pairs its own rows and gives out its first and its
+last text, and these, two a range, are paired by a join on the range's number.
 
 Defined results: a null text counts as empty; an empty text has the fingerprint
 of no windows and is like an empty text only; repeated ids follow each other by
-text, null ids come first; a single row is its own next document.
+text, null ids come first; a single row is its own next document; columns but
+the id and the text are not used, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import small_arrow_batches, table
+from corpusloom.llm.common import small_arrow_batches, stored, table
 
 # Two primes below 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1220703125)
 #: Code points in a window of the sketch, and windows kept.
 SPAN, KEPT = 12, 64
-#: Ranges into which the ids are cut at most; a range holds about this many rows at least.
-RANGES, ROWS_IN_RANGE = 1024, 2000
+#: Code points that an equal span has at least, but for those at the beginning.
+ANCHOR = 32
+#: Rows in a range: at least where there are few, at most where there are many.
+FEW_ROWS, MANY_ROWS = 2_000, 20_000
 
 
 @lru_cache(maxsize=8)
@@ -90,14 +97,14 @@ class PrefixHash:
     def whole(self) -> tuple[int, int]:
         return int(self.sums[0][-1]), int(self.sums[1][-1])
 
-    def windows(self, begin: int = 0, end: int | None = None) -> np.ndarray:
+    def windows(self, begin: int = 0, end: int | None = None, span: int = SPAN) -> np.ndarray:
         """Hashes of the windows that lie in [begin, end), independent of where they lie, mixed to 64 bits."""
         end = self.n if end is None else end
-        count = end - begin - SPAN + 1
+        count = end - begin - span + 1
         if count <= 0:
             return np.zeros(0, dtype=np.uint64)
         p, s = np.uint64(PRIMES[0]), self.sums[0]
-        own = (s[begin + SPAN : end + 1] + p - s[begin : begin + count]) % p
+        own = (s[begin + span : end + 1] + p - s[begin : begin + count]) % p
         # brought to a common power of the base
         own = own * _lifts(begin, count) % p
         own *= np.uint64(0x9E3779B97F4A7C15)
@@ -144,6 +151,51 @@ def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
     return low
 
 
+def span_likeness(a: PrefixHash, b: PrefixHash) -> float:
+    """Twice the code points in equal spans over those of both texts: 1 for equal texts, 0 for strangers.
+
+    Spans are taken in order from the beginning: each is extended as far as it
+    goes; the next one begins at the first window of :data:`ANCHOR` code points of
+    a behind it whose first place in b lies behind it, too. Windows are met by
+    their hash, and a place counts if the prefix arrays say that the spans are equal.
+    """
+    if not a.n or not b.n:
+        return float(a.n == b.n)
+    covered = common_extension(a, 0, b, 0)
+    i = j = covered
+    if min(a.n - i, b.n - j) >= ANCHOR:
+        own, other = a.windows(i, span=ANCHOR), b.windows(j, span=ANCHOR)
+        froms, tos = _first_places(own, other)
+        froms, tos = froms + i, tos + j
+        k = 0
+        while k < len(froms):
+            ahead = np.flatnonzero((froms[k : k + 512] >= i) & (tos[k : k + 512] >= j))
+            if not len(ahead):
+                k += 512
+                continue
+            k += int(ahead[0])
+            x, y = int(froms[k]), int(tos[k])
+            size = common_extension(a, x, b, y)
+            if size < ANCHOR:
+                k += 1
+                continue
+            covered += size
+            i, j = x + size, y + size
+            k += size - ANCHOR + 1 if k + size - ANCHOR + 1 <= len(froms) and froms[k + size - ANCHOR] == x + size - ANCHOR else 1
+    return 2 * covered / (a.n + b.n)
+
+
+def _first_places(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``own`` stand hashes that ``other`` has, and where each of them stands first there."""
+    x, y = np.sort(own), np.sort(other)
+    if not (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).any():  # as usual
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(other, kind="stable")
+    place = order[np.minimum(np.searchsorted(other, own, sorter=order), len(other) - 1)]
+    met = np.flatnonzero(other[place] == own)
+    return met, place[met]
+
+
 def smallest(*hashes: np.ndarray) -> np.ndarray:
     """The :data:`KEPT` smallest distinct ones of all, in order."""
     parts = []
@@ -195,62 +247,69 @@ def _beside(doc: _Document, nxt: _Document) -> tuple:
     edited = PrefixHash.spliced(doc.hash, keep, nxt.hash, take)
     mark = fingerprint(edited.n, edited.whole(), sketch_edited(doc.hash, keep, nxt.hash, take, edited))
     sha = hashlib.sha256((doc.text[:keep] + nxt.text[:take]).encode()).hexdigest()
-    return doc.hash.n, sha, doc.print, mark, likeness(doc.print, mark), likeness(doc.print, nxt.print), common_extension(doc.hash, 0, edited, 0), common_extension(doc.hash, 0, nxt.hash, 0)
+    return doc.hash.n, sha, doc.print, mark, span_likeness(doc.hash, edited), span_likeness(doc.hash, nxt.hash), common_extension(doc.hash, 0, edited, 0), common_extension(doc.hash, 0, nxt.hash, 0)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id with the fingerprints of each text and of its edited text, and how alike they are.
 
     common_edited and common_next are the lengths of the common beginnings.
-    The cut points are at most :data:`RANGES` ids, found by one aggregate over the id column.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    found = docs.agg(F.count("*").alias("n"), F.count(doc_id).alias("with_id"), F.min(doc_id).alias("least"), F.percentile_approx(doc_id, [i / RANGES for i in range(1, RANGES)], RANGES * 10).alias("at")).first()
-    ranges = int(min(RANGES, max(1, found["n"] // ROWS_IN_RANGE)))
-    at = found["at"] or []
-    cuts = sorted({at[i * RANGES // ranges - 1] for i in range(1, ranges)} - {found["least"]}) if at else []
     kind = docs.schema[doc_id].dataType
-    starts = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(T.ArrayType(kind))
-    key = F.col(f"`{doc_id}`")
-    # The range of an id: how many cut points are not above it; null ids come before all.
-    own = F.coalesce(F.aggregate(starts, F.lit(0), lambda n, c: n + F.when(c <= key, 1).otherwise(0)), F.lit(0))
-    rows = docs.select(key.alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"), own.alias("own"))
-    # The rows that begin a range also end the one before it; the very first ones end the last range.
-    least = F.lit(found["least"]).cast(kind)
-    first_of_all = F.col("id").isNull() if found["with_id"] < found["n"] else F.col("id") == least
-    ends = F.when(first_of_all, F.lit(len(cuts))).when(F.array_contains(starts, F.col("id")), F.col("own") - 1)
-    rows = rows.select("id", "body", F.explode(F.array_compact(F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("ends")), F.when(ends.isNotNull(), F.struct(ends.alias("range"), F.lit(True).alias("ends")))))).alias("to"))
-    rows = rows.select("id", "body", "to.range", "to.ends")
-    wanted = max(len(cuts) + 1, 1)
-    dealt = rows.repartition(wanted, "range").sortWithinPartitions("range", "ends", F.asc_nulls_first("id"), "body")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    n = rows.count()
+    ranges = max(1, math.ceil(n / MANY_ROWS), min(math.ceil(n / FEW_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Rows of one id can still be dealt apart, by how their texts begin.
+    dealt = rows.repartitionByRange(ranges, F.asc_nulls_first("id"), F.substring("body", 1, 32)).sortWithinPartitions(F.asc_nulls_first("id"), "body")
+    dealt = dealt.withColumn("part", F.spark_partition_id())
+    fields = [T.StructField(doc_id, kind), *FIELDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_id, held_range, done = None, None, None, None
+        held, held_id, part, id_type = None, None, None, None
         for batch in batches:
             out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in ("id", "body", "range", "ends"))
-            for i, body, r, closes in zip(*columns, strict=True):
-                if r == done and closes:
-                    continue  # only the first of the rows that end a range counts
-                if held is not None and held_range == r:
-                    doc = held if body == held.text else _Document(body)
-                    out.append((held_id, *_beside(held, doc)))
-                else:
-                    doc = None if closes else _Document(body)
-                if closes:
-                    held, done = None, r
+            id_type = batch.schema.field("id").type
+            for i, body, p in zip(*(batch.column(c).to_pylist() for c in ("id", "body", "part")), strict=True):
+                if held is None:
+                    doc, part = _Document(body), p
+                    yield _edge("first", part, i, body, doc_id, id_type)
                 else:
-                    held, held_id, held_range = doc, i, r
+                    doc = held if body == held.text else _Document(body)
+                    out.append((held_id, *_beside(held, doc), None, None, None))
+                held, held_id = doc, i
+            if out:
+                yield _record(out, doc_id, id_type, True)
+        if held is not None:
+            yield _edge("last", part, held_id, held.text, doc_id, id_type)
+
+    got = stored(dealt.mapInArrow(run, T.StructType([*fields, T.StructField("edge", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("body", T.StringType())])), "fp-ranges")
+    names = [f.name for f in fields]
+    # The numbers of the ranges that have rows, each with that of the next; behind the last comes the first.
+    parts = got.filter("edge = 'first'").select("part")
+    order = Window.orderBy("part")
+    nexts = parts.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next"))
+    lasts = got.filter("edge = 'last'").select(F.col(f"`{doc_id}`").alias("id"), "part", "body").join(nexts, "part")
+    pairs = lasts.join(got.filter("edge = 'first'").select(F.col("part").alias("next"), F.col("body").alias("other")), "next").select("id", "body", "other")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, *_beside(_Document(a), _Document(b))) for i, a, b in zip(*(batch.column(c).to_pylist() for c in ("id", "body", "other")), strict=True)]
             if out:
                 yield _record(out, doc_id, batch.schema.field("id").type)
 
-    return dealt.mapInArrow(run, T.StructType([T.StructField(doc_id, kind), *FIELDS]))
+    closing = pairs.mapInArrow(close, T.StructType(fields))
+    return got.filter("edge IS NULL").select(*[F.col(f"`{c}`") for c in names]).unionByName(closing)
+
+
+def _edge(which: str, part: int, i, body: str, doc_id: str, id_type: pa.DataType) -> pa.RecordBatch:
+    return _record([(i, *[None] * len(FIELDS), which, part, body)], doc_id, id_type, True)
 
 
-def _record(rows: list[tuple], doc_id: str, id_type: pa.DataType) -> pa.RecordBatch:
-    types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[doc_id, *[f.name for f in FIELDS]])
+def _record(rows: list[tuple], doc_id: str, id_type: pa.DataType, with_edge: bool = False) -> pa.RecordBatch:
+    types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.string(), pa.int32(), pa.string()] * with_edge]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[doc_id, *[f.name for f in FIELDS], *["edge", "part", "body"] * with_edge])
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
