@@ -4,13 +4,16 @@ Writing: each page becomes a response record, or a revisit of the page with the
 smallest id that has the same payload, and beside it a request and a metadata
 record that name it by WARC-Concurrent-To. Records are built from SQL functions
 and written by Spark's text writer with the record separator as line end, so the
-files are plain WARC/1.1 and live wherever Spark writes.
+files are plain WARC/1.1 and live wherever Spark writes. Records are written by
+classes of size, each with as many to a file as keep it within :data:`FILE_BYTES`.
 
-Reading: whole files come through Spark's binary reader, are cut by
+Reading: whole files, bounded so, come through Spark's binary reader, are cut by
 Content-Length and become rows. Assembly joins request and metadata records to
 the response or revisit that they are concurrent to; one nested row a capture.
+What a revisit refers to is found by its WARC-Refers-To among the responses.
 
-Defined results: a null payload or url is empty; payloads under
+Defined results: a null payload or url is empty; columns but the id, the url and
+the html are not used, whatever their names; payloads under
 :data:`LEAST_BYTES` bytes are always responses, as are all rows that share both
 payload and smallest id; rows with a null id take part (a null is no smallest
 id unless there is no other). Record ids come from the page id and a digest of
@@ -27,12 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import broadcast_if_small, shared_dir, stored, table
+from corpusloom.llm.common import broadcast_if_small, new_path, removed, stored, table
 
 #: Payloads below are never revisits.
 LEAST_BYTES = 100
-#: Records in a file at most: what a reading task holds at a time follows from it.
-RECORDS_IN_FILE = 1000
+#: Bytes in a file at most, about (a larger record has a file of its own): what a reading task holds at a time follows from it.
+FILE_BYTES = 32 << 20
+#: Payload bytes up to which pages are written together, and what the headers and the other two records add, about.
+CLASSES, HEADERS = (4 << 10, 64 << 10, 1 << 20), 2 << 10
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -96,10 +101,18 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     )
     asked = F.concat(F.lit("GET "), F.replace(target, F.lit(" "), F.lit("%20")), F.lit(" HTTP/1.1" + SEPARATOR))
     request = _record(F.lit("request"), _urn("request", F.concat_ws(":", ident, F.col("w_digest"))), [("WARC-Target-URI", target), ("Content-Type", F.lit("application/http; msgtype=request")), ("WARC-Concurrent-To", own_id)], asked)
-    facts = F.to_json(F.struct(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col("w_bytes").alias("payload_bytes"), F.col("w_first").alias("refers_to")))
+    facts = F.to_json(F.struct(F.col(page_id).alias("page_id"), F.col(url).alias("url")))
     metadata = _record(F.lit("metadata"), _urn("metadata", F.concat_ws(":", ident, F.col("w_digest"))), [("WARC-Target-URI", target), ("Content-Type", F.lit("application/json")), ("WARC-Concurrent-To", own_id)], facts)
-    lines = rows.select(F.explode(F.array(main, request, metadata)).alias("value"))
-    lines.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS_IN_FILE).text(path)
+    size = F.coalesce(_bytes(F.col(f"`{html}`")), F.lit(0))
+    edges = [-1, *CLASSES]
+    found = pages.agg(*[F.count_if((size > low) & (size <= high)) for low, high in zip(edges, CLASSES, strict=False)], F.max(size)).first()
+    sizes = [(low, high) for low, high, n in zip(edges, CLASSES, found, strict=False) if n]
+    if (found[-1] or 0) > CLASSES[-1]:
+        sizes.append((CLASSES[-1], found[-1]))
+    for low, high in sizes or [(-1, CLASSES[0])]:
+        lines = rows.filter((F.col("w_bytes") > low) & (F.col("w_bytes") <= high)).select(F.explode(F.array(main, request, metadata)).alias("value"))
+        most = max(1, 3 * FILE_BYTES // (high + HEADERS)) if high <= CLASSES[-1] else 3 * max(1, FILE_BYTES // (high + HEADERS))
+        lines.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", most).text(f"{path.rstrip('/')}/upto-{high}")
 
 
 RECORD = T.StructType(
@@ -175,17 +188,31 @@ def captures(records: DataFrame) -> DataFrame:
     return mains.select(F.col("record_id").alias("capture_id"), record.alias("record")).join(beside.withColumnRenamed("concurrent_to", "capture_id"), "capture_id", "left")
 
 
-def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
+def resolved(found: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (a page id) and url of each capture.
+
+    A revisit's payload is that of the response whose record id its
+    WARC-Refers-To names; a response that isn't in the archives leaves nulls.
+    """
+    facts = F.from_json(F.decode("metadata.block", "utf-8"), "page_id bigint, url string")
+    rows = found.select("capture_id", "record.record_type", "record.refers_to", "record.payload_sha256", "record.payload_bytes", facts.alias("facts"))
+    rows = stored(rows.select("*", "facts.page_id", "facts.url").drop("facts"), "warc-captures")
+    again = rows.filter("record_type = 'revisit'")
+    first = rows.filter("record_type = 'response'")
+    named = again.select(F.col("refers_to").alias("capture_id")).distinct()
+    targets = first.drop("refers_to").join(named, "capture_id", "left_semi").groupBy(F.col("capture_id").alias("refers_to"))
+    targets = stored(targets.agg(F.min("page_id").alias("first"), F.min("payload_sha256").alias("sha"), F.min("payload_bytes").alias("n")), "warc-targets")
+    again = again.join(broadcast_if_small(targets), "refers_to", "left")
+    out = first.select("page_id", "payload_bytes", F.col("payload_sha256").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "url")
+    return out.unionByName(again.select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", F.col("first").alias("refers_to"), "url"))
 
-    path = f"{shared_dir(spark).rstrip('/')}/corpusloom/warc-{uuid.uuid4().hex}"
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    found = captures(read_warc(spark, path, blocks=False))
-    facts = F.from_json(F.decode("metadata.block", "utf-8"), "page_id bigint, url string, payload_bytes bigint, refers_to bigint")
-    out = found.select("record", facts.alias("facts"))
-    digest = F.when(F.col("record.record_type") == "response", F.col("record.payload_sha256")).otherwise(F.substring_index("record.payload_digest", ":", -1))
-    size = F.when(F.col("record.record_type") == "response", F.col("record.payload_bytes")).otherwise(F.col("facts.payload_bytes"))
-    return out.select(F.col("facts.page_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("record.record_type").alias("record_type"), F.col("facts.refers_to").alias("refers_to"), F.col("facts.url").alias("url"))
+    out = resolved(captures(read_warc(spark, path, blocks=False)))
+    removed(spark, path)
+    return out
 
 
 OP8_SQL = f"""
