@@ -1,12 +1,13 @@
 """Personal data: spans by pattern, and terms that give protected entities away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Each such
-value is a protected entity. Over the whole corpus, a term in the documents that
+Patterns find e-mail addresses, IP addresses, card and phone numbers, and
+secrets: access keys, and values given to a name like password or token. Each
+such value is a protected entity. Over the whole corpus, a term in the documents that
 mention an entity discloses it by their pointwise mutual information; where that
 reaches a share of the entity's information content, all occurrences of the term
 in documents that mention the entity are generalised, and above a second share
-removed. A document holds a term where it stands outside of the base spans. All
-of it is built from SQL functions; patterns carry look-behinds and possessive
+removed; a generalised term becomes the class of its shape. A document holds a
+term where it stands outside of the pattern's spans. All of it is built from SQL functions; patterns carry look-behinds and possessive
 quantifiers that change no match, but keep long texts linear and off the stack.
 
 Defined results: a null or empty text has no spans and stays as it is; repeated
@@ -29,12 +30,19 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold before a pattern is tried on it.
-HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+BASE = tuple(PATTERNS)
+# Public forms of access keys, and names of secrets with the value behind them.
+PATTERNS["secret"] = (
+    r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36,}+|\bxox[abprs]-[0-9A-Za-z-]{10,}+|\bsk-[0-9A-Za-z_-]{20,}+|\beyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]++"
+    r"|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)['\x22]?[\x20]?[=:][\x20]?['\x22]?(?=[^\s'\x22]*[0-9])[^\s'\x22]{8,}+"
+)
+#: What a text must hold, or match, before a pattern is tried on it.
+HINTS = {"email": "@", "ip": ".", "phone": "+"}
+HINT_PATTERNS = {"card": "[0-9]", "secret": "[=:_]|AKIA|ASIA|xox|sk-|eyJ|-----BEGIN"}
 KINDS = (*PATTERNS, "term")
 
-#: Documents in which a term and an entity must meet before they are judged.
-MIN_SUPPORT = 3
+#: Documents in which a term and an entity must meet before they are judged: what occurs once is no evidence of going together.
+MIN_SUPPORT = 2
 #: Shares of an entity's information content from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.9, 0.99
 TERM = r"\p{L}{3,}"
@@ -44,8 +52,7 @@ _SPAN = "struct<start:int,kord:int,end:int,kind:string,value:string>"
 
 def _matches(out: DataFrame, text: str, kind: str) -> DataFrame:
     """Adds _p_m_<kind> and _p_g_<kind>: the matches of a kind and the gaps around them."""
-    hint = HINTS[kind]
-    there = F.contains(F.col(text), F.lit(hint)) if hint else F.col(text).rlike("[0-9]")
+    there = F.contains(F.col(text), F.lit(HINTS[kind])) if kind in HINTS else F.col(text).rlike(HINT_PATTERNS[kind])
     empty = F.array().cast("array<string>")
     found = F.when(there, F.regexp_extract_all(F.col(text), F.lit(PATTERNS[kind]), F.lit(0))).otherwise(empty)
     out = out.withColumn(f"_p_m_{kind}", found)
@@ -139,8 +146,9 @@ def disclosing_terms(found: DataFrame, min_support: int = MIN_SUPPORT, generalis
     tokens = found.select(F.explode("_p_terms").alias("term"))
     if n_wanted <= BROADCAST_ROWS:
         tokens = tokens.join(F.broadcast(wanted), "term", "left_semi")
-    counts = tokens.groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = pairs.join(counts, "term").withColumn("known", F.log2(F.lit(n) / F.col("n_entity")))
+    # A common word beside many entities would be hot in a shuffled join; that of a small table has no such task.
+    counts = stored(tokens.groupBy("term").agg(F.count("*").alias("n_term")), "pii-counts")
+    pairs = pairs.join(broadcast_if_small(counts, n_wanted if n_wanted <= BROADCAST_ROWS else None), "term").withColumn("known", F.log2(F.lit(n) / F.col("n_entity")))
     pairs = pairs.withColumn("shared", F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity"))))
     risky = pairs.filter(F.col("shared") >= F.col("known") * generalise).select("entity", "term", (F.col("shared") >= F.col("known") * remove).alias("removed"))
     risky = stored(risky, "pii-risky")
@@ -177,17 +185,17 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     return out.drop("_p_entities", "_p_terms", "_p_open", "_p_row")
 
 
-def masked(text: Column) -> Column:
-    """``text`` with every span of ``_p_base`` and ``_p_added`` replaced; overlapping ones become one, named by the first.
+def masked(body: str) -> Column:
+    """The column ``body`` with every span of ``_p_base`` and ``_p_added`` replaced; overlapping ones become one, named by the first.
 
-    Base spans become their kind in brackets, generalised terms [WORD], removed ones nothing.
+    Base spans become their kind in brackets, generalised terms the class of their shape
+    (acronym, name or word), removed ones nothing.
     """
     every = (
         "array_sort(concat(transform(_p_base, b -> named_struct('start', b.start, 'kord', b.kord, 'end', b.end, 'by', concat('[', upper(b.kind), ']'))), "
-        "transform(_p_added, t -> named_struct('start', t.start, 'kord', 4, 'end', t.end, 'by', CASE WHEN t.removed THEN '' ELSE '[WORD]' END))))"
+        f"transform(_p_added, t -> named_struct('start', t.start, 'kord', {len(PATTERNS)}, 'end', t.end, 'by', CASE WHEN t.removed THEN '' "
+        f"WHEN rlike(substring({body}, t.start + 1, t.end - t.start), '^\\\\p{{Lu}}+$') THEN '[ACRONYM]' WHEN rlike(substring({body}, t.start + 1, 1), '\\\\p{{Lu}}') THEN '[NAME]' ELSE '[WORD]' END))))"
     )
-    body = "_p_whole"
-    del text
     return F.expr(
         f"CASE WHEN size(_p_base) = 0 THEN {body} ELSE aggregate({every}, named_struct('at', 0, 'out', cast(array() AS array<string>)), "
         f"(a, s) -> named_struct('at', greatest(a.at, s.end), 'out', CASE WHEN s.start < a.at THEN a.out ELSE concat(a.out, array(substring({body}, a.at + 1, s.start - a.at), s.by)) END), "
@@ -198,7 +206,7 @@ def masked(text: Column) -> Column:
 def sanitised(docs: DataFrame, text: str = "text", n_chars: str | None = None, **thresholds: float) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text``; ``n_chars`` names a length column to renew."""
     out = sanitise(docs, text, **thresholds).withColumn("_p_whole", F.col(f"`{text}`"))
-    out = out.withColumn(text, masked(F.col("_p_whole")))
+    out = out.withColumn(text, masked("_p_whole"))
     if n_chars and n_chars in docs.columns:
         out = out.withColumn(n_chars, F.coalesce(F.length(F.col(f"`{text}`")).cast("long"), F.col(n_chars)))
     return out.select(*docs.columns)
@@ -206,16 +214,19 @@ def sanitised(docs: DataFrame, text: str = "text", n_chars: str | None = None, *
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    base = "transform(_p_base, b -> concat_ws(':', b.kind, b.start, b.end))"
+    base = "transform(filter(_p_base, b -> b.kind <> 'secret'), b -> concat_ws(':', b.kind, b.start, b.end))"
     every = (
         "array_sort(concat(transform(_p_base, b -> named_struct('start', b.start, 'kord', b.kord, 'end', b.end, 'kind', b.kind)), "
-        "transform(_p_added, t -> named_struct('start', t.start, 'kord', 4, 'end', t.end, 'kind', 'term'))))"
+        f"transform(_p_added, t -> named_struct('start', t.start, 'kord', {len(PATTERNS)}, 'end', t.end, 'kind', 'term'))))"
     )
     return out.select(
         "doc_id",
-        *[F.expr(f"cast(size(filter(_p_base, b -> b.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in PATTERNS],
+        *[F.expr(f"cast(size(filter(_p_base, b -> b.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in BASE],
         F.sha2(F.expr(f"array_join({base}, ',')").cast("binary"), 256).alias("base_sha256"),
         F.expr(f"array_join(transform({every}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')").alias("spans"),
+        F.expr("cast(size(filter(_p_base, b -> b.kind = 'secret')) AS bigint)").alias("n_secret"),
+        F.size("_p_added").cast("long").alias("n_term"),
+        (F.size("_p_base") + F.size("_p_added")).cast("long").alias("n_spans"),
     )
 
 
