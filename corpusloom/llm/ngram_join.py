@@ -3,24 +3,26 @@
 Each document becomes the set of its shingles' 64-bit hashes. Documents with
 equal sets form a class; only classes are compared. Two sets reach the threshold
 only if they share one of their first few elements in a common order (prefix
-filter), so classes meet in groups by such elements. Elements that very many
-classes have in their prefix come last in the order and thereby leave nearly all
-prefixes.
-
-Groups are cut into tiles by size band, since sets of too different sizes can't
-reach the threshold; a large group becomes pairs of tiles, each a task's share.
-In a tile pair hashed bitmaps bound the overlap from above: bits of one that the
-other lacks each stand for a shingle that isn't shared. What passes the bound is
-linked to a candidate cluster, written as a spanning forest, never as all pairs.
-Clusters are few and small; their classes' sorted arrays are then compared
-exactly, again in tiles, and again only a spanning forest is written. Connected
-components of these true links are the result.
+filter), so classes meet in groups by such elements. The order is that of the
+hashes, but elements that several documents have in their prefix come last and
+thereby leave nearly all prefixes. A broadcast bitmap of fixed size tells them,
+by a hash; whom it takes along by chance comes last, too, in every document.
+
+Groups are cut by size band, since sets of too different sizes can't reach the
+threshold, and large ones into tiles; each pair of tiles is a unit of work.
+In a unit hashed bitmaps bound the overlap from above: bits of one that the
+other lacks each stand for a shingle that isn't shared. Bitmaps are as wide as
+their set asks for, and a wider one is folded to meet a narrower one. What
+passes the bound is linked to a candidate cluster, written as a spanning forest,
+never as all pairs. Clusters are few and small; their classes' sorted arrays are
+then compared exactly, again in tiles, and again only a spanning forest is
+written. Connected components of these true links are the result.
 
 Defined results: a null or empty text, or one without words, has no shingles
 and is linked with nothing; a text with fewer words than a shingle is one
 shingle; repeated rows are one class; a null id takes part, but is the smallest
 id of a component only where there is no other; rows that share an id but not
-the text are told apart by their texts.
+the text are told apart by their texts; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,134 +35,185 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusloom.llm.common import BROADCAST_ROWS, small_arrow_batches, stored, table
+from corpusloom.llm.common import BROADCAST_ROWS, small_arrow_batches, stored, table, tidied
+from corpusloom.llm.word_hashes import mix, runs, sorted_distinct
 
 U = np.uint64
-#: Bits of a signature.
-BITS = 1024
-#: Bits of a signature where the sets themselves are at hand, at most.
-MOST_BITS = 1 << 17
+#: Bits of a signature at least and at most, each a power of two.
+BITS, MOST_BITS = 256, 1 << 14
 #: Classes in a tile, about.
 TILE = 1024
-#: Classes with an element in their prefix from which it comes last in the order.
-FREQUENT = 256
-#: Frequent elements that workers look up at most; with more, all keep their places (slower, not less complete).
-MOST_FREQUENT = 4_000_000
+#: Documents with an element in their prefix from which it comes last in the order.
+FREQUENT = 8
+#: Bits of the map of frequent elements (16 MB), and elements that it takes at most; of more, those that most documents have
+#: are moved, and the groups of the others are cut into tiles like all groups.
+MAP_BITS, SLICE_BITS = 1 << 27, 1 << 20
+MOST_FREQUENT = MAP_BITS // 2
+
+
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for run in runs(texts):
+        sizes, h = run.sizes, run.hashes
+        starts = np.cumsum(sizes) - sizes
+        whole = _folded(h, np.arange(max(len(h) - width + 1, 0)), width)
+        for size, start in zip(sizes.tolist(), starts.tolist(), strict=True):
+            if size >= width:
+                yield sorted_distinct(whole[start : start + size - width + 1])
+            else:
+                yield _folded(h, np.array([start]), size) if size else h[:0]
 
-MIX_A, MIX_B = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 
+def _folded(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` words from each place on."""
+    out = np.full(len(at), U(width))
+    for k in range(width):
+        out = mix(out * U(0x9E3779B97F4A7C15) + h[at + k])
+    return out
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(33))) * MIX_A
-    h = (h ^ (h >> U(33))) * MIX_B
-    return h ^ (h >> U(33))
 
+def prefix_size(n: int, percent: int) -> int:
+    """Elements of a set of n, one of which any set with at least that Jaccard likeness has in its prefix, too."""
+    return n - -(-n * percent // 100) + 1
 
-class Shingler:
-    """Sorted distinct shingle hashes of texts; word hashes are remembered up to a bound."""
 
-    def __init__(self, width: int):
-        self.width, self.known = width, {}
+def bits_for(n: int) -> int:
+    """A width at which the bound of strangers stays well below the usual thresholds: a bit for each element at least."""
+    return min(max(BITS, 1 << max(n - 1, 0).bit_length()), MOST_BITS)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = max(len(h) - self.width + 1, 1)
-        out = np.full(n, U(min(len(h), self.width)))
-        for k in range(min(self.width, len(h))):
-            out = _mix(out * U(0x9E3779B97F4A7C15) + h[k : k + n])
-        return np.unique(out)
 
+def bitmap(hashes: np.ndarray, bits: int) -> bytes:
+    flags = np.zeros(bits, dtype=bool)
+    flags[(hashes & U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
 
-def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    """Elements of a set of n, one of which any set with at least that Jaccard likeness has in its prefix, too."""
-    return n - -(-n * percent // 100) + 1
 
+def folded(maps: list[bytes]) -> np.ndarray:
+    """The bitmaps as rows of words, each folded to the width of the narrowest: a bit stands where it would have stood there."""
+    width = min(map(len, maps))
+    if all(len(m) == width for m in maps):
+        return np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(len(maps), -1)
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, dtype=np.uint64).reshape(-1, width // 8), axis=0) for m in maps])
+
+
+def _map_place(hashes: np.ndarray) -> np.ndarray:
+    """The bit of a hash in the map of frequent elements."""
+    return (hashes * U(0x9E3779B97F4A7C15) >> U(64 - (MAP_BITS - 1).bit_length())).astype(np.int64)
 
-def bitmap(hashes: np.ndarray, bits: int = BITS) -> bytes:
-    flags = np.zeros(bits, dtype=bool)
-    flags[(hashes & U(bits - 1)).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
 
+def prefix_of(s: np.ndarray, percent: int, last: np.ndarray | None = None) -> np.ndarray:
+    """The prefix of a sorted set in the order in which elements with a bit in ``last`` come last."""
+    size = prefix_size(len(s), percent) if len(s) else 0
+    if last is None or not size:
+        return s[:size].view(np.int64)
+    at = _map_place(s)
+    is_last = (last[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return np.concatenate([s[~is_last], s[is_last]])[:size].view(np.int64)
 
-def bits_for(largest: int) -> int:
-    """A width at which few elements of the largest set share a bit, so that the bound is close; at least :data:`BITS`."""
-    return min(max(BITS, 1 << (8 * largest - 1).bit_length()), MOST_BITS)
 
+def _frequent(docs: DataFrame, width: int, percent: int):
+    """A broadcast of the map of elements that at least :data:`FREQUENT` documents have in their prefix, or None if there is none."""
 
-def band_of(n: np.ndarray, percent: int) -> np.ndarray:
-    """Size bands so wide that sets which reach the threshold lie in one or in neighbours."""
-    return np.floor(np.log(n) / -math.log(percent / 100 * 0.999)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix_of(s, percent) for s in shingle_sets(batch.column("body"), width)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["e"])
+
+    counts = docs.select("body").mapInArrow(run, "e long").groupBy("e").agg(F.count("*").alias("k")).filter(F.col("k") >= FREQUENT)
+    often = stored(counts, "ng-frequent")
+    n = often.count()
+    if not n:
+        return None
+    if n > MOST_FREQUENT:
+        level, held, least = F.floor(F.log2("k") * 16), 0, 1 << 20
+        for r in sorted(often.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):  # at most 16 * 64 rows
+            held += r["k"]
+            if held > MOST_FREQUENT:
+                break
+            least = r["level"]
+        often = often.filter(level >= least)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _map_place(batch.column("e").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array((at // SLICE_BITS).astype(np.int32)), pa.array((at % SLICE_BITS).astype(np.int32))], names=["slice", "bit"])
 
+    def build(t: pa.Table) -> pa.Table:
+        flags = np.zeros(SLICE_BITS, dtype=bool)
+        flags[t.column("bit").to_numpy()] = True
+        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-def _sketches(docs: DataFrame, width: int, percent: int, frequent=None, full: bool = True) -> DataFrame:
-    """row id, set size, a digest of the set, its bitmap and its prefix; without ``full`` the prefix alone."""
-    schema = "id {0}, n int, digest string, bits binary, prefix array<long>" if full else "prefix array<long>"
-    longs = pa.list_(pa.int64())
+    slices = often.select("e").mapInArrow(places, "slice int, bit int").distinct().groupBy("slice").applyInArrow(build, "slice int, bits binary")
+    out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    for r in slices.toLocalIterator():  # MAP_BITS / SLICE_BITS rows at most
+        out[r["slice"] * SLICE_BITS // 8 : (r["slice"] + 1) * SLICE_BITS // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(out)
+
+
+def _sketches(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """id, set size, a digest of the set, its bitmap and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
         last = frequent.value if frequent is not None else None
         for batch in batches:
             ns, digests, maps, prefixes = [], [], [], []
-            for t in batch.column("body").to_pylist():
-                s = shingle(t)
-                n = len(s)
-                p = int(prefix_size(np.int64(n), percent)) if n else 0
-                order = s
-                if last is not None and len(last) and n:
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    is_last = last[at] == s
-                    order = np.concatenate([s[~is_last], s[is_last]])
-                prefixes.append(order[:p].view(np.int64))
-                if full:
-                    ns.append(n)
-                    digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-                    maps.append(bitmap(s))
-            if full:
-                arrays = [batch.column("id"), pa.array(ns, pa.int32()), pa.array(digests, pa.string()), pa.array(maps, pa.binary()), pa.array(prefixes, longs)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "digest", "bits", "prefix"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(prefixes, longs)], names=["prefix"])
+            for s in shingle_sets(batch.column("body"), width):
+                ns.append(len(s))
+                digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+                maps.append(bitmap(s, bits_for(len(s))))
+                prefixes.append(prefix_of(s, percent, last))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ns, pa.int32()), pa.array(digests, pa.string()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "digest", "bits", "prefix"])
 
-    return docs.mapInArrow(run, schema.format(docs.schema["id"].dataType.simpleString()))
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest string, bits binary, prefix array<long>")
+
+
+def _sets(texts: DataFrame, chosen: DataFrame, extra: tuple[str, ...], width: int) -> DataFrame:
+    """digest, ``extra`` and set for the rows of ``chosen`` (id, digest, extra), each from a text with that id and digest.
+
+    Ids are unique only by intention, so a text is taken by the digest of its set; rows of a class are alike.
+    """
+    rows = chosen.withColumnRenamed("id", "_id")
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    found = texts.join(rows, texts["id"].eqNullSafe(rows["_id"])).select("body", "digest", *extra)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets(batch.column("body"), width)]
+            kept = [k for k, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist(), strict=True)) if xxhash.xxh3_128_hexdigest(s) == d]
+            arrays = [batch.column(c).take(pa.array(kept, pa.int64())) for c in ("digest", *extra)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([sets[k] for k in kept], pa.binary())], names=["digest", *extra, "set"])
 
+    return found.mapInArrow(run, f"digest string, {''.join(f'{c} {chosen.schema[c].dataType.simpleString()}, ' for c in extra)}set binary")
 
 
-def _with_tiles(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """``rows`` (with ``key``, ``class`` and ``n``) given to units, each a tile or a pair of tiles of one key.
+def _with_units(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """``rows`` (with ``key``, ``class``, ``n`` and ``label``) given to units of work, of which each pair that may reach the threshold has one.
 
-    A key with at most :data:`TILE` rows is one unit. Else its rows fall into
-    size bands, these into parts by a hash of the class; each pair of parts of
-    one band or of neighbouring bands is a unit. Adds ``unit`` and ``side``:
-    rows of different sides are compared, for side -1 all.
+    A key's rows fall into size bands so wide that such pairs lie in one band or
+    in neighbours. Each band with the one above it is a unit, unless it has but
+    one label or no row of its own band. Of a unit with more than :data:`TILE`
+    rows, both bands are cut into parts by a hash of the class, and each pair of
+    parts that is to be compared is a unit. Adds ``unit`` and ``side``: rows of
+    different sides are compared, and rows of side -1 with all.
     """
     step = -math.log(percent / 100 * 0.999)
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    sizes = rows.groupBy(key, "band").agg(F.count("*").alias("k"))
-    totals = sizes.groupBy(key).agg(F.sum("k").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("k") / TILE).cast("int")))).alias("parts"))
-    big = totals.filter(F.col("total") > TILE)
-    out = rows.join(big.withColumnRenamed(key, "_key"), rows[key] == F.col("_key"), "left").drop("_key")
-    own = "pmod(xxhash64(class, 7), parts[band])"
-    unit = (
-        "CASE WHEN parts IS NULL THEN array(named_struct('unit', xxhash64({key}), 'side', -1)) ELSE concat("
-        "transform(sequence(0, parts[band] - 1), o -> named_struct('unit', xxhash64({key}, band, least({own}, o), band, greatest({own}, o)), 'side', CASE WHEN o = {own} THEN -1 WHEN {own} < o THEN 0 ELSE 1 END)), "
-        "transform(sequence(0, coalesce(try_element_at(parts, band + 1), 0), 1), o -> named_struct('unit', xxhash64({key}, band, {own}, band + 1, cast(o AS bigint)), 'side', CASE WHEN o < coalesce(try_element_at(parts, band + 1), 0) THEN 0 END)), "
-        "transform(sequence(0, coalesce(try_element_at(parts, band - 1), 0), 1), o -> named_struct('unit', xxhash64({key}, band - 1, cast(o AS bigint), band, {own}), 'side', CASE WHEN o < coalesce(try_element_at(parts, band - 1), 0) THEN 1 END))) END"
-    ).format(key=key, own=own)
-    units = F.expr(f"filter({unit}, u -> u.side IS NOT NULL)")
-    return out.withColumn("_u", F.explode(units)).select("*", "_u.unit", "_u.side").drop("_u", "band", "total", "parts")
+    band = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    kinds = "array(named_struct('band', {0}, 'upper', 0), named_struct('band', {0} - 1, 'upper', 1))"
+    out = rows.withColumn("_band", band).withColumn("_w", F.explode(F.expr(kinds.format("_band")))).select("*", "_w.upper", F.xxhash64(key, "_w.band").alias("_unit")).drop("_w", "_band")
+    lower = F.count_if(F.col("upper") == 0)
+    sizes = out.groupBy("_unit").agg(lower.alias("_k0"), (F.count("*") - lower).alias("_k1"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    sizes = sizes.filter("_k0 > 0 AND _lo <> _hi").select("_unit", *[F.when(F.col("_k0") + F.col("_k1") > TILE, F.ceil(F.col(k) / TILE)).otherwise(0).cast("int").alias(p) for k, p in (("_k0", "_p0"), ("_k1", "_p1"))])
+    out = out.join(sizes, "_unit")
+    own0, own1 = "cast(pmod(xxhash64(class, 7), _p0) AS int)", "cast(pmod(xxhash64(class, 7), _p1) AS int)"
+    small = "array(named_struct('unit', _unit, 'side', CASE WHEN upper = 0 THEN -1 ELSE 1 END))"
+    within = f"transform(sequence(0, _p0 - 1), o -> named_struct('unit', xxhash64(_unit, 0, least({own0}, o), greatest({own0}, o)), 'side', CASE WHEN o = {own0} THEN -1 WHEN {own0} < o THEN 0 ELSE 1 END))"
+    across = f"CASE WHEN _p1 = 0 THEN array() ELSE transform(sequence(0, _p1 - 1), o -> named_struct('unit', xxhash64(_unit, 1, {own0}, o), 'side', 0)) END"
+    above = f"transform(sequence(0, _p0 - 1), o -> named_struct('unit', xxhash64(_unit, 1, o, {own1}), 'side', 1))"
+    dealt = F.expr(f"CASE WHEN _p0 = 0 THEN {small} WHEN upper = 0 THEN concat({within}, {across}) ELSE {above} END")
+    return out.withColumn("_u", F.explode(dealt)).select("*", "_u.unit", "_u.side").drop("_u", "_unit", "upper", "_p0", "_p1")
 
 
 class _Forest:
@@ -178,11 +231,11 @@ class _Forest:
 
 
 def _candidates(i: int, n: np.ndarray, bits: np.ndarray, side: np.ndarray, forest: _Forest, percent: int) -> np.ndarray:
-    """Later rows that may reach the threshold with row i, by size and by the bitmaps' bound, and aren't connected with it yet."""
-    m = n[i + 1 :]
-    open_ = (forest.label[i + 1 :] != forest.label[i]) & (np.minimum(m, n[i]) * 100 >= np.maximum(m, n[i]) * percent)
+    """Later rows that may reach the threshold with row i, by size and by the bitmaps' bound, and aren't connected with it yet; rows are sorted by size."""
+    upto = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+    open_ = forest.label[i + 1 : upto] != forest.label[i]
     if side[i] >= 0:
-        open_ &= side[i + 1 :] != side[i]
+        open_ &= side[i + 1 : upto] != side[i]
     at = np.flatnonzero(open_) + i + 1
     if not len(at):
         return at
@@ -211,17 +264,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-EDGES = "a {0}, b {0}"
+EDGES = "a long, b long"
 
 
-def _edges(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], kind), pa.array([y for _, y in pairs], kind)], names=["a", "b"])
+def _edges(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
 
 def _bitmap_links(rows: DataFrame, percent: int) -> DataFrame:
     """A spanning forest of the pairs of a unit that the bitmaps don't rule out; rows: unit, side, class, n, bits, label."""
-    kind = rows.schema["class"].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for t in _units(batches):
@@ -231,7 +282,7 @@ def _bitmap_links(rows: DataFrame, percent: int) -> DataFrame:
             order = np.argsort(n, kind="stable")
             n, side = n[order], t.column("side").to_numpy()[order]
             raw = t.column("bits").combine_chunks().to_pylist()
-            bits = np.frombuffer(b"".join(raw[k] for k in order), dtype=np.uint64).reshape(len(n), -1)
+            bits = folded([raw[k] for k in order])
             classes = t.column("class").to_pylist()
             forest = _Forest([classes[k] for k in order], t.column("label").to_numpy()[order])
             if forest.label.max() > 0:
@@ -239,18 +290,16 @@ def _bitmap_links(rows: DataFrame, percent: int) -> DataFrame:
                     forest.link(i, _candidates(i, n, bits, side, forest, percent))
             out += forest.edges
             if len(out) > 50_000:
-                yield _edges(out, t.schema.field("class").type)
+                yield _edges(out)
                 out = []
         if out:
-            yield _edges(out, pa.int64() if kind == "bigint" else pa.string())
+            yield _edges(out)
 
-    return rows.mapInArrow(run, EDGES.format(kind))
+    return rows.mapInArrow(run, EDGES)
 
 
 def _exact_links(rows: DataFrame, percent: int) -> DataFrame:
     """A spanning forest of the pairs of a unit that reach the threshold; rows: unit, side, class, n, set (sorted hashes)."""
-    kind = rows.schema["class"].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _units(batches):
             if t.num_rows < 2:
@@ -260,8 +309,8 @@ def _exact_links(rows: DataFrame, percent: int) -> DataFrame:
             raw, classes = t.column("set").to_pylist(), t.column("class").to_pylist()
             sets = [np.frombuffer(raw[k], dtype=np.uint64) for k in order]
             n, side = n[order], t.column("side").to_numpy()[order]
-            width = bits_for(int(n[-1]))
-            bits = np.frombuffer(b"".join(bitmap(s, width) for s in sets), dtype=np.uint64).reshape(len(n), -1)
+            width = min(4 * bits_for(int(n[-1])), MOST_BITS)
+            bits = folded([bitmap(s, width) for s in sets])
             forest = _Forest([classes[k] for k in order], np.arange(len(n)))
             for i in range(len(n) - 1):
                 at = _candidates(i, n, bits, side, forest, percent)
@@ -271,9 +320,9 @@ def _exact_links(rows: DataFrame, percent: int) -> DataFrame:
                     forest.link(i, some[100 * both >= percent * (n[i] + n[some] - both)])
                     at = at[forest.label[at] != forest.label[i]]
             if forest.edges:
-                yield _edges(forest.edges, t.schema.field("class").type)
+                yield _edges(forest.edges)
 
-    return rows.mapInArrow(run, EDGES.format(kind))
+    return rows.mapInArrow(run, EDGES)
 
 
 def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -312,41 +361,37 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
+@tidied
 def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest id reachable over links of at least ``percent`` % Jaccard likeness.
 
-    One row for each row of ``docs``. Classes are known by the digest of their set.
+    One row for each row of ``docs``. Classes are known by the 128-bit digest of their set, and numbered where they are written.
     """
-    spark = docs.sparkSession
-    small_arrow_batches(spark)
+    small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("body"))
-
-    plain = _sketches(texts, width, percent, full=False).select(F.explode("prefix").alias("e")).groupBy("e").agg(F.count("*").alias("k"))
-    often = stored(plain.filter(F.col("k") >= FREQUENT).select("e"), "ng-frequent")
-    frequent = None
-    if 0 < often.count() <= MOST_FREQUENT:
-        frequent = spark.sparkContext.broadcast(np.sort(often.toArrow().column("e").to_numpy().view(np.uint64)))
-    sketches = stored(_sketches(texts, width, percent, frequent), "ng-sketches")
+    sketches = stored(_sketches(texts, width, percent, _frequent(texts, width, percent)), "ng-sketches")
 
     # The sketches of a class are alike, whichever row they come from.
     classes = sketches.filter("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = stored(classes.withColumn("class", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")), "ng-classes")
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "ng-classes")
+    maps = classes.select("class", "bits")
 
     # First the first elements alone: most classes that belong together meet there.
-    firsts = classes.select(F.col("prefix")[0].alias("e"), "class", "n", "bits", F.col("class").alias("label"))
-    early = components(_bitmap_links(_dealt(_with_tiles(_met(firsts), "e", percent)), percent))
-    labelled = classes.join(early.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("root", "class"))
-    every = labelled.select(F.explode("prefix").alias("e"), "class", "label")
-    mixed = every.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("e")
-    wanted = stored(every.join(mixed, "e", "left_semi"), "ng-wanted").join(classes.select("class", "n", "bits"), "class")
-    late = _bitmap_links(_dealt(_with_tiles(wanted, "e", percent)), percent)
+    firsts = classes.select(F.col("prefix")[0].alias("e"), "class", "n", F.col("class").alias("label"))
+    early = components(_bitmap_links(_dealt(_with_units(_mixed(firsts), "e", percent).join(maps, "class")), percent))
+    labelled = classes.select("class", "n", "prefix").join(early.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("root", "class"))
+    every = labelled.select(F.explode("prefix").alias("e"), "class", "n", "label")
+    wanted = stored(_with_units(_mixed(every), "e", percent), "ng-wanted").join(maps, "class")
+    late = _bitmap_links(_dealt(wanted), percent)
     clusters = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
     clusters = clusters.groupBy("node").agg(F.min("root").alias("root"))
 
     # Sorted arrays are made anew, for one row of each class in a cluster.
-    chosen = clusters.join(classes.select(F.col("class").alias("node"), "digest"), "node")
-    chosen = stored(chosen.select(F.col("node").alias("class"), F.col("root").alias("cluster"), "digest"), "ng-chosen")
-    links = _exact_links(_dealt(_with_tiles(_sets(texts, sketches, chosen, width), "cluster", percent)), percent)
+    chosen = clusters.join(classes.select(F.col("class").alias("node"), "digest", "n", F.col("least").alias("id")), "node")
+    chosen = stored(chosen.select("id", "digest", F.col("node").alias("class"), F.col("root").alias("cluster"), "n"), "ng-chosen")
+    sets = _sets(texts, chosen.select("id", "digest", "class"), ("class",), width).groupBy("class").agg(F.first("set").alias("set"))
+    units = stored(_with_units(chosen.select("class", "cluster", "n", F.col("class").alias("label")), "cluster", percent), "ng-units")
+    links = _exact_links(_dealt(units.join(sets, "class")), percent)
     roots = components(links).withColumnRenamed("node", "class")
     named = classes.select("class", "digest", "least").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -356,6 +401,12 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows whose element has two labels or more."""
+    mixed = rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("e")
+    return rows.join(mixed, "e", "left_semi")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component; of rows alike in id and text one."""
     found = similarity_classes(docs, doc_id, text, width, percent).filter(F.col(doc_id).eqNullSafe(F.col("component_id")))
@@ -367,39 +418,27 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     return out.filter("_times = 1").unionByName(again).drop("_times")
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Rows whose element at least two have."""
-    met = rows.groupBy("e").agg(F.count("*").alias("k")).filter("k > 1").select("e")
-    return rows.join(met, "e", "left_semi")
-
-
-def _sets(texts: DataFrame, sketches: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """class, cluster, n and set for the classes of ``chosen``, from the text of one row each.
-
-    The rows are found by a digest of their set; ids are unique only by intention.
-    """
-    one = sketches.groupBy("digest").agg(F.min("id").alias("id"))
-    rows = chosen.join(one, "digest").select("id", "digest", "class", "cluster")
-    if rows.count() <= BROADCAST_ROWS:
-        rows = F.broadcast(rows)
-    found = texts.join(rows, texts["id"].eqNullSafe(rows["id"])).select("body", "digest", "class", "cluster")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
-        for batch in batches:
-            sets = [shingle(t) for t in batch.column("body").to_pylist()]
-            same = [xxhash.xxh3_128_hexdigest(s.tobytes()) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
-            kept = pa.array(np.flatnonzero(same))
-            sets = [s for s, ok in zip(sets, same, strict=True) if ok]
-            arrays = [batch.column("class").take(kept), batch.column("cluster").take(kept), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["class", "cluster", "n", "set"])
-
-    return found.mapInArrow(run, "class long, cluster long, n int, set binary")
-
-
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT rid, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n u ON u.rid = x JOIN n v ON v.rid = y WHERE 100 * k >= 90 * (u.n + v.n - k)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+m AS (SELECT a, min(doc_id) AS component FROM r JOIN d ON d.rid = r.b GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id)::BIGINT AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m ON m.a = d.rid
+"""
+
 QUERIES = {"op6_ngram_join": op6_ngram_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_ngram_join": OP6_SQL}
