@@ -106,10 +106,13 @@ FEATURES = ("n_symbols", "n_words", "word_chars", "n_stop_words", "n_letter_word
 
 
 def quality_rules(docs: DataFrame, text: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
-    """``docs`` with features, the names of the rules failed, base_failed and kept."""
+    """``docs`` with features, the names of the rules failed, base_failed and kept.
+
+    ``base_failed`` follows from the base rules whether or not ``thresholds`` have them.
+    """
     verdicts = F.array_compact(F.array(*[F.when(_failed(r), F.lit(r.name)) for r in thresholds]))
     base = F.lit(False)
-    for rule in thresholds:
+    for rule in THRESHOLDS:
         if rule.name in BASE_RULES:
             base = base | _failed(rule)
     return features(docs, text).withColumns({"failed_rules": verdicts, "base_failed": base}).withColumn("kept", F.size("failed_rules") == 0)
@@ -117,9 +120,11 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds: tuple[Rule, .
 
 def keep_good(docs: DataFrame, text: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with their columns as they were."""
-    judged = quality_rules(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text")), "_text", thresholds)
+    names = {c: f"_k_{k}" for k, c in enumerate(docs.columns)}
+    judged = quality_rules(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text], thresholds)
     # An id that can't be moved keeps the filter above the projection: pushed below, it would hold all features anew, each many times over.
-    return judged.withColumn("_q_at", F.monotonically_increasing_id()).filter("kept AND _q_at >= 0").select("_row.*")
+    kept = judged.withColumn("_q_at", F.monotonically_increasing_id()).filter("kept AND _q_at >= 0")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
