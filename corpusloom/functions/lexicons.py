@@ -70,3 +70,19 @@ DEVICE_ROUTES = (
     ("t4", ("",), "t4"),
     ("quadro rtx 5000", ("",), "quadro rtx 5000"),
 )
+
+# Peak operations a second of TPU generations, alike for all precisions.
+TPU_FLOPS = {"v2": 45e12, "v3": 123e12, "v4": 275e12}
+
+# Fragments of model names and the layer classes they lead to; the first one found counts.
+LAYER_CLASSES = (
+    ("gpt2", "GPT2Block"),
+    ("llama", "LlamaDecoderLayer"),
+    ("t5", "T5Block"),
+    ("bert", "BertLayer"),
+    ("roberta", "RobertaLayer"),
+    ("opt", "OPTDecoderLayer"),
+    ("bloom", "BloomBlock"),
+    ("falcon", "FalconDecoderLayer"),
+    ("mistral", "MistralDecoderLayer"),
+)

@@ -44,8 +44,12 @@ def fold(text: Column) -> Column:
 
 
 def occurrences(text: Column, term: str) -> Column:
-    """How often ``term`` occurs, not overlapping, also inside words."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+    """How often ``term`` occurs, not overlapping, also inside words; 0 for a null text.
+
+    Bytes are compared, whose number is known; a text without the term is searched once and not copied.
+    """
+    less = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))
+    return F.when(F.contains(text, F.lit(term)), (less / len(term.encode())).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def sentences(text: Column) -> Column:
@@ -96,6 +100,36 @@ def quality_category(text: Column) -> Column:
     return F.when(F.length(strip(text)) == 0, F.lit("empty_files")).when(bad, F.lit("garbled_content"))
 
 
+#: Function words by which a language shows; ours, and few on purpose: each is frequent in its language.
+FUNCTION_WORDS = {
+    "de": "der die das und ist von mit nicht ein eine den zu".split(),
+    "en": "the of and to is that with was for it on".split(),
+    "es": "el los las y que en por con una del se su".split(),
+    "fr": "le les des et est que dans pour une du pas qui".split(),
+}
+
+
+def language(text: Column) -> Column:
+    """The language with most function words among the words of a text, and its share of all those found; unknown without any.
+
+    Ties go to the first code. A word that two languages list counts for both.
+    """
+    own = words(F.lower(F.coalesce(text, F.lit(""))))
+    hits = F.array(*[F.struct(F.size(F.filter(own, _listed(ws))).alias("n"), F.lit(code).alias("lang")) for code, ws in FUNCTION_WORDS.items()])
+    return F.transform(F.array(hits), _best)[0]
+
+
+def _listed(ws: list[str]):
+    return lambda w: w.isin(ws)
+
+
+def _best(hits: Column) -> Column:
+    total = F.aggregate(hits, F.lit(0), lambda a, h: a + h["n"])
+    most = F.array_max(F.transform(hits, lambda h: h["n"]))
+    first = F.filter(hits, lambda h: h["n"] == most)[0]
+    return F.struct(F.when(total > 0, first["lang"]).otherwise(F.lit("unknown")).alias("lang"), F.when(total > 0, most / total).otherwise(F.lit(0.0)).alias("confidence"))
+
+
 class SQL:
     """The same in SQL, over a column name or expression."""
 
@@ -131,6 +165,14 @@ class SQL:
     def special(t: str) -> str:
         return rf"length(regexp_replace({t}, '[\p{{L}}\p{{N}}]+|{_SQL_WS}+', '', 'g'))"
 
+    @staticmethod
+    def language(t: str) -> str:
+        counts = ", ".join("{{'n': len(list_filter({0}, lambda w: w IN ({1}))), 'lang': '{2}'}}".format(SQL.words(f"lower(coalesce({t}, ''))"), ", ".join(f"'{w}'" for w in ws), code) for code, ws in FUNCTION_WORDS.items())
+        # most hits first, then by code
+        best = f"list_sort(list_transform([{counts}], lambda h: {{'n': -h.n, 'lang': h.lang}}))"
+        total = f"list_sum(list_transform({best}, lambda h: -h.n))"
+        return f"CASE WHEN {total} > 0 THEN {{'lang': {best}[1].lang, 'confidence': (-{best}[1].n / {total})::DOUBLE}} ELSE {{'lang': 'unknown', 'confidence': 0.0::DOUBLE}} END"
+
     @staticmethod
     def category(t: str) -> str:
         return (

@@ -34,6 +34,12 @@ def coverage(checkpoint: DataFrame, model: DataFrame) -> DataFrame:
     return n.select("params", "loaded", (F.col("params") - F.col("loaded")).alias("missing"), pct.alias("coverage_pct"), (pct >= LEAST_COVERAGE).alias("enough"))
 
 
+def conversion_summary(results: DataFrame, by: str, ok: str) -> DataFrame:
+    """For each group all conversions, those that succeeded and failed, and the percentage; ``ok`` is boolean, null counts as failed."""
+    n = results.groupBy(by).agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"))
+    return n.select(by, "total", "ok", (F.col("total") - F.col("ok")).alias("failed"), F.round(F.col("ok") * 100 / F.col("total"), 9).alias("ok_pct"))
+
+
 def output_folder(path: Column, base: str) -> Column:
     """The relative path without its suffix, separators as underscores."""
     rel = F.regexp_replace(F.replace(path, F.lit(f"{base.rstrip('/')}/"), F.lit("")), r"\.[^./]*$", "")

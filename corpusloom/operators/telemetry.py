@@ -8,18 +8,78 @@ from pyspark.sql import functions as F
 from corpusloom.functions import lexicons as L
 
 
-def rolling(df: DataFrame, run: str, order: str, samples: str, clock: str, window: int, loss: str | None = None, log_every: int = 1) -> DataFrame:
-    """Rows whose window of ``window`` + 1 is full, with samples_per_sec over it and, for ``loss``, its mean over ``log_every`` rows and the perplexity."""
+# Seconds of the units that times can be told in.
+UNITS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}
+
+
+def rolling(df: DataFrame, run: str, order: str, samples: str, clock: str, window: int, loss: str | None = None, log_every: int = 1, lengths: str | None = None, flops: str | None = None, world: int = 1, available: float | None = None) -> DataFrame:
+    """Rows whose window of ``window`` + 1 is full, with rates over it; a window without time has nulls.
+
+    samples_per_sec and batches_per_sec of one device; with ``lengths`` (running
+    total of tokens) tokens_per_sec and total_tokens of all ``world`` devices;
+    with ``flops`` (of a batch on one device) flops_per_sec of all and, where the
+    ``available`` figure of a device is known, the share ``mfu`` of it; with
+    ``loss`` its mean over ``log_every`` rows and the perplexity.
+    """
     w = Window.partitionBy(run).orderBy(order)
     full = w.rowsBetween(-window, 0)
-    rate = F.try_divide(F.col(samples) - F.first(samples).over(full), F.col(clock) - F.first(clock).over(full))
-    out = df.withColumns({"_n": F.count("*").over(full), "samples_per_sec": rate})
+    took = F.col(clock) - F.first(clock).over(full)
+    seen = F.col(samples) - F.first(samples).over(full)
+    out = df.withColumns({"_n": F.count("*").over(full), "samples_per_sec": F.try_divide(seen, took), "batches_per_sec": F.try_divide(F.lit(window), took)})
+    if lengths:
+        each = (F.col(lengths) - F.first(lengths).over(full)) / window
+        out = out.withColumns({"tokens_per_sec": F.try_divide(seen * world, took) * each, "total_tokens": each * world * F.col(samples)})
+    if flops:
+        done = (F.sum(flops).over(full) - F.first(flops).over(full)) * world
+        out = out.withColumn("flops_per_sec", F.try_divide(done, took))
+        if available:
+            out = out.withColumn("mfu", F.col("flops_per_sec") / world / available)
     if loss:
         mean = F.avg(loss).over(w.rowsBetween(1 - log_every, 0))
         out = out.withColumns({"mean_loss": mean, "perplexity": F.exp(mean)})
     return out.filter(F.col("_n") == window + 1).drop("_n")
 
 
+def elapsed(train: Column, valid: Column, unit: str = "seconds") -> dict[str, Column]:
+    """Times of training, validation and both in a unit; raises for one that isn't known."""
+    if unit not in UNITS:
+        raise ValueError(f"unknown unit {unit}; known are {', '.join(UNITS)}")
+    return {"time_train": train / UNITS[unit], "time_val": valid / UNITS[unit], "time_total": (train + valid) / UNITS[unit]}
+
+
+def epoch_progress(n: Column, batch: int, world: int, accumulate: Column, epoch: Column, step: Column) -> Column:
+    """Where in its epoch (from 1) an optimizer step lies, in percent; accumulation below 1 counts as 1."""
+    per_epoch = F.greatest(F.lit(1), F.floor(F.floor(n / (batch * world)) / F.greatest(accumulate, F.lit(1))))
+    return (step - (epoch - 1) * per_epoch) / per_epoch * 100
+
+
+def position_label(percent: Column, epoch: Column) -> Column:
+    return F.format_string("%.1f%% of epoch %d", percent, epoch)
+
+
+def positions(df: DataFrame, by: str, order: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` with ``pos``, a row's place from 0 within its group by a whole-number column, without a task for a whole group.
+
+    Rows are counted by ranges of ``width`` values; running totals over the ranges
+    of a group and a rank within a range give the place.
+    """
+    rows = df.withColumn("_range", F.floor(F.col(order) / width))
+    counts = rows.groupBy(by, "_range").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), (upto - F.col("_k")).alias("_before"))
+    out = rows.join(counts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_range").eqNullSafe(F.col("_r")))
+    rank = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order))
+    return out.withColumn("pos", F.col("_before") + rank - 1).drop("_range", "_by", "_r", "_before")
+
+
+def layer_class(model: Column) -> Column:
+    """The name of a model's layer class, by the first known fragment in its name; null if none is."""
+    out = F.lit(None).cast("string")
+    for fragment, name in reversed(L.LAYER_CLASSES):
+        out = F.when(F.contains(F.lower(model), F.lit(fragment)), F.lit(name)).otherwise(out)
+    return out
+
+
 def running_total(df: DataFrame, run: str, order: str, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 

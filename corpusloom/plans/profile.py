@@ -219,10 +219,11 @@ def domain_description_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The issues (fatal) and warnings that the profile's totals raise."""
-    f = features(_docs(spark, sf_dir))
-    terms = sum((F.coalesce(F.sum(X.occurrences(F.lower("text"), t)), F.lit(0)) for t in L.REGIONAL_TERMS[1:]), F.coalesce(F.sum(X.occurrences(F.lower("text"), L.REGIONAL_TERMS[0])), F.lit(0)))
-    a = f.agg(F.count("*").alias("files"), F.count_distinct("source").alias("dirs"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("lang").alias("detected"), F.count_if(F.col("lang") == "es").alias("spanish"))
-    a = a.join(F.broadcast(_docs(spark, sf_dir).agg(terms.alias("terms"))))
+    t = F.col("text")
+    low = _docs(spark, sf_dir).select("source", "lang", long(F.length(t)).alias("chars"), X.word_count(t).alias("words"), F.lower(t).alias("low"))
+    hits = sum((X.occurrences(F.col("low"), term) for term in L.REGIONAL_TERMS[1:]), X.occurrences(F.col("low"), L.REGIONAL_TERMS[0]))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    a = low.withColumn("hits", hits).agg(F.count("*").alias("files"), F.count_distinct("source").alias("dirs"), total("chars").alias("chars"), total("words").alias("words"), F.count("lang").alias("detected"), F.count_if(F.col("lang") == "es").alias("spanish"), total("hits").alias("terms"))
     rules = [
         ("no_files", "issue", F.col("files") == 0),
         ("no_directories", "issue", F.col("dirs") == 0),

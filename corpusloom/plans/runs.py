@@ -57,7 +57,7 @@ def validation_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 8 of each source by id, the last one kept, and the optimizer step of each with 4 to accumulate."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id")
-    out = docs.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    out = T.positions(docs, "source", "doc_id")
     return out.select("source", "doc_id", F.expr("cast(pos div 8 AS bigint)").alias("batch"), F.expr("cast((pos div 8 + 1) div 4 AS bigint)").alias("step"))
 
 
