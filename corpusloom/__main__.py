@@ -1,19 +1,42 @@
-"""``python -m corpusloom --config FILE [--validate]`` and ``--version``."""
+"""``python -m corpusloom --config FILE [--validate]``, ``--version`` and ``--info``."""
 
 from __future__ import annotations
 
 import argparse
+import os
+import platform
 import sys
+from datetime import datetime
 
 from corpusloom import __version__, config
 
 
+def system_info() -> dict[str, str]:
+    """What the machine and its Python are, and when they were asked."""
+    told = {f"platform_{k}": getattr(platform, k)() for k in ("release", "system", "version", "machine", "processor")}
+    return {"version": __version__, "python_version": sys.version, "platform": platform.platform(), **told, "timestamp": datetime.now().strftime("%Y-%m-%d %H:%M:%S")}
+
+
+def cores() -> int:
+    """Physical cores where they can be told, else logical ones."""
+    try:
+        import psutil
+
+        return psutil.cpu_count(logical=False) or os.cpu_count() or 1
+    except ImportError:
+        return os.cpu_count() or 1
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusloom")
     parser.add_argument("--config")
     parser.add_argument("--validate", action="store_true", help="check the configuration only")
     parser.add_argument("--version", action="version", version=__version__)
+    parser.add_argument("--info", action="store_true", help="tell versions and the system")
     args = parser.parse_args(argv)
+    if args.info:
+        print("\n".join(f"{k}: {v}" for k, v in system_info().items()))
+        return 0
     if not args.config:
         parser.error("--config is missing")
     read = config.read(args.config)
@@ -27,6 +50,9 @@ def main(argv: list[str] | None = None) -> int:
 
     from corpusloom.operators import pipelines
 
+    if read["task"] not in pipelines.RUN:
+        print(f"task {read['task']} can be checked, but not run here", file=sys.stderr)
+        return 1
     pipelines.RUN[read["task"]](SparkSession.builder.getOrCreate(), read)
     return 0
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The labels; those without a pattern here need a recogniser of their own.
@@ -27,6 +29,67 @@ def chosen(rules: tuple[tuple[str, str], ...], labels: list[str] | None) -> list
     return [r for r in rules if not labels or r[0] in labels]
 
 
+def rules_from_csv(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """Rules of a user's CSV with the columns label and regex, in its order; raises for labels or patterns that can't be used."""
+    rows = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    if missing := {"label", "regex"} - set(rows.columns):
+        raise ValueError(f"{path} lacks the columns {', '.join(sorted(missing))}")
+    out = tuple((r["label"].strip().upper(), r["regex"]) for r in rows.select("label", "regex").na.drop().collect())
+    for label, pattern in out:
+        if label not in LABELS:
+            raise ValueError(f"{path}: unknown label {label}")
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"{path}: the pattern of {label} can't be read: {e}") from e
+    return out
+
+
+def located(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """All matches as label, start and end (code points), in order of the rules, then of the text."""
+    parts = []
+    for label, pattern in rules:
+        found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size")))
+        parts.append(F.aggregate(sizes, _start(), _adding(label), lambda a: a["out"]))
+    return F.flatten(F.array(*parts))
+
+
+def _start() -> Column:
+    return F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label:string,start:int,end:int>>").alias("out"))
+
+
+def _adding(label: str):
+    def add(a: Column, x: Column) -> Column:
+        start, end = a["at"] + x["gap"], a["at"] + x["gap"] + x["size"]
+        more = F.concat(a["out"], F.array(F.struct(F.lit(label).alias("label"), start.alias("start"), end.alias("end"))))
+        return F.struct(end.alias("at"), F.when(x["size"] > 0, more).otherwise(a["out"]).alias("out"))
+
+    return add
+
+
+#: Output formats: texts alone, objects with their path, or texts with labelled spans for annotation.
+FORMATS = ("plain", "jsonl", "doccano")
+
+
+def write(df: DataFrame, path: str, form: str, text: str = "text") -> None:
+    """Writes rows as lines of text, as JSON lines, or as JSON lines of ``text`` and ``label`` ([start, end, label]).
+
+    doccano takes the column ``spans`` that :func:`located` gives.
+    """
+    if form not in FORMATS:
+        raise ValueError(f"unknown format {form}; known are {', '.join(FORMATS)}")
+    if form == "plain":
+        df.select(text).write.mode("append").text(path)
+    elif form == "jsonl":
+        df.drop("spans").write.mode("append").json(path)
+    else:
+        triple = lambda s: F.array(s["start"].cast("string"), s["end"].cast("string"), F.to_json(F.array(s["label"])))
+        label = F.concat(F.lit("["), F.array_join(F.transform("spans", lambda s: F.concat(F.lit("["), triple(s)[0], F.lit(","), triple(s)[1], F.lit(","), F.regexp_replace(triple(s)[2], r"^\[|\]$", ""), F.lit("]"))), ","), F.lit("]"))
+        body = F.regexp_replace(F.to_json(F.array(F.col(text))), r"^\[|\]$", "")
+        df.select(F.concat(F.lit('{"text":'), body, F.lit(',"label":'), label, F.lit("}")).alias("value")).write.mode("append").text(path)
+
+
 def anonymised(text: Column, method: str, rules: list[tuple[str, str]], seed: int = 0) -> Column:
     """``text`` with each match replaced: by its label; by a seeded surrogate; by one of the same shape; or not at all."""
     if method not in METHODS:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,42 +44,59 @@ def encode(docs: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def causal_chunks(encoded: DataFrame, length: int, overlap: int) -> DataFrame:
+def causal_chunks(encoded: DataFrame, length: int, overlap: int, pad: int = PAD) -> DataFrame:
     """A row for each window: chunk, start, input_ids, attention_mask and labels of ``length``."""
     kept = [c for c in encoded.columns if c != "ids"]
     out = encoded.select(*kept, "ids", F.posexplode(K.window_starts("ids", length, overlap)).alias("chunk", "start"))
     out = out.withColumn("_part", F.expr(f"slice(ids, start + 1, {length})"))
-    out = out.select(*kept, F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), K.padded("_part", str(length), PAD).alias("input_ids"), K.attention("_part", str(length)).alias("attention_mask"))
+    out = out.select(*kept, F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), K.padded("_part", str(length), pad).alias("input_ids"), K.attention("_part", str(length)).alias("attention_mask"))
     return out.withColumn("labels", K.causal_labels("input_ids", "attention_mask"))
 
 
 def mlm(encoded: DataFrame, key: str, length: int, vocab_size: int, seed: int, overflow: bool = False, overlap: int = 0, **choices) -> DataFrame:
     """Masked rows: input_ids, attention_mask and labels; only the first window of each document, or all with ``overflow``."""
     shares = choices.pop("shares", (0.8, 0.1, 0.1))
-    mask_id = choices.pop("mask_id", MASK)
+    mask_id, pad, special = choices.pop("mask_id", MASK), choices.pop("pad", PAD), choices.pop("special", SPECIAL)
     if overflow:
-        out = causal_chunks(encoded, length, overlap).drop("labels")
+        out = causal_chunks(encoded, length, overlap, pad).drop("labels")
         unit = f"concat({key}, '-', chunk)"
     else:
         kept = [c for c in encoded.columns if c != "ids"]
         out = encoded.select(*kept, F.expr(f"slice(ids, 1, {length})").alias("_part"))
-        out = out.select(*kept, K.padded("_part", str(length), PAD).alias("input_ids"), K.attention("_part", str(length)).alias("attention_mask"))
+        out = out.select(*kept, K.padded("_part", str(length), pad).alias("input_ids"), K.attention("_part", str(length)).alias("attention_mask"))
         unit = f"cast({key} AS string)"
     out = out.withColumn("_unit", F.expr(unit))
-    out = out.withColumn("_chosen", K.mlm_choices("input_ids", "attention_mask", "_unit", seed, SPECIAL, **choices))
+    out = out.withColumn("_chosen", K.mlm_choices("input_ids", "attention_mask", "_unit", seed, list(special), **choices))
     labels = F.expr(f"zip_with(input_ids, _chosen, (t, c) -> CASE WHEN c THEN t ELSE {K.IGNORE} END)")
     return out.withColumn("labels", labels).withColumn("input_ids", K.mlm_replaced("input_ids", "_chosen", "_unit", seed, mask_id, vocab_size, shares)).drop("_unit", "_chosen")
 
 
-def instruction_rows(pairs: DataFrame, prompt: str, full: str, length: int, strategy: str = "context_aware", mask_prompt: bool = True) -> DataFrame:
-    """Fixed rows of ``length`` from the ids of a prompt and of prompt and response; ``n`` is the untruncated length with the end."""
+#: What is left out of the loss: the prompt's labels, or its attention as well.
+STRATEGIES = ("context_aware", "response_only")
+
+
+def instruction_rows(pairs: DataFrame, prompt: str, full: str, length: int, strategy: str = "context_aware", mask_prompt: bool = True, pad: int = PAD, end: int = EOS) -> DataFrame:
+    """Fixed rows of ``length`` from the ids of a prompt and of prompt and response; ``n`` is the untruncated length with the end.
+
+    An unknown strategy counts as context_aware, with a warning.
+    """
+    if strategy not in STRATEGIES:
+        warnings.warn(f"unknown masking strategy {strategy}; context_aware is taken", stacklevel=2)
     kept = [c for c in pairs.columns if c not in (prompt, full)]
-    out = pairs.select(*kept, F.expr(f"concat(slice({full}, 1, {length - 1}), array({EOS}))").alias("_ids"), F.expr(f"least(size({prompt}), {length})").alias("_m"), (F.size(full) + 1).cast("long").alias("n"))
+    out = pairs.select(*kept, F.expr(f"concat(slice({full}, 1, {length - 1}), array({end}))").alias("_ids"), F.expr(f"least(size({prompt}), {length})").alias("_m"), (F.size(full) + 1).cast("long").alias("n"))
     out = out.withColumn("_m", F.col("_m") if mask_prompt else F.lit(0))
     masked = strategy == "response_only" and mask_prompt
     attention = F.expr("transform(_ids, (t, i) -> CASE WHEN i < _m THEN 0 ELSE 1 END)") if masked else F.expr("array_repeat(1, size(_ids))")
     out = out.withColumns({"_labels": K.instruction_labels("_ids", "_m"), "_mask": attention})
-    return out.select(*kept, "n", K.padded("_ids", str(length), PAD).alias("input_ids"), K.padded("_mask", str(length), 0).alias("attention_mask"), K.padded("_labels", str(length), K.IGNORE).alias("labels"))
+    return out.select(*kept, "n", K.padded("_ids", str(length), pad).alias("input_ids"), K.padded("_mask", str(length), 0).alias("attention_mask"), K.padded("_labels", str(length), K.IGNORE).alias("labels"))
+
+
+def shortened_rows(rows: DataFrame, most: int, percentile: float | None = None) -> DataFrame:
+    """Rows of :func:`instruction_rows` cut to one common length, which :func:`dynamic_target` finds from ``n``."""
+    target = F.broadcast(dynamic_target(rows, "n", most, percentile))
+    out = rows.join(target)
+    cut = {c: F.expr(f"slice({c}, 1, cast(greatest(target, 1) AS int))") for c in ("input_ids", "attention_mask", "labels")}
+    return out.withColumns(cut).drop("target")
 
 
 def dynamic_target(lengths: DataFrame, column: str, most: int, percentile: float | None = None) -> DataFrame:

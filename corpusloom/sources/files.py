@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.functions import text as X
 
 #: Extensions that are read; the match is case-sensitive.
 EXTENSIONS = ("txt", "csv", "json", "jsonl")
@@ -149,8 +153,92 @@ def with_language(rows: DataFrame, include: list[str] | None = None) -> DataFram
     return out.filter(F.col("language").isin(include)) if include else out
 
 
-def save(df: DataFrame, path: str, shards: int | None = None, rows_per_file: int | None = None) -> None:
-    """Writes a dataset, by split if it has one."""
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def list_files(spark: SparkSession, base: str, glob: str = "*") -> DataFrame:
+    """path of all files below a directory, in order; raises if it isn't there or no directory, warns if it is empty."""
+    fs, where = _file_system(spark, base)
+    if not fs.exists(where):
+        raise FileNotFoundError(f"{base} doesn't exist")
+    if not fs.getFileStatus(where).isDirectory():
+        raise NotADirectoryError(f"{base} is not a directory")
+    out = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(base).select("path").orderBy("path")
+    if out.isEmpty():
+        warnings.warn(f"no files below {base}", stacklevel=2)
+    return out
+
+
+def analysis_inputs(spark: SparkSession, base: str) -> DataFrame:
+    """path, ext and kind (raw or tokenized) of what can be analysed below a directory: .txt is raw, .json and .jsonl are tokenized."""
+    found = list_files(spark, base, "*.{txt,json,jsonl}").withColumn("ext", extension(F.col("path")))
+    return found.withColumn("kind", F.when(F.col("ext") == "txt", F.lit("raw")).otherwise(F.lit("tokenized")))
+
+
+_STRINGS = "array<string>"
+
+
+def instruction_columns(rows: DataFrame, value: str = "value") -> DataFrame:
+    """``rows`` with system, input, assistance and target from a column of JSON objects, which is dropped.
+
+    input and assistance may be a string or a list of strings; what has another kind is null.
+    """
+    v = F.try_parse_json(value)
+
+    def at(key: str, kind: str) -> Column:
+        return F.try_variant_get(v, f"$.{key}", kind)
+
+    def strings(key: str) -> Column:
+        one = F.when(F.schema_of_variant(at(key, "variant")) == "STRING", F.array(at(key, "string")))
+        return F.coalesce(one, at(key, _STRINGS), F.array().cast(_STRINGS))
+
+    kept = [c for c in rows.columns if c != value]
+    target = F.coalesce(F.when(F.schema_of_variant(at("target", "variant")) == "STRING", at("target", "string")), F.get(at("target", _STRINGS), F.lit(0)))
+    return rows.select(*kept, F.coalesce(X.strip(at("system", "string")), F.lit("")).alias("system"), strings("input").alias("input"), strings("assistance").alias("assistance"), target.alias("target"))
+
+
+def read_instructions(spark: SparkSession, base: str, form: str = "files", keys: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """Instruction rows (system, input, assistance, target) with the tag that the form gives them.
+
+    files with ``keys``: of the files in a directory named like a key the last
+    one, tagged ``key``, and no rows without any; files: all JSON files, tagged
+    ``file``; multilanguage_files: JSON files in subdirectories, tagged
+    ``language``, of those asked for; dataset: a saved one as it is.
+    """
+    if form == "dataset":
+        return load(spark, base)
+    if form not in ("files", "multilanguage_files"):
+        raise ValueError(f"unknown form {form}; known are files, multilanguage_files, dataset")
+    if form == "multilanguage_files":
+        rows = with_language(json_rows(spark, base), languages)
+        return instruction_columns(rows.filter(F.concat(F.lit("/"), relative(F.col("path"), base)).rlike("^/[^/]+/[^/]+$")).drop("path"))
+    rows = json_rows(spark, base)
+    if not keys:
+        return instruction_columns(rows.withColumnRenamed("path", "file"))
+    chosen = keyed_files(rows.select("path").distinct(), keys)  # a row for each key at most
+    return instruction_columns(rows.join(F.broadcast(chosen), "path").drop("path"))
+
+
+def required_columns(df: DataFrame, names: list[str]) -> None:
+    """Raises if columns that a training set needs are missing, naming all of them."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+
+
+def load_training(spark: SparkSession, path: str, names: tuple[str, ...] = ("input_ids", "attention_mask", "labels")) -> DataFrame:
+    """A saved set for training: with its splits, or all train, and the columns that training needs."""
+    out = load(spark, path)
+    required_columns(out, list(names))
+    return out
+
+
+def save(df: DataFrame, path: str, shards: int | None = None, rows_per_file: int | None = None, shard_bytes: int | None = None) -> None:
+    """Writes a dataset, by split if it has one; ``shard_bytes`` bounds files by the mean size of rows as JSON."""
+    if shard_bytes:
+        mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 1
+        rows_per_file = min(rows_per_file or 1 << 62, max(1, int(shard_bytes // mean)))
     out = (df.repartition(shards) if shards else df).write.mode("errorifexists")
     if rows_per_file:
         out = out.option("maxRecordsPerFile", rows_per_file)
@@ -159,6 +247,54 @@ def save(df: DataFrame, path: str, shards: int | None = None, rows_per_file: int
     out.parquet(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, wherever Spark can write; an old one is replaced."""
+    fs, where = _file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_summary(spark: SparkSession, path: str, summary: dict) -> None:
+    """A JSON summary; values that JSON has no form for are written as strings."""
+    write_text(spark, path, json.dumps(summary, indent=2, ensure_ascii=False, default=str))
+
+
+def markdown_table(rows: list, columns: list[str]) -> str:
+    """Rows as a Markdown table, pipes escaped; for reports of a few rows."""
+    cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"| {' | '.join(map(cell, columns))} |", f"|{'---|' * len(columns)}"]
+    return "\n".join([*lines, *(f"| {' | '.join(cell(r[c]) for c in columns)} |" for r in rows)]) + "\n"
+
+
+def write_report(spark: SparkSession, path: str, title: str, sections: dict[str, DataFrame], most: int = 1000) -> None:
+    """A Markdown report with a table for each section, of at most ``most`` rows; more are counted at its end."""
+    parts = [f"# {title}\n"]
+    for name, df in sections.items():
+        rows = df.limit(most + 1).collect()
+        parts.append(f"\n## {name}\n\n{markdown_table(rows[:most], df.columns)}")
+        if len(rows) > most:
+            parts.append(f"\n{df.count() - most} more not shown\n")
+    write_text(spark, path, "".join(parts))
+
+
+def write_problems(problems: DataFrame, path: str) -> None:
+    """A text report of problem files (category, source, name), by category and source, each in order."""
+    heads = problems.groupBy("category", "source").agg(F.count("*").alias("n"))
+    lines = heads.select("category", "source", F.lit("").alias("name"), F.concat(F.lit("["), X.title(F.col("category")), F.lit("] "), "source", F.lit(": "), F.col("n").cast("string")).alias("line"))
+    lines = lines.unionByName(problems.select("category", "source", "name", F.concat(F.lit("  "), "name").alias("line")))
+    lines.orderBy("category", "source", "name").select("line").write.text(path)
+
+
+def write_samples(df: DataFrame, path: str, n: int = 10) -> None:
+    """JSON lines of the first ``n`` rows of each split, in a folder for each."""
+    splits = [r["split"] for r in df.select("split").distinct().orderBy("split").collect()]
+    for split in splits:
+        df.filter(F.col("split") == split).drop("split").limit(n).coalesce(1).write.json(f"{path.rstrip('/')}/{split}")
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A saved dataset; without a split all rows are train."""
     out = spark.read.parquet(path)
