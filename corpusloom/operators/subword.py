@@ -133,7 +133,7 @@ def decode(rows: DataFrame, ids: str, path: str, name: str = "decoded", pieces:
                 made.append(pa.array([[use.piece(i) for i in x] for x in lists], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, name, *[pieces] * bool(pieces)])
 
-    fields = [T.StructField(name, T.StringType()), *[T.StructField(pieces, T.ArrayType(T.StringType()))] * bool(pieces)]
+    fields = [T.StructField(name, T.StringType()), *(T.StructField(c, T.ArrayType(T.StringType())) for c in [pieces] if c)]
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *fields]))
 
 

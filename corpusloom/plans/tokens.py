@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import tokens as K
 from corpusloom.functions.seeded import uniform_duckdb
 from corpusloom.functions.text import SQL
+from corpusloom.operators import subword
 from corpusloom.operators import tokenise as T
 from corpusloom.plans.common import joined, long, table
 
@@ -38,9 +39,11 @@ def causal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def causal_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir, "lang")
-    real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    return c.groupBy("lang").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"), long(F.sum(real)).alias("tokens"))
+    """Windows, documents and attended tokens of each language; all follow from the number of ids, so no window is built."""
+    n = _encoded(spark, sf_dir, "lang").select("lang", "doc_id", F.size("ids").alias("n"))
+    more = F.expr(f"CASE WHEN n <= {LENGTH} THEN 0L ELSE cast(ceil((n - {LENGTH}) / {STEP}) AS bigint) END")
+    n = n.withColumn("more", more).withColumn("tokens", F.col("more") * LENGTH + F.col("n") - F.col("more") * STEP)
+    return n.groupBy("lang").agg(long(F.sum(F.col("more") + 1)).alias("chunks"), F.count_distinct("doc_id").alias("docs"), long(F.sum("tokens")).alias("tokens"))
 
 
 def token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +83,12 @@ def mlm_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mlm_mask_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of attended tokens chosen, and of these the share that became the mask."""
-    m = _mlm(spark, sf_dir).select(F.explode(F.arrays_zip("input_ids", "attention_mask", "labels")).alias("z")).select("z.*").filter("attention_mask = 1")
-    chosen = F.col("labels") != -100
-    return m.agg(F.count("*").alias("tokens"), long(F.count_if(chosen)).alias("chosen"), long(F.count_if(chosen & (F.col("input_ids") == T.MASK))).alias("masked"), F.try_divide(F.count_if(chosen), F.count("*")).alias("rate"))
+    count = lambda c: long(F.sum(F.expr(c)))
+    m = _mlm(spark, sf_dir).agg(
+        count("size(filter(attention_mask, x -> x = 1))").alias("tokens"), count("size(filter(labels, x -> x <> -100))").alias("chosen"),
+        count(f"size(filter(zip_with(labels, input_ids, (l, i) -> l <> -100 AND i = {T.MASK}), x -> x))").alias("masked"),
+    )
+    return m.select("tokens", "chosen", "masked", F.try_divide("chosen", "tokens").alias("rate"))
 
 
 def dynamic_pad_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +114,7 @@ def token_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(
         "doc_id", long(F.size("input_ids")).alias("total"), long(F.size(F.array_distinct("input_ids"))).alias("distinct_ids"), long(F.array_min("input_ids")).alias("least"), long(F.array_max("input_ids")).alias("greatest"),
         long(F.size(train)).alias("training"), long(F.size(F.array_distinct(train))).alias("distinct_training"), long(attended).alias("attended"), F.try_divide(attended, F.size("input_ids")).alias("attention_ratio"),
+        F.try_divide(F.size(train), F.size("labels")).alias("training_ratio"),
     )
 
 
@@ -119,11 +126,36 @@ def token_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty tokens of each document as text again."""
+    """All tokens of each document as text again, as a digest; words beyond the vocabulary show as such."""
     vocab = _vocab(spark, sf_dir)
-    e = _encoded(spark, sf_dir).select("doc_id", F.posexplode(F.slice("ids", 1, 20)).alias("at", "token_id"))
+    e = _encoded(spark, sf_dir).select("doc_id", F.posexplode("ids").alias("at", "token_id"))
     named = e.join(F.broadcast(vocab.select("token_id", "word")), "token_id", "left").select("doc_id", F.struct("at", F.coalesce("word", F.lit("[UNK]")).alias("w")).alias("z"))
-    return named.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("z")), lambda z: z["w"]), " ").alias("decoded"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("z")), lambda z: z["w"]), " ")
+    return named.groupBy("doc_id").agg(long(F.count("*")).alias("tokens"), F.md5(text.cast("binary")).alias("decoded_md5"))
+
+
+def subword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded by a public byte-level model and decoded again from all their ids: the text comes back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = subword.decode(subword.encode(docs, "text", subword_model()).drop("text"), "ids", subword_model())
+    return out.select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"))
+
+
+def subword_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, subword ids, windows and padding of each language; the library alone can tell the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    e = subword.encode(docs, "text", subword_model()).drop("text").withColumn("n", F.size("ids"))
+    pad = subword.tokenizer(subword_model()).pad
+    c = T.causal_chunks(e.select("doc_id", "lang", "ids"), LENGTH, OVERLAP, pad)
+    rows = c.groupBy("lang").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("windows"), long(F.sum(F.expr("size(filter(attention_mask, m -> m = 0))"))).alias("padding"))
+    return rows.join(e.groupBy("lang").agg(long(F.sum("n")).alias("ids")), "lang")
+
+
+def subword_model() -> str:
+    """The public byte-level model that is installed on every machine; its path is a parameter of all operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def most_frequent_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +175,7 @@ _R = uniform_duckdb(f"'{SEED}-token-' || doc_id || '-' || i")
 _M = f"{_M1}, m AS (SELECT *, real AND t NOT IN (0, 1, 2, 3) AND {_U} < 0.15 AS chosen FROM t), r AS (SELECT *, CASE WHEN NOT chosen THEN t WHEN {_K} < 0.8 THEN 3 WHEN {_K} < 0.9::DOUBLE THEN floor({_R} * {VOCAB + 4})::INT ELSE t END AS id, CASE WHEN chosen THEN t ELSE -100 END AS label FROM m)"
 _STR = "array_to_string(list({0} ORDER BY i), ',')"
 
-QUERIES = {f.__name__: f for f in (vocab_build, causal_chunks, causal_chunk_counts, token_efficiency, padding_stats, length_percentiles, mlm_masking, mlm_mask_rate, dynamic_pad_target, dynamic_padded, token_analysis, token_breakdown, decode_tokens, most_frequent_token)}
+QUERIES = {f.__name__: f for f in (vocab_build, causal_chunks, causal_chunk_counts, token_efficiency, padding_stats, length_percentiles, mlm_masking, mlm_mask_rate, dynamic_pad_target, dynamic_padded, token_analysis, token_breakdown, decode_tokens, subword_round_trip, subword_chunk_counts, most_frequent_token)}
 
 ORACLES = {
     "vocab_build": f"WITH {_W}, {_V} SELECT token_id::BIGINT AS token_id, word, n FROM v",
@@ -156,8 +188,9 @@ ORACLES = {
     "mlm_mask_rate": f"WITH {_M} SELECT count(*) AS tokens, count(*) FILTER (chosen) AS chosen, count(*) FILTER (chosen AND id = 3) AS masked, (count(*) FILTER (chosen)) / count(*) AS rate FROM r WHERE real",
     "dynamic_pad_target": f"WITH {_E}, n AS (SELECT (len(ids) + 1)::DOUBLE AS n FROM e), t AS (SELECT 'longest' AS rule, 100000 AS most, max(n)::BIGINT AS target FROM n UNION ALL SELECT 'p95', 512, CASE WHEN max(n) >= 512 THEN least(floor(quantile_cont(n, 0.95)), 512) ELSE max(n) END::BIGINT FROM n UNION ALL SELECT 'p50', 512, least(floor(quantile_cont(n, 0.5)), 512)::BIGINT FROM n) SELECT rule, target, round((1 - target / most) * 100, 6) AS saved_pct FROM t",
     "dynamic_padded": f"WITH {_E}, g AS (SELECT CASE WHEN max(len(ids) + 1) >= 512 THEN least(floor(quantile_cont((len(ids) + 1)::DOUBLE, 0.95)), 512) ELSE max(len(ids) + 1) END::BIGINT AS target FROM e) SELECT doc_id, target, len(ids)::BIGINT AS n, md5(array_to_string(list_transform(range(1, target + 1), lambda x: coalesce(ids[x], 0)), ',')) AS ids_md5 FROM e, g",
-    "token_analysis": f"WITH {_M} SELECT doc_id, count(*) AS total, count(DISTINCT id) AS distinct_ids, min(id)::BIGINT AS least, max(id)::BIGINT AS greatest, count(*) FILTER (chosen) AS training, count(DISTINCT label) FILTER (chosen) AS distinct_training, count(*) FILTER (real) AS attended, (count(*) FILTER (real)) / count(*) AS attention_ratio FROM r GROUP BY doc_id",
+    "token_analysis": f"WITH {_M} SELECT doc_id, count(*) AS total, count(DISTINCT id) AS distinct_ids, min(id)::BIGINT AS least, max(id)::BIGINT AS greatest, count(*) FILTER (chosen) AS training, count(DISTINCT label) FILTER (chosen) AS distinct_training, count(*) FILTER (real) AS attended, (count(*) FILTER (real)) / count(*) AS attention_ratio, (count(*) FILTER (chosen)) / count(*) AS training_ratio FROM r GROUP BY doc_id",
     "token_breakdown": f"WITH {_M} SELECT doc_id, array_to_string(list(id ORDER BY i) FILTER (i < 10), ',') AS head, array_to_string(list(id ORDER BY i) FILTER (i >= {LENGTH} - 10), ',') AS tail, coalesce(array_to_string((list(i ORDER BY i) FILTER (chosen))[1:10], ','), '') AS trained_at FROM r GROUP BY doc_id",
-    "decode_tokens": f"WITH {_E}, x AS (SELECT doc_id, unnest(range(1, least(len(ids), 20) + 1)) AS i, ids FROM e) SELECT doc_id, string_agg(coalesce(word, '[UNK]'), ' ' ORDER BY i) AS decoded FROM x LEFT JOIN v ON v.token_id = ids[i] GROUP BY doc_id",
+    "decode_tokens": f"WITH {_E}, x AS (SELECT doc_id, unnest(range(1, len(ids) + 1)) AS i, ids FROM e) SELECT doc_id, count(*) AS tokens, md5(string_agg(coalesce(word, '[UNK]'), ' ' ORDER BY i)) AS decoded_md5 FROM x LEFT JOIN v ON v.token_id = ids[i] GROUP BY doc_id",
+    "subword_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS decoded_md5 FROM documents",
     "most_frequent_token": f"WITH {_C} SELECT id::BIGINT AS id, count(*) AS n FROM (SELECT unnest(part || list_transform(range(0, {LENGTH} - len(part)), lambda x: 0)) AS id FROM p) GROUP BY 1 ORDER BY n DESC, id LIMIT 1",
 }
