@@ -6,6 +6,7 @@ The SQL twins for the oracles stand beside each function's name in ``SQL``.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ WS = r"(?U)[\s\x1c-\x1f]+"
 _SQL_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+@lru_cache(maxsize=1)
 def _folding() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and their base letters, from the Unicode decomposition."""
-    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFD", chr(c)) if unicodedata.category(x) != "Mn")) for c in range(0x80, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1]
+    """Letters with marks and their base letters, from the Unicode decomposition; those with other decompositions stay."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFD", chr(c)) if unicodedata.category(x) != "Mn")) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1 and unicodedata.category(a) != "Mn"]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -39,8 +41,9 @@ def line_count(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks: NFD and dropping category Mn, for Latin letters up to U+024F."""
-    return F.translate(F.lower(text), *_folding())
+    """Lower case without marks: NFD and dropping category Mn; only a text with such letters is translated."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x{0}-\x{7F}]"), F.regexp_replace(F.translate(low, *_folding()), r"\p{Mn}+", "")).otherwise(low)
 
 
 def occurrences(text: Column, term: str) -> Column:
