@@ -1,15 +1,17 @@
 """Licence scan: whole texts, brought to a canonical form, are looked up by digest.
 
 The canonical form follows the usual matching guidelines: case, punctuation and
-blanks don't count, copyright lines are left out, equivalent spellings become
-one. The same expressions make the digests of the known licences, a table of a
-few rows that is broadcast; documents are never shuffled. Next to the SQL's
-digest, a stricter form, in which only lines with a year or a mark are copyright
-lines, is looked up among whole texts and bodies with their usual titles.
+blanks don't count, copyright notices are left out, equivalent spellings become
+one. A notice is a line that begins with the word or mark and has a mark, a year
+or a placeholder behind it, or that says no more than that all rights are
+reserved; a line of a wrapped licence that happens to begin with "copyright
+holder" stays. The same expressions make the digests of the known licences, a
+table of some dozen rows that is broadcast; documents are never shuffled.
 
 Defined results: a null or empty text has the digest of the empty canonical
-form and no licence; repeated rows give repeated results; extra columns of the
-input ride along.
+form and no licence; very long texts are taken whole; repeated rows give
+repeated results; extra columns of the input ride along, but those named like a
+result give way to it.
 """
 
 from __future__ import annotations
@@ -115,11 +117,8 @@ LICENCES = {
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
 
-_COPYRIGHT = r"\n[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-
-
-# What is surely a copyright line: a body may be wrapped so that a line begins with "copyright holder".
-_MARKED = r"\n[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[<\[{])|copyright[^\n]*[0-9]{4}|\(c\)[^\n]*[0-9]{4}|©|all rights reserved[.]?[ \t\r]*(?=\n|$))[^\n]*"
+#: A copyright notice: a whole line of a text in lower case.
+_NOTICE = r"^[ \t]*(?:(?:copyright[ \t]*(?:\(c\)|©|[<\[{])|copyright[^\n]*[0-9]{4}|\(c\)[^\n]*[0-9]{4}|©)[^\n]*|all rights reserved[.]?[ \t\r]*)$"
 
 #: Lines that usually stand above a body.
 TITLES = {
@@ -145,21 +144,15 @@ def whole_texts() -> list[tuple[str, str]]:
     return out
 
 
-def _lines(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))), pattern, "\n")
-
-
 def canonical(text: Column) -> Column:
-    """The canonical form: words of letters and digits, two blanks between and around them."""
-    return _canonical(_lines(text, _COPYRIGHT))
-
-
-def _canonical(lines: Column) -> Column:
+    """The canonical form: words of letters and digits, one blank between them."""
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))), f"(?md){_NOTICE}", "")
+    # Two blanks between and around words, so that spellings side by side are each replaced.
     out = F.concat(F.regexp_replace(lines, r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
     for old, new in SPELLINGS.items():
         if old != new:
             out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    return F.trim(F.replace(F.replace(out, F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -168,27 +161,18 @@ def digest(text: Column) -> Column:
 
 def known_licences(spark: SparkSession, licences: dict[str, str] | None = None) -> DataFrame:
     """license_id and license_digest, one row for each digest (the first id by name, should two agree)."""
-    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("body")) for k, v in (licences or LICENCES).items()])
-    out = spark.range(1).select(F.inline(rows))
+    out = spark.createDataFrame(list(licences.items()) if licences else whole_texts(), "license_id string, body string")
     return out.groupBy(digest(F.col("body")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, text: str = "text", licences: dict[str, str] | None = None) -> DataFrame:
     """``docs`` with text_digest and, where the whole text is a known licence, its license_id.
 
-    The known licences are a parameter written in code, so their tables are small enough to broadcast.
+    The known licences are written in code or handed over as a parameter, so their table is small enough to broadcast.
     """
-    spark = docs.sparkSession
-    known = known_licences(spark, licences).withColumnRenamed("license_digest", "text_digest").withColumnRenamed("license_id", "_l_id")
-    strict = spark.createDataFrame(list(licences.items()) if licences else whole_texts(), "_l_other string, body string")
-    strict = strict.groupBy(F.sha2(_canonical(_lines(F.col("body"), _MARKED)).cast("binary"), 256).alias("_l_digest")).agg(F.min("_l_other").alias("_l_other"))
-    out = docs.drop("text_digest", "license_id").withColumns({"_l_wide": _lines(F.col(f"`{text}`"), _COPYRIGHT), "_l_lines": _lines(F.col(f"`{text}`"), _MARKED)})
-    out = out.withColumn("text_digest", F.sha2(_canonical(F.col("_l_wide")).cast("binary"), 256))
-    # Most texts have the same lines in both forms.
-    other = F.when(F.col("_l_lines") == F.col("_l_wide"), F.col("text_digest")).otherwise(F.sha2(_canonical(F.col("_l_lines")).cast("binary"), 256))
-    out = out.withColumn("_l_digest", other).drop("_l_wide", "_l_lines")
-    out = out.join(F.broadcast(known), "text_digest", "left").join(F.broadcast(strict), "_l_digest", "left")
-    return out.withColumn("license_id", F.coalesce("_l_id", "_l_other")).drop("_l_id", "_l_other", "_l_digest")
+    known = known_licences(docs.sparkSession, licences).withColumnRenamed("license_digest", "text_digest")
+    out = docs.drop(*[c for c in ("text_digest", "license_id") if c != text]).withColumn("text_digest", digest(F.col(f"`{text}`")))
+    return out.join(F.broadcast(known), "text_digest", "left")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +181,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_digest(text: str) -> str:
-    out = f"regexp_replace(chr(10) || lower(coalesce({text}, '')), '{_COPYRIGHT}', chr(10), 'g')"
+    out = f"regexp_replace(chr(10) || lower(coalesce({text}, '')), '(?m){_NOTICE}', '', 'g')"
     out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || '  '"
     for old, new in SPELLINGS.items():
         if old != new:
@@ -205,12 +189,14 @@ def _sql_digest(text: str) -> str:
     return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g')))"
 
 
-_QUOTED = ", ".join("('{}', '{}')".format(k, v.replace("'", "''").replace("\n", "' || chr(10) || '")) for k, v in LICENCES.items())
-OP3_SQL = f"""
-WITH known AS (SELECT min(license_id) AS license_id, {_sql_digest("body")} AS text_digest FROM (VALUES {_QUOTED}) v(license_id, body) GROUP BY 2)
+def _sql() -> str:
+    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in whole_texts())
+    return f"""
+WITH known AS (SELECT min(license_id) AS license_id, text_digest FROM (SELECT license_id, {_sql_digest("body")} AS text_digest FROM (VALUES {quoted}) v(license_id, body)) GROUP BY 2)
 SELECT doc_id, d.text_digest, license_id, license_id IS NOT NULL AS is_license
 FROM (SELECT doc_id, {_sql_digest("text")} AS text_digest FROM documents) d LEFT JOIN known USING (text_digest)
 """
 
+
 QUERIES = {"op3_license_scan": op3_license_scan}
-ORACLES = {"op3_license_scan": OP3_SQL}
+ORACLES = {"op3_license_scan": _sql()}

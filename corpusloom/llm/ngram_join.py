@@ -46,9 +46,9 @@ BITS, MOST_BITS = 256, 1 << 14
 TILE = 1024
 #: Documents with an element in their prefix from which it comes last in the order.
 FREQUENT = 8
-#: Bits of the map of frequent elements (16 MB), and elements that it takes at most; of more, those that most documents have
+#: Bits of the map of frequent elements (4 MB), and elements that it takes at most; of more, those that most documents have
 #: are moved, and the groups of the others are cut into tiles like all groups.
-MAP_BITS, SLICE_BITS = 1 << 27, 1 << 20
+MAP_BITS, SLICE_BITS = 1 << 25, 1 << 20
 MOST_FREQUENT = MAP_BITS // 2
 
 

@@ -84,6 +84,26 @@ def test_standard_licence_files(spark):
     assert [got[i][0]["license_id"] for i in range(len(cases))] == [k for k, _ in cases]
 
 
+def test_license_query_with_positives(spark, tmp_path):
+    import textwrap
+
+    import duckdb
+
+    wrapped = [textwrap.fill(t.replace("\n", " "), w) for t in (licenses.LICENCES["ISC"], licenses.LICENCES["MIT"]) for w in range(56, 84)]
+    assert any(re.search(r"^copyright notice", t, re.M) for t in wrapped)
+    texts = [f"{k.upper()}  Copyright (C) 1999 x\r\nCOPYRIGHT 2001 Y\nAll Rights Reserved.\n {t}" for k, t in [("", t) for t in wrapped]]
+    texts += [t for _, t in licenses.whole_texts()] + [licenses.LICENCES["MIT"].replace("license", "licence").replace("sublicense", "sub-license"), licenses.LICENCES["MIT"] + " more", None, "", "x " * 50000, "copyright", "ISC License\n\n" + wrapped[3]]
+    spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], f"{SCHEMA}, license_id string, text_digest string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in registry.queries()["op3_license_scan"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(registry.oracle_sql()["op3_license_scan"]).fetchall())
+    ids = {i: k for i, _, k, _ in got}
+    assert {ids[i] for i in range(28)} == {"ISC"} and {ids[i] for i in range(28, 56)} == {"MIT"} and all(ids[56 + k] for k in range(len(licenses.whole_texts())))
+    rest = [ids[k] for k in range(56 + len(licenses.whole_texts()), len(texts))]
+    assert rest == ["MIT", None, None, None, None, None, "ISC"]
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
@@ -497,6 +517,17 @@ def test_mixing(spark, docs, empty):
     assert once.columns == docs.columns and once.filter("text IS NOT NULL").count() >= len([t for _, t in TEXTS if t]) - 1
 
 
+def test_mixing_with_clashing_columns(spark):
+    rows = [(i % 5 if i else None, "w " * (i % 7), ["en", None][i % 2], "s", 1, 2, 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int, n_tokens int, key int")
+    tokens = F.size(F.array_remove(F.split("text", " "), ""))
+    got = source_mixing.mix(docs, ["lang", "source"], "doc_id", tokens, {("en",): 2}, share=0.5, max_epochs=2)
+    total = sum(i % 7 for i in range(40))
+    assert got.columns == ["lang", "source", "doc_id", "n_tokens", "epochs", "take_tokens"] and got.agg(F.sum(F.col("n_tokens") * F.col("epochs") + F.col("take_tokens"))).first()[0] == total // 2
+    whole = source_mixing.mixed_documents(docs, {"lang": F.col("lang"), "source": F.col("source")}, "doc_id", tokens, {}, share=1.0)
+    assert whole.columns == docs.columns and whole.count() == 40 and whole.filter("tokens <> 1 OR n_tokens <> 2 OR key <> 3").count() == 0
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.com/en/7?x#y", "https://a.example.com/en/8", "ftp://net/de/", "http://x.example.net/de/81", "http://org/es/", "http://notorg/es/", "a://b://c", "http://h?q=/en/", "http://com/en/"]
     pages = spark.createDataFrame(list(enumerate([*urls, urls[4]])), "page_id long, url string")
