@@ -10,7 +10,8 @@ All shares are whole tokens: a level's rest is dealt by running totals.
 A leaf's target is served from seeded epochs: whole epochs first, then the
 prefix of one more, in the order of a seeded digest of the document's id. Where
 the prefix ends is found without sorting a leaf: tokens are summed by the first
-digits of the digest, and only the bucket in which the target is met is ranked.
+two digits of the digest, then by the next two of those in the bucket in which
+the target is met, until that bucket is small; only its rows are ranked.
 
 Defined results: null level values are nodes of their own; a null text has no
 tokens, and such documents are only chosen in whole epochs or below the end of
@@ -31,8 +32,8 @@ from corpusloom.llm.common import broadcast_if_small, stored, table, words
 SEED = 17
 #: Epochs in which a leaf's tokens may be used.
 MAX_EPOCHS = 3
-#: Hex digits of the digest by which tokens are summed: 4096 buckets a leaf.
-DIGITS = 3
+#: Hex digits of the digest by which tokens are summed at a time (256 buckets), and rows of a bucket that one task ranks.
+DIGITS, RANKED_ROWS = 2, 10_000
 
 #: Weights of the production query: paths of level values, whole numbers, others 1.
 WEIGHTS: dict[tuple[str, ...], int] = {("d0",): 4, ("d1",): 2, ("d2",): 2, ("d0", "en"): 3, ("d1", "fr"): 5, ("d2", "es"): 6, ("d0", "en", "src0"): 2}
@@ -126,13 +127,22 @@ def mix(docs: DataFrame, levels: list[str], key: str, tokens: Column, weights: M
     n_leaves = plan.count()
     dealt = rows.join(broadcast_if_small(plan, n_leaves), _all_null_safe(levels)).drop(*[f"_{c}" for c in levels])
     dealt = dealt.withColumn("place", F.concat(_digest(seed, F.col("epochs"), F.col("key")), F.lpad(F.col("n_tokens").cast("string"), 20, "0")))
-    # The bucket of the digest in which each leaf's rest is met.
-    summed = dealt.filter("rest > 0").groupBy(*levels, "rest", F.substring("place", 1, DIGITS).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
-    running = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    met = summed.withColumn("upto", F.sum("n").over(running)).filter("upto >= rest AND upto - n < rest").select(*levels, "bucket", (F.col("upto") - F.col("n")).alias("before"))
-    met = stored(met, "mix-met").withColumnsRenamed({c: f"_{c}" for c in levels}).withColumnRenamed("bucket", "last_bucket")
-    near = dealt.join(broadcast_if_small(met, n_leaves), _all_null_safe(levels), "left").drop(*[f"_{c}" for c in levels])
-    bucket = F.substring("place", 1, DIGITS)
+    # The bucket of the digest in which each leaf's rest is met, with ever more digits.
+    open_rows, depth = dealt.filter("rest > 0"), 0
+    at = plan.filter("rest > 0").select(*[f"_{c}" for c in levels], F.lit("").alias("last_bucket"), F.lit(0).cast("long").alias("before"))
+    while True:
+        near = open_rows.join(broadcast_if_small(at, n_leaves), _all_null_safe(levels)).filter(F.startswith("place", F.col("last_bucket")))
+        bucket = F.substring("place", depth + 1, DIGITS).alias("bucket")
+        summed = near.groupBy(*levels, "rest", "last_bucket", "before", bucket).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
+        running = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        met = summed.withColumn("upto", F.sum("n").over(running) + F.col("before")).filter("upto >= rest AND upto - n < rest")
+        met = stored(met.select(*levels, F.concat("last_bucket", "bucket").alias("last_bucket"), (F.col("upto") - F.col("n")).alias("before"), "k"), "mix-met")
+        at = met.drop("k").withColumnsRenamed({c: f"_{c}" for c in levels})
+        depth += DIGITS
+        if (met.agg(F.max("k")).first()[0] or 0) <= RANKED_ROWS or depth >= 32:
+            break
+    near = dealt.join(broadcast_if_small(at, n_leaves), _all_null_safe(levels), "left").drop(*[f"_{c}" for c in levels])
+    bucket = F.substring("place", 1, depth)
     whole = near.filter(F.coalesce(bucket != F.col("last_bucket"), F.lit(True)))
     whole = whole.withColumn("take_tokens", F.when(bucket < F.col("last_bucket"), F.col("n_tokens")).otherwise(F.lit(0)))
     edge = near.filter(bucket == F.col("last_bucket"))

@@ -517,6 +517,23 @@ def test_mixing(spark, docs, empty):
     assert once.columns == docs.columns and once.filter("text IS NOT NULL").count() >= len([t for _, t in TEXTS if t]) - 1
 
 
+@pytest.mark.parametrize("ranked", [1, 10_000])
+def test_buckets_are_refined(spark, monkeypatch, ranked):
+    monkeypatch.setattr(source_mixing, "RANKED_ROWS", ranked)
+    sizes = {i: i % 9 for i in range(800)}
+    docs = spark.createDataFrame([(i, n, "a" if i % 3 else None) for i, n in sizes.items()], "doc_id long, n long, leaf string")
+    got = {r["doc_id"]: r["take_tokens"] for r in source_mixing.mix(docs, ["leaf"], "doc_id", F.col("n"), {}, share=0.37, max_epochs=1).collect()}
+    targets = {r["leaf"]: r["target"] for r in source_mixing.budgets(docs.groupBy("leaf").agg(F.sum("n").alias("tokens")), ["leaf"], {}, F.lit(int(sum(sizes.values()) * 0.37)), 1).collect()}
+    want = {}
+    for leaf, target in targets.items():
+        upto = 0
+        for i in sorted((i for i in sizes if (i % 3 != 0) == (leaf == "a")), key=lambda i: hashlib.md5(f"{source_mixing.SEED}-0-{i}".encode()).hexdigest() + f"{sizes[i]:020d}"):
+            if sizes[i] and upto < target:
+                want[i] = min(sizes[i], target - upto)
+            upto += sizes[i]
+    assert got == want
+
+
 def test_mixing_with_clashing_columns(spark):
     rows = [(i % 5 if i else None, "w " * (i % 7), ["en", None][i % 2], "s", 1, 2, 3) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int, n_tokens int, key int")
