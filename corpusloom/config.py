@@ -16,7 +16,7 @@ RULES: dict[str, dict[str, dict[str, object]]] = {
     "anonymization": {"": {"source!": str, "output!": str, "method": ("label", "random", "intelligent", "none"), "format": ("plain", "jsonl", "doccano"), "labels": list, "store_original": bool, "aggregate_output": bool, "skip_existing": bool, "regexes": str}},
     "convert": {"": {"source!": str, "output!": str, "model_parameters!": str}},
     "training": {
-        "": {"model_name!": str, "number_epochs!": (1, None), "batch_size!": (1, None), "lr!": (0.0, None), "gradient_accumulation_steps": (1, None), "warmup_ratio": (0.0, 1.0), "lr_scheduler": ("fixed", "cosine", "warmup_constant", "warmup_linear", "warmup_cosine", "warmup_cosine_restart"), "validations_per_epoch": (0, None), "train_ratio": (0.0, 1.0), "precision": str, "seed": int},
+        "": {"model_name!": str, "number_epochs!": (1, None), "batch_size!": (1, None), "lr!": (0.0, None), "gradient_accumulation_steps": (1, None), "warmup_ratio": (0.0, 1.0), "lr_scheduler": ("fixed", "cosine", "warmup_constant", "warmup_linear", "warmup_cosine", "warmup_cosine_restart"), "validations_per_epoch": (0, None), "train_ratio": (0.0, 1.0), "precision": str, "seed": int, "world_size": (1, None), "output": str, "parallelization_strategy": ("fsdp", "ddp", "deep_speed", "dp"), "optimizer": ("adam", "adamw", "sgd", "adamax", "adagrad", "adadelta", "rmsprop")},
         "dataset": {"nameOrPath!": str},
     },
 }

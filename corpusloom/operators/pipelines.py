@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import sequence_length
-from corpusloom.operators import anonymise, checkpoints, conversations, sampling, subword, tokenise
+from corpusloom.operators import anonymise, checkpoints, conversations, sampling, subword, telemetry, tokenise
 from corpusloom.sources import files
 
 
@@ -145,4 +145,27 @@ def convert(spark: SparkSession, config: dict) -> DataFrame:
     return done
 
 
-RUN = {"tokenization": tokenization, "dataset_merge": dataset_merge, "anonymization": anonymization, "convert": convert}
+def training(spark: SparkSession, config: dict) -> DataFrame:
+    """Plans a training without running it: checks the saved set, counts its steps, and gives the learning rate of each; written if there is an output."""
+    data = files.load_training(spark, config["dataset"]["nameOrPath"])
+    sizes = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
+    if not sizes.get("train"):
+        raise ValueError("the set has no train split")
+    ratio = config.get("train_ratio")
+    n = sizes["train"] if ratio is None else int(sizes["train"] * ratio)
+    if not n:
+        raise ValueError(f"a train_ratio of {ratio} leaves no rows")
+    accumulate = max(1, config.get("gradient_accumulation_steps") or 1)
+    plan = telemetry.step_plan(n, config["batch_size"], config.get("world_size") or 1, config["number_epochs"], accumulate, config.get("warmup_ratio") or 0.0)
+    rates = telemetry.schedule(spark, config.get("lr_scheduler") or "fixed", plan["total_steps"], plan["warmup_steps"], config["lr"])
+    times = config.get("validations_per_epoch") or 0
+    validated = telemetry.validation_steps(plan["steps_per_epoch"], times) if times else []
+    if config.get("output"):
+        base = config["output"].rstrip("/")
+        rates.write.mode("errorifexists").parquet(f"{base}/schedule")
+        names = list(sizes)
+        files.write_summary(spark, f"{base}/summary.json", {"model": config["model_name"], "rows": sizes, "train_rows": n, **plan, "validation_steps": validated, "validation_split": files.validation_split(names), "strategy": config.get("parallelization_strategy") or "fsdp"})
+    return rates
+
+
+RUN = {"tokenization": tokenization, "dataset_merge": dataset_merge, "anonymization": anonymization, "convert": convert, **dict.fromkeys(("training", "clm_training", "mlm_training", "instruction"), training)}

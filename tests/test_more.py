@@ -237,6 +237,21 @@ def test_rules_of_configurations(tmp_path):
     assert [config.kind_of(c) for c in (training, {"tokenizer": {"task": "x"}}, {"a": 1})] == ["training", "tokenization", None]
 
 
+def test_training_is_planned(spark, tmp_path):
+    rows = spark.createDataFrame([([1], [1], [1], "train" if k % 5 else "valid") for k in range(100)], "input_ids array<int>, attention_mask array<int>, labels array<int>, split string")
+    files.save(rows, str(tmp_path / "set"))
+    task = {"task": "clm_training", "model_name": "m", "number_epochs": 3, "batch_size": 4, "lr": 0.5, "gradient_accumulation_steps": 2, "warmup_ratio": 0.1, "lr_scheduler": "warmup_linear", "validations_per_epoch": 2, "optimizer": "adamw", "output": str(tmp_path / "plan"), "dataset": {"nameOrPath": str(tmp_path / "set")}}
+    assert config.faults(task) == [] and config.faults(task | {"parallelization_strategy": "x"})
+    assert pipelines.RUN["clm_training"](spark, task).agg(F.max("lr"), F.max("step")).first() == (0.5, 30)
+    told = json.loads((tmp_path / "plan" / "summary.json").read_text())
+    assert (told["train_rows"], told["steps_per_epoch"], told["total_steps"], told["warmup_steps"], told["validation_steps"], told["validation_split"]) == (80, 20, 30, 3, [10, 20], "valid")
+    with pytest.raises(ValueError, match="leaves no rows"):
+        pipelines.training(spark, task | {"train_ratio": 0.001})
+    files.save(rows.drop("labels"), str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="labels"):
+        pipelines.training(spark, task | {"dataset": {"nameOrPath": str(tmp_path / "bad")}})
+
+
 def test_info(capsys):
     assert __main__.main(["--info"]) == 0 and "python_version: " in capsys.readouterr().out and __main__.cores() >= 1
 
