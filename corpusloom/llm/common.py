@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -40,19 +41,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
-#: The folders written by each operator that is at work, the innermost last.
-_WRITTEN: list[list[str]] = []
+class _Work(threading.local):
+    """The folders written by each operator that is at work in a thread, the innermost last."""
 
+    def __init__(self):
+        self.written: list[list[str]] = []
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+
+_WORK = _Work()
+
+
+def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The written rows survive a lost executor, and a later read prunes columns.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    if _WRITTEN:
-        _WRITTEN[-1].append(path)
+    df.write.parquet(path, compression=compression)
+    if _WORK.written:
+        _WORK.written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,17 +74,17 @@ def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
-        _WRITTEN.append(paths := [])
+        _WORK.written.append(paths := [])
         try:
             out = operator(*args, **kwargs)
             spark, path = out.sparkSession, new_path(out.sparkSession, operator.__name__)
             out.write.parquet(path)
         finally:
-            _WRITTEN.pop()
+            _WORK.written.pop()
         for x in paths:
             removed(spark, x)
-        if _WRITTEN:
-            _WRITTEN[-1].append(path)
+        if _WORK.written:
+            _WORK.written[-1].append(path)
         return spark.read.schema(out.schema).parquet(path)
 
     return run

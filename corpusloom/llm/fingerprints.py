@@ -42,7 +42,7 @@ from corpusloom.llm.common import small_arrow_batches, stored, table
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1220703125)
 #: Code points in a window of the sketch, and windows kept.
-SPAN, KEPT = 12, 64
+SPAN, KEPT = 12, 16
 #: Code points that an equal span has at least, but for those at the beginning.
 ANCHOR = 32
 #: Rows in a range: at least where there are few, at most where there are many.
@@ -284,7 +284,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if held is not None:
             yield _edge("last", part, held_id, held.text, doc_id, id_type)
 
-    got = stored(dealt.mapInArrow(run, T.StructType([*fields, T.StructField("edge", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("body", T.StringType())])), "fp-ranges")
+    got = stored(dealt.mapInArrow(run, T.StructType([*fields, T.StructField("edge", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("body", T.StringType())])), "fp-ranges", "zstd")
     names = [f.name for f in fields]
     # The numbers of the ranges that have rows, each with that of the next; behind the last comes the first.
     parts = got.filter("edge = 'first'").select("part")
