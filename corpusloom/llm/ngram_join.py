@@ -46,7 +46,7 @@ BITS, MOST_BITS = 256, 1 << 14
 TILE = 1024
 #: Documents with an element in their prefix from which it comes last in the order.
 FREQUENT = 8
-#: Bits of the map of frequent elements (4 MB), and elements that it takes at most; of more, those that most documents have
+#: Bits of a map of elements (4 MB), and frequent elements that one takes at most; of more, those that most documents have
 #: are moved, and the groups of the others are cut into tiles like all groups.
 MAP_BITS, SLICE_BITS = 1 << 25, 1 << 20
 MOST_FREQUENT = MAP_BITS // 2
@@ -98,17 +98,21 @@ def folded(maps: list[bytes]) -> np.ndarray:
 
 
 def _map_place(hashes: np.ndarray) -> np.ndarray:
-    """The bit of a hash in the map of frequent elements."""
+    """The bit of a hash in a map of elements."""
     return (hashes * U(0x9E3779B97F4A7C15) >> U(64 - (MAP_BITS - 1).bit_length())).astype(np.int64)
 
 
+def _in_map(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _map_place(hashes)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def prefix_of(s: np.ndarray, percent: int, last: np.ndarray | None = None) -> np.ndarray:
     """The prefix of a sorted set in the order in which elements with a bit in ``last`` come last."""
     size = prefix_size(len(s), percent) if len(s) else 0
     if last is None or not size:
         return s[:size].view(np.int64)
-    at = _map_place(s)
-    is_last = (last[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    is_last = _in_map(s, last)
     return np.concatenate([s[~is_last], s[is_last]])[:size].view(np.int64)
 
 
@@ -135,6 +139,12 @@ def _frequent(docs: DataFrame, width: int, percent: int):
             least = r["level"]
         often = often.filter(level >= least)
 
+    return _element_map(often.select("e"))
+
+
+def _element_map(elements: DataFrame):
+    """A broadcast of the map of the elements e; its size is fixed, whatever their number."""
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = _map_place(batch.column("e").to_numpy(zero_copy_only=False).view(np.uint64))
@@ -145,11 +155,26 @@ def _frequent(docs: DataFrame, width: int, percent: int):
         flags[t.column("bit").to_numpy()] = True
         return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    slices = often.select("e").mapInArrow(places, "slice int, bit int").distinct().groupBy("slice").applyInArrow(build, "slice int, bits binary")
+    slices = elements.mapInArrow(places, "slice int, bit int").distinct().groupBy("slice").applyInArrow(build, "slice int, bits binary")
     out = np.zeros(MAP_BITS // 8, dtype=np.uint8)
     for r in slices.toLocalIterator():  # MAP_BITS / SLICE_BITS rows at most
         out[r["slice"] * SLICE_BITS // 8 : (r["slice"] + 1) * SLICE_BITS // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(out)
+    return elements.sparkSession.sparkContext.broadcast(out)
+
+
+def _elements_in(classes: DataFrame, wanted) -> DataFrame:
+    """A row (e, class, n, label) for each element of the prefixes that the broadcast map has, and for few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            e = lists.flatten().to_numpy(zero_copy_only=False)
+            kept = np.flatnonzero(_in_map(e.view(np.uint64), bits))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(e[kept]), *(batch.column(c).take(row) for c in ("class", "n", "label"))], names=["e", "class", "n", "label"])
+
+    return classes.select("class", "n", "label", "prefix").mapInArrow(run, "e long, class long, n int, label long")
 
 
 def _sketches(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
@@ -378,10 +403,12 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # First the first elements alone: most classes that belong together meet there.
     firsts = classes.select(F.col("prefix")[0].alias("e"), "class", "n", F.col("class").alias("label"))
-    early = components(_bitmap_links(_dealt(_with_units(_mixed(firsts), "e", percent).join(maps, "class")), percent))
+    early = components(_bitmap_links(_dealt(_with_units(firsts.join(_of_two_labels(firsts), "e", "left_semi"), "e", percent).join(maps, "class")), percent))
     labelled = classes.select("class", "n", "prefix").join(early.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("root", "class"))
-    every = labelled.select(F.explode("prefix").alias("e"), "class", "n", "label")
-    wanted = stored(_with_units(_mixed(every), "e", percent), "ng-wanted").join(maps, "class")
+    labelled = stored(labelled.select("class", "n", "prefix", "label"), "ng-labelled")
+    # Few elements have classes of two labels; a map of them spares the others the way to their groups.
+    mixed = stored(_of_two_labels(labelled.select(F.explode("prefix").alias("e"), "label")), "ng-mixed")
+    wanted = stored(_with_units(_elements_in(labelled, _element_map(mixed)), "e", percent), "ng-wanted").join(maps, "class")
     late = _bitmap_links(_dealt(wanted), percent)
     clusters = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
     clusters = clusters.groupBy("node").agg(F.min("root").alias("root"))
@@ -401,10 +428,9 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows whose element has two labels or more."""
-    mixed = rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("e")
-    return rows.join(mixed, "e", "left_semi")
+def _of_two_labels(rows: DataFrame) -> DataFrame:
+    """The elements that have two labels or more."""
+    return rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("e")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

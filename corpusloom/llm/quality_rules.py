@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BLANKS, table, words
+from corpusloom.llm.common import table, words
 
 # The stop words looked for, frequent function words of four languages.
 STOP_WORDS = (
