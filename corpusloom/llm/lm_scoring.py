@@ -15,6 +15,10 @@ each) are looked up in the worker by their hash, all others by a join on the
 term itself. Frequent means frequent in all documents, held-out ones included,
 so no term of the join is hot.
 
+Beside the score stand its mean over the tokens and seen_elsewhere, the share of
+the text's pairs that training has beyond the text itself: twice for a training
+document, once for a held-out one. It is 1 for a text that occurs again.
+
 Broadcasts are bounded by :data:`RESIDENT_BYTES` (or ``resident``), some 10 bits
 being needed for each level of each distinct n-gram. Larger filters are held in
 rounds. Terms fall into groups and pairs into cells of a group for the left and
@@ -41,7 +45,6 @@ import xxhash
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.llm.common import small_arrow_batches, stored, table, tidied
 from corpusloom.llm.word_hashes import Run, hashed, mix, runs
@@ -290,7 +293,7 @@ def _held(value: list) -> ShardedFilter:
 
 @tidied
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", resident: int | None = None) -> DataFrame:
-    """The id with held_out, n_tokens, n_known, train_tokens, base_score and score.
+    """The id with held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token and seen_elsewhere.
 
     resident: bytes of filters that a worker holds at a time, :data:`RESIDENT_BYTES` by default; a
     cluster with more memory takes fewer rounds with a larger number, to the same results.
@@ -339,8 +342,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", resident:
         sums = later[0]
         for p in later[1:]:
             sums = sums.union(p)
-        sums = sums.groupBy("key", "round").agg(F.max("part").alias("part")).groupBy("key").agg(F.sum("part").alias("rest"))
-        rows = stored(rows.join(sums, "key").withColumn("part", F.col("part") + F.col("rest")).drop("rest"), "lm-summed")
+        sums = sums.groupBy("key", "round").agg(F.max("part").alias("part"), F.max("elsewhere").alias("elsewhere")).groupBy("key").agg(F.sum("part").alias("rest"), F.sum("elsewhere").alias("more"))
+        rows = rows.join(sums, "key").withColumns({"part": F.col("part") + F.col("rest"), "elsewhere": F.col("elsewhere") + F.col("more")})
+        rows = stored(rows.drop("rest", "more"), "lm-summed")
     return _with_rare(rows.withColumnRenamed("part", "score"), terms.filter(~common).select("term", "n"), norm, doc_id, total)
 
 
@@ -392,7 +396,7 @@ def _rounds(sizes: dict[int, int], layout: Layout, most: int) -> list[tuple[int,
     return out
 
 
-FIRST = "key string, id {0}, n_tokens long, known long, base double, rare array<binary>, times array<long>, part double"
+FIRST = "key string, id {0}, n_tokens long, known long, base double, rare array<binary>, times array<long>, part double, elsewhere long"
 
 
 def _round(docs: DataFrame, lookup, uni, pairs, layout: Layout, cell: int, shards: tuple[int, int], norm: float) -> DataFrame:
@@ -406,7 +410,7 @@ def _round(docs: DataFrame, lookup, uni, pairs, layout: Layout, cell: int, shard
         every = shards == (cell * layout.per_cell, (cell + 1) * layout.per_cell - 1)
         texts = count_of(ones.levels(np.array([END_HASH]), layout.term_shard(np.array([END_HASH]))))[0]
         for batch in batches:
-            ids = batch.column("id")
+            ids, training = batch.column("id"), batch.column("training").to_numpy(zero_copy_only=False).astype(np.int64)
             for r in runs(batch.column("body")):
                 left, right, owner = tokens_of(r)
                 n = len(r.sizes)
@@ -432,9 +436,10 @@ def _round(docs: DataFrame, lookup, uni, pairs, layout: Layout, cell: int, shard
                 both = np.minimum(np.minimum(count_of(np.maximum(level, 0)), after), before)
                 p = LAMBDA * np.divide(both, before, out=np.zeros_like(both), where=before > 0) + (1 - LAMBDA) * single
                 columns["part"] = pa.array(np.bincount(owner, weights=np.log10(p), minlength=n), pa.float64())
+                columns["elsewhere"] = pa.array(np.bincount(owner, weights=level > training[r.first + owner], minlength=n).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select("id", "body").mapInArrow(run, FIRST.format(kind) if lookup is not None else "key string, part double")
+    return docs.select("id", "body", "training").mapInArrow(run, FIRST.format(kind) if lookup is not None else "key string, part double, elsewhere long")
 
 
 def _base_values(hashes: np.ndarray, exact: tuple[np.ndarray, np.ndarray], norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -477,7 +482,7 @@ def _with_rare(rows: DataFrame, rare_counts: DataFrame, norm: float, doc_id: str
     met = told.join(rare_counts, "term", "left").groupBy("row").agg(
         F.sum(F.col("k") * F.log10((c + F.lit(0.5)) / F.lit(float(norm or 1)))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("also")
     )
-    out = rows.select("row", "id", "n_tokens", "known", "base", "score").join(met, "row", "left")
+    out = rows.select("row", "id", "n_tokens", "known", "base", "score", "elsewhere").join(met, "row", "left")
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS))
     return out.select(
         F.col("id").alias(doc_id),
@@ -487,6 +492,8 @@ def _with_rare(rows: DataFrame, rare_counts: DataFrame, norm: float, doc_id: str
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         "score",
+        (F.col("score") / F.col("n_tokens")).alias("score_per_token"),
+        (F.col("elsewhere") / F.col("n_tokens")).alias("seen_elsewhere"),
     )
 
 

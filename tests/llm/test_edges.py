@@ -465,7 +465,8 @@ def model_scores(toks, held):
         for a, b in zip(["\t", *ws], ws, strict=False):
             both = min(quantised(twos[(a, b)]), one(a), one(b))
             total += math.log10(lm_scoring.LAMBDA * (both / one(a) if one(a) else 0) + (1 - lm_scoring.LAMBDA) * (one(b) + 0.5) / norm)
-        out.append((i, len(ws), total))
+        elsewhere = sum(twos[x] > (not held(i)) for x in zip(["\t", *ws], ws, strict=False))
+        out.append((i, len(ws), total, elsewhere / len(ws)))
     return out
 
 
@@ -485,8 +486,8 @@ def test_lm_scoring(docs, empty, monkeypatch, resident):
     assert sum(map(len, got.values())) == len(TEXTS)
     assert rounds == [(1, 1)] if resident is None else rounds[0][0] > rounds[0][1] > 1
     off = 0
-    for i, n_tokens, total in model_scores(toks, held):
-        off += not any(r["n_tokens"] == n_tokens and abs(r["score"] - total) < 1e-6 for r in got[i])
+    for i, n_tokens, total, share in model_scores(toks, held):
+        off += not any(r["n_tokens"] == n_tokens and abs(r["score"] - total) < 1e-6 and abs(r["score_per_token"] - total / n_tokens) < 1e-9 and abs(r["seen_elsewhere"] - share) < 1e-9 for r in got[i])
     assert off == 0
     for i, ws in toks:
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
