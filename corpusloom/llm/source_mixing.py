@@ -162,8 +162,8 @@ def mixed_documents(docs: DataFrame, levels: dict[str, Column], key: str, tokens
     sized = named.withColumn("_m_tokens", tokens.cast("long"))
     chosen = mix(sized, [f"_m_{k}" for k in levels], key, F.col("_m_tokens"), weights, share=share, max_epochs=max_epochs, seed=seed)
     times = chosen.select(F.col(key).alias("_m_key"), F.col("n_tokens").alias("_m_n"), (F.col("epochs") + F.when(F.col("take_tokens") > 0, 1).otherwise(0)).alias("_m_times"))
-    times = times.groupBy("_m_key", "_m_n").agg(F.max("_m_times").alias("_m_times"))
-    out = sized.join(times, F.col(key).eqNullSafe(F.col("_m_key")) & (F.col("_m_tokens") == F.col("_m_n")))
+    times = stored(times.groupBy("_m_key", "_m_n").agg(F.max("_m_times").alias("_m_times")), "mix-times")
+    out = sized.join(broadcast_if_small(times), F.col(key).eqNullSafe(F.col("_m_key")) & (F.col("_m_tokens") == F.col("_m_n")))
     return out.withColumn("_m_again", F.explode(F.sequence(F.lit(1), F.col("_m_times").cast("int")))).select(*docs.columns)
 
 
