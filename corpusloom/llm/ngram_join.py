@@ -33,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_ROWS, small_arrow_batches, stored, table, tidied
+from corpusloom.llm.common import BROADCAST_ROWS, broadcast_if_small, small_arrow_batches, stored, table, tidied
 from corpusloom.llm.word_hashes import mix, runs, sorted_distinct
 
 U = np.uint64
@@ -44,6 +44,8 @@ U = np.uint64
 BITS, MOST_BITS = 256, 1 << 14
 #: Classes in a tile, about.
 TILE = 1024
+#: Elements at the head of a prefix by which most classes that belong together are found first.
+EARLY = 4
 #: Documents with an element in their prefix from which it comes last in the order.
 FREQUENT = 8
 #: Bits of a map of elements (4 MB), and frequent elements that one takes at most; of more, those that most documents have
@@ -398,11 +400,11 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # The sketches of a class are alike, whichever row they come from.
     classes = sketches.filter("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "ng-classes")
+    classes = _numbered(stored(classes.withColumn("_row", F.monotonically_increasing_id()), "ng-classes"))
     maps = classes.select("class", "bits")
 
-    # First the first elements alone: most classes that belong together meet there.
-    firsts = classes.select(F.col("prefix")[0].alias("e"), "class", "n", F.col("class").alias("label"))
+    # First the head of the prefix alone, as good as that many minimum hashes: most classes that belong together meet there.
+    firsts = classes.select(F.explode(F.slice("prefix", 1, EARLY)).alias("e"), "class", "n", F.col("class").alias("label"))
     early = components(_bitmap_links(_dealt(_with_units(firsts.join(_of_two_labels(firsts), "e", "left_semi"), "e", percent).join(maps, "class")), percent))
     labelled = classes.select("class", "n", "prefix").join(early.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("root", "class"))
     labelled = stored(labelled.select("class", "n", "prefix", "label"), "ng-labelled")
@@ -428,6 +430,16 @@ def similarity_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Written ``rows`` with ``class``, whole numbers from 0 on, in place of the wide numbers ``_row``."""
+    part = F.shiftright("_row", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_k"))  # a row for each file that was written
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = stored(sizes.select("_part", before.alias("_before")), "ng-offsets")
+    out = rows.join(F.broadcast(offsets), part == F.col("_part"))
+    return out.withColumn("class", F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_row", "_part", "_before")
+
+
 def _of_two_labels(rows: DataFrame) -> DataFrame:
     """The elements that have two labels or more."""
     return rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("e")
@@ -437,7 +449,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """The rows of ``docs`` with the smallest id of their component; of rows alike in id and text one."""
     found = similarity_classes(docs, doc_id, text, width, percent).filter(F.col(doc_id).eqNullSafe(F.col("component_id")))
     kept = stored(found.groupBy(F.col(doc_id).alias("_id")).agg(F.count("*").alias("_times")), "ng-kept")
-    out = docs.join(kept, docs[doc_id].eqNullSafe(kept["_id"])).drop("_id")
+    out = docs.join(broadcast_if_small(kept), F.col(f"`{doc_id}`").eqNullSafe(F.col("_id"))).drop("_id")
     if not kept.filter("_times > 1").limit(1).count():
         return out.drop("_times")
     again = out.filter("_times > 1").withColumn("_text", F.xxhash64(text)).dropDuplicates([doc_id, "_text"]).drop("_text")
