@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "pii", "licenses", "sentencepieces", "fingerprints", "warc", "lm_scoring", "ngram_join", "source_mixing", "url_filters", "fill_in_middle", "merkle")
+MODULES = ("quality_rules", "pii", "licenses", "sentencepieces", "fingerprints", "warc", "lm_scoring", "ngram_join", "source_mixing", "url_filters", "fill_in_middle", "merkle", "substring_dedup")
 
 
 def queries() -> dict:

@@ -1,6 +1,6 @@
 """64-bit hashes of the words of many texts at once, without an object for each word.
 
-Words are what the ASCII blanks leave, with A-Z lower-cased. A word's hash is a
+Words are what the ASCII blanks leave, with A-Z lower-cased or as they are. A word's hash is a
 polynomial in its bytes, each replaced by a fixed 64-bit number, taken from a
 prefix array of its block, and then mixed with its length. Texts are taken apart
 a run at a time, so that arrays stay in proportion to a run or to its one text.
@@ -76,8 +76,9 @@ def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[Run]:
         yield hashed(held, first)
 
 
-def hashed(bodies: list[bytes], first: int = 0) -> Run:
-    data = b"\n".join([*bodies, b""]).lower()
+def hashed(bodies: list[bytes], first: int = 0, lower: bool = True) -> Run:
+    data = b"\n".join([*bodies, b""])
+    data = data.lower() if lower else data
     codes = np.frombuffer(data, dtype=np.uint8)
     edges = np.flatnonzero(np.diff((codes != 32) & (codes - np.uint8(9) > 4), prepend=False))  # a text ends with a line break here
     begins, ends = edges[::2], edges[1::2]
