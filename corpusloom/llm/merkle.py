@@ -3,7 +3,7 @@
 Leaves of a group stand in the order of their key; each run of :data:`FANOUT`
 neighbours becomes the digest of their digests. Positions come from one range
 shuffle of leaves (digests, no texts), counted by group and range. The leaves of a
-group are dealt out in aligned blocks of :data:`BLOCK`, a power of the fanout, so
+group are dealt out in aligned blocks of a power of the fanout, so
 that a block's levels need nothing from outside: its digests are one contiguous
 matrix of 64-byte rows, which is reshaped by the fanout and hashed row by row
 from level to level, and a sibling's place follows from a leaf's number alone.
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import broadcast_if_small, stored, table
 
 FANOUT = 3
-#: Leaves in a block, and the levels of its tree.
+#: Levels of a block's tree, which has FANOUT**LEVELS leaves.
 LEVELS = 6
-BLOCK = FANOUT**LEVELS
 WAY = "array<struct<left:string,right:string>>"
 
 
@@ -79,32 +78,32 @@ def _joined(level: np.ndarray, slots: np.ndarray, which: np.ndarray) -> pa.Array
     return pa.StringArray.from_buffers(len(slots), pa.py_buffer(ends), pa.py_buffer(level[slots[which]].tobytes()))
 
 
-def _block(digests: pa.ChunkedArray, n: int) -> list[np.ndarray]:
+def _block(digests: pa.ChunkedArray, n: int, levels: int) -> list[np.ndarray]:
     """Levels of a block whose group has ``n`` nodes."""
     rows = np.frombuffer("".join(digests.to_pylist()).encode(), np.uint8).reshape(-1, 64)
-    return matrices(rows, min(LEVELS, depth(n)))
+    return matrices(rows, min(levels, depth(n)))
 
 
 def _sorted(nodes: pa.Table) -> pa.Table:
     return nodes.sort_by("pos")
 
 
-def _of_blocks(df: DataFrame):
-    return df.withColumn("block", F.expr(f"pos div {BLOCK}")).groupBy("key", "block")
+def _of_blocks(df: DataFrame, levels: int):
+    return df.withColumn("block", F.expr(f"pos div {FANOUT**levels}")).groupBy("key", "block")
 
 
-def _climbed(nodes: DataFrame) -> DataFrame:
+def _climbed(nodes: DataFrame, levels: int) -> DataFrame:
     """(key, pos, n, digest) of the blocks of nodes (key, pos, n, digest)."""
 
     def top(key: tuple, rows: pa.Table) -> pa.Table:
         n = rows.column("n")[0].as_py()
-        digest = _block(_sorted(rows).column("digest"), n)[-1][0].tobytes().decode()
-        return pa.table({"key": [key[0].as_py()], "pos": [key[1].as_py()], "n": [-(-n // BLOCK)], "digest": [digest]})
+        digest = _block(_sorted(rows).column("digest"), n, levels)[-1][0].tobytes().decode()
+        return pa.table({"key": [key[0].as_py()], "pos": [key[1].as_py()], "n": [-(-n // FANOUT**levels)], "digest": [digest]})
 
-    return stored(_of_blocks(nodes.select("key", "pos", "n", "digest")).applyInArrow(top, "key string, pos long, n long, digest string"), "merkle-blocks")
+    return stored(_of_blocks(nodes.select("key", "pos", "n", "digest"), levels).applyInArrow(top, "key string, pos long, n long, digest string"), "merkle-blocks")
 
 
-def _ways(nodes: DataFrame, most: int, above: DataFrame | None = None) -> DataFrame:
+def _ways(nodes: DataFrame, most: int, levels: int, above: DataFrame | None = None) -> DataFrame:
     """nodes with way, the siblings on their way up, and root, each group's top digest.
 
     ``most``: nodes of the largest group. ``above``: (key, way, root) to go on with at each group's top.
@@ -115,8 +114,8 @@ def _ways(nodes: DataFrame, most: int, above: DataFrame | None = None) -> DataFr
             return out
         tops = above.select("key", F.col("way").alias("_way"), F.col("root").alias("_root"))
         return out.join(broadcast_if_small(tops, most=10_000), "key").withColumns({"way": F.concat("way", "_way"), "root": F.col("_root")}).drop("_way", "_root")
-    blocks = _climbed(nodes)
-    upper = _ways(blocks, -(-most // BLOCK), above).select("key", F.col("pos").alias("block"), "way", "root", "subroot")
+    blocks = _climbed(nodes, levels)
+    upper = _ways(blocks, -(-most // FANOUT**levels), levels, above).select("key", F.col("pos").alias("block"), "way", "root", "subroot")
     kept = nodes.columns
 
     def down(rows: pa.Table, tops: pa.Table) -> pa.Table:
@@ -124,9 +123,9 @@ def _ways(nodes: DataFrame, most: int, above: DataFrame | None = None) -> DataFr
             return out_type.empty_table()
         rows = _sorted(rows)
         n = rows.column("n")[0].as_py()
-        levels = _block(rows.column("digest"), n)[:-1]
+        matrices = _block(rows.column("digest"), n, levels)[:-1]
         leaves = np.arange(rows.num_rows)
-        pairs = [siblings(level, leaves // FANOUT**k) for k, level in enumerate(levels)]
+        pairs = [siblings(level, leaves // FANOUT**k) for k, level in enumerate(matrices)]
         rest = tops.column("way").combine_chunks().flatten()
         size = len(pairs) + len(rest)
         # One struct for each leaf and level: the leaf's own levels, then those of its block.
@@ -142,7 +141,7 @@ def _ways(nodes: DataFrame, most: int, above: DataFrame | None = None) -> DataFr
 
     schema = nodes.withColumns({"way": F.array().cast(WAY), "root": F.lit(""), "subroot": F.lit("")}).schema
     out_type = to_arrow_schema(schema)
-    return _of_blocks(nodes).cogroup(upper.groupBy("key", "block")).applyInArrow(down, schema)
+    return _of_blocks(nodes, levels).cogroup(upper.groupBy("key", "block")).applyInArrow(down, schema)
 
 
 def _positioned(rows: DataFrame, order: list) -> tuple[DataFrame, int]:
@@ -159,12 +158,12 @@ def _positioned(rows: DataFrame, order: list) -> tuple[DataFrame, int]:
     return out.select(*rows.columns, "pos", "n"), most
 
 
-def merkle_manifest(rows: DataFrame, leaf: Column, group: str, order: str, carry: dict[str, Column] | None = None) -> DataFrame:
+def merkle_manifest(rows: DataFrame, leaf: Column, group: str, order: str, carry: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """``group`` and ``order`` of each row with leaf, subroot, root and way.
 
     way has for each level, from the leaf's up to the root's, the digests to the
     left and to the right in its run; :func:`folded` recomputes the root from it.
-    ``carry``: further columns of the result, told by expressions over rows.
+    ``carry``: further columns of the result, told by expressions over rows; ``levels``: of a block's tree.
     """
     carry = carry or {}
     # A null group comes first, and differs from the group named by its letter.
@@ -173,17 +172,17 @@ def merkle_manifest(rows: DataFrame, leaf: Column, group: str, order: str, carry
     leaves = leaves.withColumn("_id", F.monotonically_increasing_id())
     nodes, most = _positioned(leaves, [F.asc_nulls_first("_order"), F.col("digest"), F.col("_id")])
     nodes = stored(nodes.drop("_id"), "merkle-nodes")
-    subroots = _tops(nodes, most)
+    subroots = _tops(nodes, most, levels)
     groups, many = _positioned(subroots.select(F.lit("").alias("key"), "digest", F.col("key").alias("name")), [F.col("name")])
-    tops = stored(_ways(groups, many).select(F.col("name").alias("key"), "way", "root"), "merkle-tops")
-    out = _ways(nodes, most, tops)
+    tops = stored(_ways(groups, many, levels).select(F.col("name").alias("key"), "way", "root"), "merkle-tops")
+    out = _ways(nodes, most, levels, tops)
     return out.select(F.col("_group").alias(group), F.col("_order").alias(order), F.col("digest").alias("leaf"), "subroot", "root", "way", *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)])
 
 
-def _tops(nodes: DataFrame, most: int) -> DataFrame:
+def _tops(nodes: DataFrame, most: int, levels: int) -> DataFrame:
     """(key, digest) of each group's tree."""
     while most > 1:
-        nodes, most = _climbed(nodes), -(-most // BLOCK)
+        nodes, most = _climbed(nodes, levels), -(-most // FANOUT**levels)
     return nodes.select("key", "digest")
 
 
