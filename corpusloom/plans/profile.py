@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import lexicons as L
 from corpusloom.functions import text as X
 from corpusloom.functions.text import SQL
+from corpusloom.operators import lexicon
 from corpusloom.plans.common import long, rows, sql_rows, table
 
 
@@ -146,16 +147,14 @@ def primary_language_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of each regional term in lower-case texts, by source; terms without any are left out."""
-    counts = F.array(*[F.struct(F.lit(t).alias("term"), X.occurrences(F.col("low"), t).alias("k")) for t in L.REGIONAL_TERMS])
-    hits = _docs(spark, sf_dir).select("source", F.lower("text").alias("low")).select("source", F.inline(F.filter(counts, lambda x: x["k"] > 0)))
-    return hits.groupBy("source", "term").agg(long(F.sum("k")).alias("hits"))
+    return lexicon.by_term(_docs(spark, sf_dir), F.lower("text"), L.REGIONAL_TERMS, "source")
 
 
 def register_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formal and informal terms in all texts, and the register they show."""
-    low = _docs(spark, sf_dir).select(F.lower("text").alias("low"))
-    total = lambda terms: sum((X.occurrences(F.col("low"), t) for t in terms[1:]), X.occurrences(F.col("low"), terms[0]))
-    n = low.agg(long(F.coalesce(F.sum(total(L.FORMAL_TERMS)), F.lit(0))).alias("formal"), long(F.coalesce(F.sum(total(L.INFORMAL_TERMS)), F.lit(0))).alias("informal"))
+    found = _docs(spark, sf_dir).select(lexicon.hits(F.lower("text"), L.FORMAL_TERMS + L.INFORMAL_TERMS).alias("h"))
+    each = found.select(lexicon.totals("h", L.FORMAL_TERMS).alias("formal"), lexicon.totals("h", L.INFORMAL_TERMS).alias("informal"))
+    n = each.agg(*[long(F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in ("formal", "informal")])
     share = F.try_divide(F.col("formal") * 100, F.col("formal") + F.col("informal"))
     label = F.when(share.isNull(), "none").when(share > 70, "formal").when(100 - share > 70, "informal").otherwise("mixed")
     return n.select("formal", "informal", F.round(share, 6).alias("formal_pct"), label.alias("register"))
@@ -196,9 +195,6 @@ def repeated_char_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.col("text").rlike(r"(.)\1{50,}").alias("repeated"))
 
 
-
-
-
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report ratios of the clean documents, with their labels."""
     f = features(_docs(spark, sf_dir)).filter("category IS NULL")
@@ -220,10 +216,9 @@ def domain_description_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analysis_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The issues (fatal) and warnings that the profile's totals raise."""
     t = F.col("text")
-    low = _docs(spark, sf_dir).select("source", "lang", long(F.length(t)).alias("chars"), X.word_count(t).alias("words"), F.lower(t).alias("low"))
-    hits = sum((X.occurrences(F.col("low"), term) for term in L.REGIONAL_TERMS[1:]), X.occurrences(F.col("low"), L.REGIONAL_TERMS[0]))
+    low = _docs(spark, sf_dir).select("source", "lang", long(F.length(t)).alias("chars"), X.word_count(t).alias("words"), lexicon.hits(F.lower(t), L.REGIONAL_TERMS).alias("h"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    a = low.withColumn("hits", hits).agg(F.count("*").alias("files"), F.count_distinct("source").alias("dirs"), total("chars").alias("chars"), total("words").alias("words"), F.count("lang").alias("detected"), F.count_if(F.col("lang") == "es").alias("spanish"), total("hits").alias("terms"))
+    a = low.withColumn("hits", lexicon.totals("h")).agg(F.count("*").alias("files"), F.count_distinct("source").alias("dirs"), total("chars").alias("chars"), total("words").alias("words"), F.count("lang").alias("detected"), F.count_if(F.col("lang") == "es").alias("spanish"), total("hits").alias("terms"))
     rules = [
         ("no_files", "issue", F.col("files") == 0),
         ("no_directories", "issue", F.col("dirs") == 0),

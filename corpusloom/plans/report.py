@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import lexicons as L
 from corpusloom.functions import text as X
 from corpusloom.functions.text import SQL
+from corpusloom.operators import lexicon
 from corpusloom.operators import report as R
 from corpusloom.plans.common import long, rows, sql_rows, table
 
@@ -42,9 +43,8 @@ def validation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the analysis of the documents is valid, and what it is warned of; one pass over the texts."""
-    t, low = F.col("text"), F.lower("text")
-    hits = sum((X.occurrences(low, term) for term in L.REGIONAL_TERMS[1:]), X.occurrences(low, L.REGIONAL_TERMS[0]))
-    d = table(spark, sf_dir, "documents").select("source", "lang", long(F.length(t)).alias("c"), X.word_count(t).alias("w"), hits.alias("h"))
+    t = F.col("text")
+    d = table(spark, sf_dir, "documents").select("source", "lang", long(F.length(t)).alias("c"), X.word_count(t).alias("w"), lexicon.hits(F.lower(t), L.REGIONAL_TERMS).alias("found")).withColumn("h", lexicon.totals("found"))
     total = lambda c: long(F.coalesce(F.sum(c), F.lit(0)))
     a = d.agg(F.count("*").alias("files"), F.count_distinct("source").alias("dirs"), total("c").alias("chars"), total("w").alias("words"), F.count("*").alias("analysed"), F.count("lang").alias("detected"), F.count_if(F.col("lang") == "es").alias("wanted"), total("h").alias("terms"), total("w").alias("tokens"))
     return R.verdicts(a)
@@ -69,9 +69,7 @@ def top_by_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten regional terms found most often, and how many others were found."""
-    low = table(spark, sf_dir, "documents").select(F.lower("text").alias("low"))
-    sums = low.agg(*[long(F.coalesce(F.sum(X.occurrences(F.col("low"), term)), F.lit(0))).alias(f"t{k}") for k, term in enumerate(L.REGIONAL_TERMS)])
-    hits = sums.select(F.inline(F.array(*[F.struct(F.lit(term).alias("term"), F.col(f"t{k}").alias("hits")) for k, term in enumerate(L.REGIONAL_TERMS)]))).filter("hits > 0")
+    hits = lexicon.by_term(table(spark, sf_dir, "documents"), F.lower("text"), L.REGIONAL_TERMS)
     more = hits.agg(F.greatest(F.count("*") - 10, F.lit(0)).alias("more"))
     return hits.orderBy(F.desc("hits"), "term").limit(10).join(F.broadcast(more))
 
