@@ -5,7 +5,9 @@ verdict in one narrow pass: no shuffle, no user functions.
 
 Defined results: a null or empty text has no words, every count is 0 and the
 document fails the length rule; repeated rows are judged alike, one by one;
-columns of the input named like a feature give way to the feature.
+columns of the input named like a feature give way to the feature; the rule of
+stop words holds only where the text is said to be in a language whose words are
+listed, so no text in another language, or in one that isn't told, fails it.
 """
 
 from __future__ import annotations
@@ -24,17 +26,20 @@ STOP_WORDS = (
     "de la le et les en un une du que dans "
     "el los las y por con para una"
 ).split()
+#: Codes of the languages that the words are from.
+STOP_LANGUAGES = ("de", "en", "es", "fr")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Fails if ``100 * feature`` is over (or under) ``limit * per`` in whole numbers; per None: the limit itself."""
+    """Fails if ``100 * feature`` is over (or under) ``limit * per`` in whole numbers; per None: the limit itself. languages: only texts in these."""
 
     name: str
     feature: str
     per: str | None
     least: int | None = None
     most: int | None = None
+    languages: tuple[str, ...] | None = None
 
 
 # Thresholds as published for web-text filters; the ratios are in percent.
@@ -46,7 +51,7 @@ THRESHOLDS = (
     Rule("long_words", "word_chars", "n_words", most=1500),
     Rule("symbols", "n_symbols", "n_words", most=10),
     Rule("no_letters", "n_letter_words", "n_words", least=60),
-    Rule("stop_words", "n_stop_words", None, least=2),
+    Rule("stop_words", "n_stop_words", None, least=2, languages=STOP_LANGUAGES),
     Rule("bullets", "n_bullet_lines", "n_lines", most=90),
     Rule("ellipses", "n_ellipsis_lines", "n_lines", most=30),
     Rule("dup_lines", "n_dup_lines", "n_lines", most=50),
@@ -56,7 +61,7 @@ THRESHOLDS = (
 BASE_RULES = ("too_short", "repeats")
 
 
-def _failed(rule: Rule) -> Column:
+def _failed(rule: Rule, lang: Column | None = None) -> Column:
     value, per = F.col(rule.feature), F.lit(1) if rule.per is None else F.col(rule.per)
     scale = 1 if rule.per is None else 100
     out = F.lit(False)
@@ -64,6 +69,8 @@ def _failed(rule: Rule) -> Column:
         out = out | (value * scale < per * rule.least)
     if rule.most is not None:
         out = out | (value * scale > per * rule.most)
+    if rule.languages is not None:
+        out = out & (F.lit(False) if lang is None else F.coalesce(F.lower(lang).isin(*rule.languages), F.lit(False)))
     return out
 
 
@@ -74,10 +81,12 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     more in the text. Windows are compared by a 64-bit hash, sorted with their
     positions only where a hash occurs twice.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     stop = F.array(*[F.lit(x) for w in STOP_WORDS for x in (w, w.capitalize())])
-    kept = [c for c in docs.columns if not c.startswith("_q_") and c not in FEATURES]
-    out = docs.select(*kept, words(F.col(text)).alias("_q_w"), F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_q_l"), F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"))
+    # Columns have names of ours on the way, so that none clashes.
+    names = {c: f"_k_{k}" for k, c in enumerate(docs.columns) if c not in FEATURES}
+    kept = list(names.values())
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], words(body).alias("_q_w"), F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_q_l"), F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"))
     out = out.select(
         *kept,
         "n_symbols",
@@ -99,18 +108,23 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = out.withColumn("_q_p", starts)
     covered = F.expr("coalesce(aggregate(_q_p, named_struct('n', 0L, 'last', -3), (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p), a -> a.n), 0L)")
-    return out.withColumn("n_repeat_words", covered).drop("_q_h", "_q_s", "_q_p")
+    out = out.withColumn("n_repeat_words", covered)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *COUNTS)
 
 
-FEATURES = ("n_symbols", "n_words", "word_chars", "n_stop_words", "n_letter_words", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+COUNTS = ("n_symbols", "n_words", "word_chars", "n_stop_words", "n_letter_words", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_repeat_words")
+FEATURES = (*COUNTS, "base_failed", "kept", "failed_rules")
 
 
-def quality_rules(docs: DataFrame, text: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS, lang: str = "lang") -> DataFrame:
     """``docs`` with features, the names of the rules failed, base_failed and kept.
 
-    ``base_failed`` follows from the base rules whether or not ``thresholds`` have them.
+    ``base_failed`` follows from the base rules whether or not ``thresholds`` have
+    them. ``lang`` names the column of language codes; without it no rule that is
+    about some languages holds.
     """
-    verdicts = F.array_compact(F.array(*[F.when(_failed(r), F.lit(r.name)) for r in thresholds]))
+    told = F.col(f"`{lang}`") if lang in docs.columns else None
+    verdicts = F.array_compact(F.array(*[F.when(_failed(r, told), F.lit(r.name)) for r in thresholds]))
     base = F.lit(False)
     for rule in THRESHOLDS:
         if rule.name in BASE_RULES:
@@ -118,17 +132,17 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds: tuple[Rule, .
     return features(docs, text).withColumns({"failed_rules": verdicts, "base_failed": base}).withColumn("kept", F.size("failed_rules") == 0)
 
 
-def keep_good(docs: DataFrame, text: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", thresholds: tuple[Rule, ...] = THRESHOLDS, lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass every rule, with their columns as they were."""
-    names = {c: f"_k_{k}" for k, c in enumerate(docs.columns)}
-    judged = quality_rules(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text], thresholds)
+    names = {c: f"_k{k}" for k, c in enumerate(docs.columns)}
+    judged = quality_rules(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text], thresholds, names.get(lang, lang))
     # An id that can't be moved keeps the filter above the projection: pushed below, it would hold all features anew, each many times over.
     kept = judged.withColumn("_q_at", F.monotonically_increasing_id()).filter("kept AND _q_at >= 0")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -139,12 +153,13 @@ _STOP = ", ".join(f"'{w}', '{w.capitalize()}'" for w in STOP_WORDS)
 def _sql_failed(r: Rule) -> str:
     per, scale = ("1", 1) if r.per is None else (r.per, 100)
     parts = [f"{r.feature} * {scale} < {per} * {r.least}"] * (r.least is not None) + [f"{r.feature} * {scale} > {per} * {r.most}"] * (r.most is not None)
-    return "(" + " OR ".join(parts) + ")"
+    only = "" if r.languages is None else f" AND coalesce(lower(lang) IN ({', '.join(repr(x) for x in r.languages)}), false)"
+    return f"(({' OR '.join(parts)}){only})"
 
 
 OP10_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t,
+  SELECT doc_id, lang, row_number() OVER () AS rid, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '{_W}+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_W}')) AS l
   FROM documents),
@@ -154,7 +169,7 @@ win AS (
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM win) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM dup, (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid),
 f AS (
-  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
          len(l) AS n_lines,
