@@ -5,7 +5,8 @@ smallest id that has the same payload, and beside it a request and a metadata
 record that name it by WARC-Concurrent-To. Records are built from SQL functions
 and written by Spark's text writer with the record separator as line end, so the
 files are plain WARC/1.1 and live wherever Spark writes. Records are written by
-classes of size, each with as many to a file as keep it within :data:`FILE_BYTES`.
+classes of the size of all three, each with as many pages to a file as keep it
+within :data:`FILE_BYTES`; a page that is larger has a file of its own.
 
 Reading: whole files, bounded so, come through Spark's binary reader, are cut by
 Content-Length and become rows. Assembly joins request and metadata records to
@@ -34,10 +35,10 @@ from corpusloom.llm.common import broadcast_if_small, new_path, removed, stored,
 
 #: Payloads below are never revisits.
 LEAST_BYTES = 100
-#: Bytes in a file at most, about (a larger record has a file of its own): what a reading task holds at a time follows from it.
+#: Bytes in a file at most (the records of a larger page have a file of their own): what a reading task holds at a time follows from it.
 FILE_BYTES = 32 << 20
-#: Payload bytes up to which pages are written together, and what the headers and the other two records add, about.
-CLASSES, HEADERS = (4 << 10, 64 << 10, 1 << 20), 2 << 10
+#: Pages are written by classes of size: up to 2^16 bytes, then by steps of 2^3. What headers add to a page's three records at most.
+POWERS, HEADERS = (16, 3), 3 << 10
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -103,16 +104,13 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     request = _record(F.lit("request"), _urn("request", F.concat_ws(":", ident, F.col("w_digest"))), [("WARC-Target-URI", target), ("Content-Type", F.lit("application/http; msgtype=request")), ("WARC-Concurrent-To", own_id)], asked)
     facts = F.to_json(F.struct(F.col(page_id).alias("page_id"), F.col(url).alias("url")))
     metadata = _record(F.lit("metadata"), _urn("metadata", F.concat_ws(":", ident, F.col("w_digest"))), [("WARC-Target-URI", target), ("Content-Type", F.lit("application/json")), ("WARC-Concurrent-To", own_id)], facts)
-    size = F.coalesce(_bytes(F.col(f"`{html}`")), F.lit(0))
-    edges = [-1, *CLASSES]
-    found = pages.agg(*[F.count_if((size > low) & (size <= high)) for low, high in zip(edges, CLASSES, strict=False)], F.max(size)).first()
-    sizes = [(low, high) for low, high, n in zip(edges, CLASSES, found, strict=False) if n]
-    if (found[-1] or 0) > CLASSES[-1]:
-        sizes.append((CLASSES[-1], found[-1]))
-    for low, high in sizes or [(-1, CLASSES[0])]:
-        lines = rows.filter((F.col("w_bytes") > low) & (F.col("w_bytes") <= high)).select(F.explode(F.array(main, request, metadata)).alias("value"))
-        most = max(1, 3 * FILE_BYTES // (high + HEADERS)) if high <= CLASSES[-1] else 3 * max(1, FILE_BYTES // (high + HEADERS))
-        lines.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", most).text(f"{path.rstrip('/')}/upto-{high}")
+    # What a page's records come to at most: the html once; the url in three headers, in the request's line (a blank takes three bytes there) and in the metadata (up to six).
+    most = F.coalesce(_bytes(F.col(f"`{html}`")), F.lit(0)) + 12 * F.coalesce(_bytes(F.col(f"`{url}`")), F.lit(0)) + HEADERS
+    power = (F.lit(POWERS[0]) + POWERS[1] * F.greatest(F.ceil((F.log2(most) - POWERS[0]) / POWERS[1]), F.lit(0))).cast("int")
+    records = rows.select(power.alias("w_power"), F.array(main, request, metadata).alias("w_records"))
+    for (p,) in sorted(pages.select(power).distinct().collect()) or [(POWERS[0],)]:  # at most six classes
+        lines = records.filter(F.col("w_power") == p).select(F.explode("w_records").alias("value"))
+        lines.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 3 * max(1, FILE_BYTES >> p)).text(f"{path.rstrip('/')}/upto-{1 << p}")
 
 
 RECORD = T.StructType(
