@@ -233,7 +233,10 @@ def _with_units(rows: DataFrame, key: str, percent: int) -> DataFrame:
     lower = F.count_if(F.col("upper") == 0)
     sizes = out.groupBy("_unit").agg(lower.alias("_k0"), (F.count("*") - lower).alias("_k1"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
     sizes = sizes.filter("_k0 > 0 AND _lo <> _hi").select("_unit", *[F.when(F.col("_k0") + F.col("_k1") > TILE, F.ceil(F.col(k) / TILE)).otherwise(0).cast("int").alias(p) for k, p in (("_k0", "_p0"), ("_k1", "_p1"))])
-    out = out.join(sizes, "_unit")
+    # Rows of a unit that will be cut get its size by a broadcast, so that they don't meet in one task before.
+    cut = stored(sizes.filter("_p0 > 0"), "ngram-cut")
+    whole = out.join(broadcast_if_small(cut.select("_unit")), "_unit", "left_anti").join(sizes.filter("_p0 = 0"), "_unit")
+    out = out.join(broadcast_if_small(cut), "_unit").unionByName(whole)
     own0, own1 = "cast(pmod(xxhash64(class, 7), _p0) AS int)", "cast(pmod(xxhash64(class, 7), _p1) AS int)"
     small = "array(named_struct('unit', _unit, 'side', CASE WHEN upper = 0 THEN -1 ELSE 1 END))"
     within = f"transform(sequence(0, _p0 - 1), o -> named_struct('unit', xxhash64(_unit, 0, least({own0}, o), greatest({own0}, o)), 'side', CASE WHEN o = {own0} THEN -1 WHEN {own0} < o THEN 0 ELSE 1 END))"
