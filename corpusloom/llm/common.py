@@ -51,13 +51,13 @@ class _Work(threading.local):
 _WORK = _Work()
 
 
-def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str = "table", compression: str | None = None, **options) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The written rows survive a lost executor, and a later read prunes columns.
+    The written rows survive a lost executor, and a later read prunes columns. ``options`` are the writer's.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     if _WORK.written:
         _WORK.written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import automata
-from corpusloom.llm.common import broadcast_if_small, small_arrow_batches, stored, table
+from corpusloom.llm.common import broadcast_if_small, small_arrow_batches, stored, table, tidied
 
 # The contract's markers of prefix, suffix and middle, and its seed.
 MARKERS = ("<P>", "<S>", "<M>")
@@ -193,6 +193,7 @@ def restored(output: Column, form: Column) -> Column:
     return F.when(form == "psm", F.concat(between(p, s), middle, between(s, m))).when(form == "spm", F.concat(between(p, m), middle, between(s, p))).otherwise(output)
 
 
+@tidied
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda x: F.sha2(x.cast("binary"), 256)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, stored, table
+from corpusloom.llm.common import broadcast_if_small, stored, table, tidied
 
 FANOUT = 3
 #: Levels of a block's tree, which has FANOUT**LEVELS leaves.
@@ -196,6 +196,7 @@ def proof(way: Column) -> Column:
     return F.array_join(F.transform(way, lambda x: F.concat(x["left"], x["right"])), "")
 
 
+@tidied
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]

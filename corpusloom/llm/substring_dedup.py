@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_arrow_batches, stored, table
+from corpusloom.llm.common import small_arrow_batches, stored, table, tidied
 from corpusloom.llm.word_hashes import MIX_A, U, _Powers, hashed, mix
 
 LENGTH, START = 50, 13
@@ -239,9 +239,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_arrow_batches(spark)
     kind = docs.schema[doc_id].dataType
-    path_rows = packed(docs, doc_id, text)
     # Row groups of a few runs, as readers hold one whole.
-    runs = _stored_runs(path_rows)
+    runs = stored(packed(docs, doc_id, text), "repeats-runs", "zstd", **{"parquet.block.row.count.limit": "4"})
     words = runs.agg(F.sum("words")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BUCKET_WORDS))
     levels = lengths(length, start)
@@ -266,14 +265,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").cast(kind).alias(doc_id), "n_words", "n_removed", "kept", "spans")
 
 
-def _stored_runs(rows: DataFrame) -> DataFrame:
-    from corpusloom.llm.common import new_path
-
-    path = new_path(rows.sparkSession, "repeats-runs")
-    rows.write.option("parquet.block.row.count.limit", "4").parquet(path, compression="zstd")
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("upto", pa.int64())]))
 
 
@@ -314,6 +305,7 @@ def _cut(ids: list, found: Words, starts: np.ndarray, length: int) -> pa.RecordB
     return _result(ids, found.n.tolist(), removed, kept, spans)
 
 
+@tidied
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -61,6 +61,17 @@ def test_quality(docs, empty):
     assert kept.columns == docs.columns and all(r["n_words"] == 7 for r in kept.collect())
 
 
+def test_stop_words_are_asked_of_their_languages_alone(spark):
+    russian = " ".join(f"слово{chr(0x430 + k % 32)}{chr(0x430 + k // 32)}" for k in range(400))
+    english = " ".join(f"noun{k}" for k in range(400)) + " x"
+    rows = [(1, russian, "ru"), (2, russian, None), (3, russian, "en"), (4, english, "en"), (5, english, "it"), (6, english + " the of", "EN")]
+    df = spark.createDataFrame([(*r, "w", 1) for r in rows], "doc_id long, text string, lang string, _q_w string, _k_0 int")
+    got = quality_rules.quality_rules(df)
+    assert {r.doc_id: r.kept for r in got.collect()} == {1: True, 2: True, 3: False, 4: False, 5: True, 6: True}
+    assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == {1, 2, 5, 6} and {"_q_w", "_k_0"} < set(got.columns)
+    assert quality_rules.quality_rules(df.drop("lang")).filter("kept").count() == 6
+
+
 def test_licences(spark, docs, empty):
     mit = "Copyright (c) 2020 Somebody\n\n" + licenses.LICENCES["MIT"].replace("Software", "SOFTWARE").replace(".", " .")
     got = rows_by(licenses.license_scan(spark.createDataFrame([(1, mit), (2, "MIT"), (3, None), (4, licenses.LICENCES["ISC"].replace("author", "Author") + "\n© me")], SCHEMA)))
@@ -334,12 +345,13 @@ def plain_fingerprint(text):
         h = polynomial(text[k : k + fingerprints.SPAN], p, base) * 0x9E3779B97F4A7C15 % 2**64
         h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
         seen.add(h ^ h >> 32)
-    return len(text), [polynomial(text, q, g) for q, g in zip(fingerprints.PRIMES, fingerprints.BASES, strict=True)], sorted(seen)[: fingerprints.KEPT]
+    shortened = [(h.bit_length() - 1) << 26 | (h << (64 - h.bit_length()) << 1) % 2**64 >> 38 for h in sorted(seen)[: fingerprints.KEPT]]
+    return len(text), [polynomial(text, q, g) for q, g in zip(fingerprints.PRIMES, fingerprints.BASES, strict=True)], shortened
 
 
 def parts_of(mark):
     n, whole, sketch = mark.split(".")
-    return int(n, 16), [int(whole[:8], 16), int(whole[8:], 16)], [int(sketch[k : k + 16], 16) for k in range(0, len(sketch), 16)]
+    return int(n, 16), [int(whole[:8], 16), int(whole[8:], 16)], [int(sketch[k : k + 8], 16) for k in range(0, len(sketch), 8)]
 
 
 def extension(a, i, b, j):
@@ -372,8 +384,9 @@ def test_fingerprints(spark, docs, empty):
     for (i, t), (_, u) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
         t, u = t or "", u or ""
         edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
-        r = [x for x in got[i] if x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and abs(x["near_next"] - plain_likeness(t, u)) < 1e-12]
-        assert r and r[0]["n_chars"] == len(t) and abs(r[0]["near_edited"] - plain_likeness(t, edited)) < 1e-12
+        r = [x for x in got[i] if x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and abs(x["span_next"] - plain_likeness(t, u)) < 1e-12]
+        assert r and r[0]["n_chars"] == len(t) and abs(r[0]["span_edited"] - plain_likeness(t, edited)) < 1e-12
+        assert r[0]["near_edited"] == fingerprints.likeness(r[0]["fingerprint"], r[0]["edited_fingerprint"]) and r[0]["near_next"] == fingerprints.likeness(*(fingerprints.fingerprint(h.n, h.whole(), fingerprints.smallest(h.windows())) for h in map(fingerprints.PrefixHash.of, (t, u))))
         assert (r[0]["common_edited"], r[0]["common_next"]) == (extension(t, 0, edited, 0), extension(t, 0, u, 0))
         if len(t) < 1000:
             for text, mark in ((t, r[0]["fingerprint"]), (edited, r[0]["edited_fingerprint"])):
@@ -402,8 +415,27 @@ def test_fingerprints_across_ranges(spark, monkeypatch):
     assert sum(map(len, got.values())) == len(rows)
     for (i, t), (_, u) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
         edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
-        r = [x for x in got[i] if x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and abs(x["near_next"] - plain_likeness(t, u)) < 1e-12]
-        assert r and abs(r[0]["near_edited"] - plain_likeness(t, edited)) < 1e-12
+        r = [x for x in got[i] if x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and abs(x["span_next"] - plain_likeness(t, u)) < 1e-12]
+        assert r and abs(r[0]["span_edited"] - plain_likeness(t, edited)) < 1e-12
+
+
+def test_likeness_of_fingerprints_against_all_windows():
+    import random
+
+    rng, errors, found = random.Random(8), [], 0
+    mark = lambda t: (h := fingerprints.PrefixHash.of(t)) and fingerprints.fingerprint(h.n, h.whole(), fingerprints.smallest(h.windows()))
+    for k in range(60):
+        a = "".join(rng.choices("abcdefgh ", k=rng.randrange(200, 4000)))
+        cut = len(a) * (k % 12) // 12
+        b = a[:cut] + "".join(rng.choices("ijklmnop ", k=len(a) - cut))
+        x, y = ({t[j : j + fingerprints.SPAN] for j in range(len(t) - fingerprints.SPAN + 1)} for t in (a, b))
+        true, told = 2 * len(x & y) / (len(x) + len(y)), fingerprints.likeness(mark(a), mark(b))
+        assert told == fingerprints.likeness(mark(b), mark(a))
+        errors.append(abs(true - told))
+        found += true < 0.8 or told >= 0.6
+    assert sum(errors) / len(errors) < 0.06 and max(errors) < 0.25 and found == 60
+    far = fingerprints.short(fingerprints.np.array([1, 2, 3, 2**26 + 1, 2**64 - 1, 2**40, 2**40 + 1], dtype=fingerprints.np.uint64)).tolist()
+    assert far[:5] == sorted(set(far[:5])) and far[5] == far[6]  # order stays; what is beyond 26 bits goes
 
 
 def test_spans_and_extensions():
@@ -649,6 +681,15 @@ def test_warc_round_trip(spark, tmp_path):
         list(warc.parse_records(b"junk"))
 
 
+def test_warc_files_are_bounded_by_whole_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    rows = [(k, "http://x/" + ("\x01 " * 10_000 if k % 3 else "y"), "h" * (k % 7) * 10_000) for k in range(60)] + [(99, "http://x/", "z" * 3_000_000)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").rglob("part-*"))
+    assert sizes[-1] > 3_000_000 and sizes[-2] <= 1 << 20 and len(sizes) > 5
+    assert warc.captures(warc.read_warc(spark, str(tmp_path / "w"))).count() == 61
+
+
 def test_warc_query_with_revisits(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
     bodies = ["a" * 99, "b" * 100, "c" * 5000, "ü" * 60, None, "d" * 100_000, "e" * 2_000_000, "WARC/1.1\r\n\r\n" * 20]
