@@ -51,6 +51,9 @@ ANCHOR = 32
 FEW_ROWS, MANY_ROWS = 2_000, 20_000
 
 
+TOPS = np.array([1 << k for k in range(64)], dtype=np.uint64)
+
+
 @lru_cache(maxsize=8)
 def _powers(which: int, n: int) -> np.ndarray:
     """Powers 0 to n-1 of a base; n is a power of two."""
@@ -69,7 +72,7 @@ class PrefixHash:
     """Prefix arrays of one text under both primes."""
 
     def __init__(self, codes: np.ndarray):
-        self.n, self.sums = len(codes), []
+        self.n, self.sums, self.held = len(codes), [], {}
         wide = codes.astype(np.uint64) + np.uint64(1)
         for which, p in enumerate(PRIMES):
             terms = wide * powers(which, self.n) % np.uint64(p)
@@ -85,7 +88,7 @@ class PrefixHash:
     def spliced(cls, a: PrefixHash, keep: int, b: PrefixHash, take: int) -> PrefixHash:
         """The arrays of the first ``keep`` code points of a and the first ``take`` of b, from their arrays alone."""
         out = cls.__new__(cls)
-        out.n, out.sums = keep + take, []
+        out.n, out.sums, out.held = keep + take, [], None
         for which, p in enumerate(PRIMES):
             shift = np.uint64(pow(BASES[which], keep, p))
             tail = (b.sums[which][1 : take + 1] * shift + a.sums[which][keep]) % np.uint64(p)
@@ -105,8 +108,15 @@ class PrefixHash:
         count = end - begin - span + 1
         if count <= 0:
             return np.zeros(0, dtype=np.uint64)
+        if self.held is not None:  # all windows of a size, made once
+            if span not in self.held:
+                self.held[span] = self._windows(0, self.n - span + 1, span)
+            return self.held[span][begin : begin + count]
+        return self._windows(begin, count, span)
+
+    def _windows(self, begin: int, count: int, span: int) -> np.ndarray:
         p, s = np.uint64(PRIMES[0]), self.sums[0]
-        own = (s[begin + span : end + 1] + p - s[begin : begin + count]) % p
+        own = (s[begin + span : begin + span + count] + p - s[begin : begin + count]) % p
         # brought to a common power of the base
         own = own * _lifts(begin, count) % p
         own *= np.uint64(0x9E3779B97F4A7C15)
@@ -161,10 +171,14 @@ def span_likeness(a: PrefixHash, b: PrefixHash) -> float:
     a behind it whose first place in b lies behind it, too. Windows are met by
     their hash, and a place counts if the prefix arrays say that the spans are equal.
     """
+    return spans(a, b)[0]
+
+
+def spans(a: PrefixHash, b: PrefixHash) -> tuple[float, int]:
+    """:func:`span_likeness`, and the length of the common beginning."""
     if not a.n or not b.n:
-        return float(a.n == b.n)
-    covered = common_extension(a, 0, b, 0)
-    i = j = covered
+        return float(a.n == b.n), 0
+    covered = i = j = begun = common_extension(a, 0, b, 0)
     if min(a.n - i, b.n - j) >= ANCHOR:
         own, other = a.windows(i, span=ANCHOR), b.windows(j, span=ANCHOR)
         froms, tos = _first_places(own, other)
@@ -184,7 +198,7 @@ def span_likeness(a: PrefixHash, b: PrefixHash) -> float:
             covered += size
             i, j = x + size, y + size
             k += size - ANCHOR + 1 if k + size - ANCHOR + 1 <= len(froms) and froms[k + size - ANCHOR] == x + size - ANCHOR else 1
-    return 2 * covered / (a.n + b.n)
+    return 2 * covered / (a.n + b.n), begun
 
 
 def _first_places(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,11 +232,7 @@ def short(h: np.ndarray) -> np.ndarray:
 
     So the smallest hashes of a text keep as many telling bits however long it is.
     """
-    high, rest = np.zeros(len(h), np.uint64), h.copy()
-    for k in (32, 16, 8, 4, 2, 1):
-        over = rest >> np.uint64(k) > 0
-        high += over * np.uint64(k)
-        rest = np.where(over, rest >> np.uint64(k), rest)
+    high = np.searchsorted(TOPS, h, side="right").astype(np.uint64) - np.uint64(1)
     behind = h << (np.uint64(63) - high) << np.uint64(1) >> np.uint64(38)
     return (high << np.uint64(26) | behind).astype(np.uint32)
 
@@ -233,13 +243,17 @@ def fingerprint(n: int, whole: tuple[int, int], sketch: np.ndarray) -> str:
 
 def likeness(a: str, b: str) -> float:
     """The share of windows in common that two fingerprints show, from 0 to 1: twice those in both over those of either."""
-    if a == b:
-        return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f.rpartition(".")[2]), dtype=">u4").astype(np.uint32) for f in (a, b))
-    if not len(x) or not len(y):
+    return 1.0 if a == b else _shared(*(set(f[k : k + 8] for k in range(f.rindex(".") + 1, len(f), 8)) for f in (a, b)))
+
+
+def _shared(x: set[str], y: set[str]) -> float:
+    if not x or not y:
+        return 0.0
+    both = x & y
+    if not both:
         return 0.0
-    both = np.union1d(x, y)[:KEPT]
-    shared = float((np.isin(both, x) & np.isin(both, y)).sum() / len(both))
+    least = sorted(x | y)[:KEPT]  # hexadecimal digits of one length are in the order of their numbers
+    shared = sum(h in both for h in least) / len(least)
     return 2 * shared / (1 + shared)
 
 
@@ -264,7 +278,8 @@ def _beside(doc: _Document, nxt: _Document) -> tuple:
     edited = PrefixHash.spliced(doc.hash, keep, nxt.hash, take)
     mark = fingerprint(edited.n, edited.whole(), sketch_edited(doc.hash, keep, nxt.hash, take, edited))
     sha = hashlib.sha256((doc.text[:keep] + nxt.text[:take]).encode()).hexdigest()
-    return doc.hash.n, sha, doc.print, mark, likeness(doc.print, mark), likeness(doc.print, nxt.print), span_likeness(doc.hash, edited), span_likeness(doc.hash, nxt.hash), common_extension(doc.hash, 0, edited, 0), common_extension(doc.hash, 0, nxt.hash, 0)
+    (span_edited, begun_edited), (span_next, begun_next) = spans(doc.hash, edited), spans(doc.hash, nxt.hash)
+    return doc.hash.n, sha, doc.print, mark, likeness(doc.print, mark), likeness(doc.print, nxt.print), span_edited, span_next, begun_edited, begun_next
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
