@@ -12,20 +12,39 @@ from corpusloom.functions import lexicons as L
 UNITS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}
 
 
-def rolling(df: DataFrame, run: str, order: str, samples: str, clock: str, window: int, loss: str | None = None, log_every: int = 1, lengths: str | None = None, flops: str | None = None, world: int = 1, available: float | None = None) -> DataFrame:
+#: Rows of a run that one task takes; the rows before them that a window needs come along.
+BLOCK = 1 << 16
+
+
+def in_blocks(df: DataFrame, pos: str, before: int, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``_block``, ``block`` places of ``pos`` (dense, from 0) each, and ``_home``, a row's own block.
+
+    The last ``before`` rows of each block stand in the next one, too, so that windows over
+    (run, _block) are whole; rows whose ``_home`` isn't ``_block`` are dropped behind them.
+    """
+    if before > block:
+        raise ValueError(f"a window over {before} rows needs blocks of as many, not of {block}")
+    home = F.expr(f"cast({pos} AS bigint) div {block}")
+    both = F.when(F.pmod(F.col(pos), F.lit(block)) >= block - before, F.array(home, home + 1)).otherwise(F.array(home))
+    return df.withColumns({"_home": home, "_block": F.explode(both)})
+
+
+def rolling(df: DataFrame, run: str, order: str, samples: str, clock: str, window: int, loss: str | None = None, log_every: int = 1, lengths: str | None = None, flops: str | None = None, world: int = 1, available: float | None = None, block: int = BLOCK) -> DataFrame:
     """Rows whose window of ``window`` + 1 is full, with rates over it; a window without time has nulls.
 
-    samples_per_sec and batches_per_sec of one device; with ``lengths`` (running
+    ``order`` counts the rows of a run from 1. samples_per_sec and batches_per_sec of one device; with ``lengths`` (running
     total of tokens) tokens_per_sec and total_tokens of all ``world`` devices;
     with ``flops`` (of a batch on one device) flops_per_sec of all and, where the
     ``available`` figure of a device is known, the share ``mfu`` of it; with
-    ``loss`` its mean over ``log_every`` rows and the perplexity.
+    ``loss`` its mean over ``log_every`` rows and the perplexity. A run of any
+    length is dealt out in blocks.
     """
-    w = Window.partitionBy(run).orderBy(order)
+    w = Window.partitionBy(run, "_block").orderBy(order)
     full = w.rowsBetween(-window, 0)
     took = F.col(clock) - F.first(clock).over(full)
     seen = F.col(samples) - F.first(samples).over(full)
-    out = df.withColumns({"_n": F.count("*").over(full), "samples_per_sec": F.try_divide(seen, took), "batches_per_sec": F.try_divide(F.lit(window), took)})
+    rows = in_blocks(df.withColumn("_pos", F.col(order) - 1), "_pos", max(window, log_every - 1), block)
+    out = rows.withColumns({"_n": F.count("*").over(full), "samples_per_sec": F.try_divide(seen, took), "batches_per_sec": F.try_divide(F.lit(window), took)})
     if lengths:
         each = (F.col(lengths) - F.first(lengths).over(full)) / window
         out = out.withColumns({"tokens_per_sec": F.try_divide(seen * world, took) * each, "total_tokens": each * world * F.col(samples)})
@@ -37,7 +56,7 @@ def rolling(df: DataFrame, run: str, order: str, samples: str, clock: str, windo
     if loss:
         mean = F.avg(loss).over(w.rowsBetween(1 - log_every, 0))
         out = out.withColumns({"mean_loss": mean, "perplexity": F.exp(mean)})
-    return out.filter(F.col("_n") == window + 1).drop("_n")
+    return out.filter((F.col("_home") == F.col("_block")) & (F.col("_n") == window + 1)).drop("_n", "_pos", "_home", "_block")
 
 
 def elapsed(train: Column, valid: Column, unit: str = "seconds") -> dict[str, Column]:
@@ -57,8 +76,8 @@ def position_label(percent: Column, epoch: Column) -> Column:
     return F.format_string("%.1f%% of epoch %d", percent, epoch)
 
 
-def positions(df: DataFrame, by: str, order: str, width: int = 1 << 16) -> DataFrame:
-    """``df`` with ``pos``, a row's place from 0 within its group by a whole-number column, without a task for a whole group.
+def positions(df: DataFrame, by: str, order: str, width: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``pos``, a row's place from 0 within its group by a whole-number column, then ``ties``, without a task for a whole group.
 
     Rows are counted by ranges of ``width`` values; running totals over the ranges
     of a group and a rank within a range give the place.
@@ -68,7 +87,7 @@ def positions(df: DataFrame, by: str, order: str, width: int = 1 << 16) -> DataF
     upto = F.sum("_k").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
     counts = counts.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), (upto - F.col("_k")).alias("_before"))
     out = rows.join(counts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_range").eqNullSafe(F.col("_r")))
-    rank = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order))
+    rank = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order, *ties))
     return out.withColumn("pos", F.col("_before") + rank - 1).drop("_range", "_by", "_r", "_before")
 
 
@@ -80,8 +99,30 @@ def layer_class(model: Column) -> Column:
     return out
 
 
-def running_total(df: DataFrame, run: str, order: str, value: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+def running_total(df: DataFrame, run: str, order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """``df`` with the total of ``value`` so far; ``order`` counts the rows of a run from 1.
+
+    A prefix scan: sums of blocks, totals over the blocks before, and totals within a block.
+    """
+    rows = df.withColumn("_block", F.expr(f"cast({order} - 1 AS bigint) div {block}"))
+    before = Window.partitionBy("_run").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(F.col(run).alias("_run"), F.col("_block").alias("_b")).agg(F.sum(value).alias("_s")).withColumn("_before", F.sum("_s").over(before)).drop("_s")
+    out = rows.join(sums, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_block") == F.col("_b")))
+    own = F.sum(value).over(Window.partitionBy(run, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn(name, F.coalesce(own + F.col("_before"), own, F.col("_before"))).drop("_block", "_run", "_b", "_before")
+
+
+def metric_names(metrics: DataFrame, name: str, most: int = 10_000) -> list[str]:
+    """The distinct names of a long table of metrics, sorted; raises where there are too many for columns."""
+    found = [r[0] for r in metrics.select(name).filter(F.col(name).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} metrics can't be columns")
+    return sorted(found)
+
+
+def wide(metrics: DataFrame, name: str, value: str) -> DataFrame:
+    """A long table of metrics with a column for each name that occurs in it."""
+    return metrics.select("*", *[F.when(F.col(name) == k, F.col(value)).alias(k) for k in metric_names(metrics, name)]).drop(name, value)
 
 
 def merged_by_step(metrics: DataFrame, step: str, seq: str, names: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with ``QUERIES`` and ``ORACLES``.
-MODULES: tuple[str, ...] = ("profile", "tokens", "samples", "dialogues", "runs", "training", "report", "subwords")
+MODULES: tuple[str, ...] = ("profile", "tokens", "samples", "dialogues", "runs", "training", "report", "subwords", "languages", "streams")
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lexicons as L
@@ -19,9 +19,9 @@ MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
 def _iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as iterations of runs: the user is the run, cumulative samples and seconds, the value as loss."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("user_id", "event_id", long(F.row_number().over(w)).alias("iter"), F.expr(MICROS).alias("us"), (F.col("value") / 100).alias("loss"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(MICROS).alias("us"), (F.col("value") / 100).alias("loss"))
+    # Ranges of an hour
+    return T.positions(e, "user_id", "us", 3_600_000_000, ("event_id",)).select("user_id", "event_id", long(F.col("pos") + 1).alias("iter"), "us", "loss")
 
 
 def rolling_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def metric_merge_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.merged_by_step(wide, "step", "event_id", kinds)
 
 
+def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a column for each kind that occurs."""
+    e = table(spark, sf_dir, "events").select(F.expr(f"{MICROS} div 3600000000").alias("step"), "event_id", "event_type", "value")
+    return T.merged_by_step(T.wide(e, "event_type", "value"), "step", "event_id", T.metric_names(e, "event_type"))
+
+
 def validation_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg(F.col("value") / 100).alias("m"))
     return e.select("event_type", F.round("m", 9).alias("val_loss"), F.round(F.log(F.exp("m")), 9).alias("log_perplexity"))
@@ -207,12 +213,13 @@ _LABELLED = "text"
 for _label, _pattern in A.RULES:
     _LABELLED = f"regexp_replace({_LABELLED}, '{_pattern}', '[{_label}]', 'g')"
 
-QUERIES = {f.__name__: f for f in (rolling_throughput, rolling_loss_ppl, running_totals, metric_merge_by_step, validation_perplexity, batch_assignment, resume_slice, lr_schedule, validation_steps, step_plan, flops_lookup, defaults_overlay, ckpt_key_map, ckpt_coverage, ckpt_names, path_key_match, path_parts, json_text_extract, json_pretty_text, pii_label, pii_counts, pii_random, html_text_profile)}
+QUERIES = {f.__name__: f for f in (rolling_throughput, rolling_loss_ppl, running_totals, metric_merge_by_step, metric_table, validation_perplexity, batch_assignment, resume_slice, lr_schedule, validation_steps, step_plan, flops_lookup, defaults_overlay, ckpt_key_map, ckpt_coverage, ckpt_names, path_key_match, path_parts, json_text_extract, json_pretty_text, pii_label, pii_counts, pii_random, html_text_profile)}
 
 ORACLES = {
     "rolling_throughput": f"WITH {_IT}, w AS (SELECT *, count(*) {_W.format(2)} AS n, iter * 8 - first_value(iter * 8) {_W.format(2)} AS ds, us / 1e6::DOUBLE - first_value(us / 1e6::DOUBLE) {_W.format(2)} AS dt FROM it) SELECT user_id, iter, round(ds / nullif(dt, 0), 9) AS samples_per_sec FROM w WHERE n = 3",
     "rolling_loss_ppl": f"WITH {_IT}, w AS (SELECT *, count(*) {_W.format(2)} AS n, avg(loss) {_W.format(2)} AS m FROM it) SELECT user_id, iter, round(m, 9) AS mean_loss, round(ln(exp(m)), 9) AS log_perplexity FROM w WHERE n = 3 AND iter % 2 = 0",
     "running_totals": f"WITH {_IT} SELECT user_id, iter, round(sum(loss) OVER (PARTITION BY user_id ORDER BY iter ROWS UNBOUNDED PRECEDING), 6) AS total, iter // 4 AS optimizer_step FROM it",
+    "metric_table": "SELECT * FROM (PIVOT (SELECT epoch_us(ts) // 3600000000 AS step, event_id, event_type, value FROM events) ON event_type USING max_by(value, event_id) GROUP BY step)",
     "metric_merge_by_step": "SELECT epoch_us(ts) // 3600000000 AS step, " + ", ".join(f"max_by(value, event_id) FILTER (event_type = '{k}') AS {k}" for k in _KINDS) + " FROM events GROUP BY 1",
     "validation_perplexity": "SELECT event_type, round(avg(value / 100), 9) AS val_loss, round(ln(exp(avg(value / 100))), 9) AS log_perplexity FROM events GROUP BY 1",
     "batch_assignment": f"WITH {_B} SELECT source, doc_id, batch, (batch + 1) // 4 AS step FROM b",

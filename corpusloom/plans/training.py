@@ -37,9 +37,9 @@ def rolling_flops_mfu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def elapsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of training and validation (every third iteration counts as one) so far, in each unit."""
-    it = _iterations(spark, sf_dir).withColumn("train", F.when(F.col("iter") % 3 != 0, F.col("loss")).otherwise(0)).withColumn("val", F.when(F.col("iter") % 3 == 0, F.col("loss")).otherwise(0))
-    it = T.running_total(T.running_total(it, "user_id", "iter", "train", "t"), "user_id", "iter", "val", "v")
-    out = it.groupBy("user_id").agg(F.max("t").alias("t"), F.max("v").alias("v"))
+    third = F.col("iter") % 3 == 0
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("loss"))), F.lit(0.0))
+    out = _iterations(spark, sf_dir).groupBy("user_id").agg(total(~third).alias("t"), total(third).alias("v"))
     units = [F.struct(F.lit(u).alias("unit"), *[F.round(c, 9).alias(n) for n, c in T.elapsed(F.col("t"), F.col("v"), u).items()]) for u in T.UNITS]
     return out.select("user_id", F.inline(F.array(*units)))
 
