@@ -61,17 +61,6 @@ def training_settings(*paths: str) -> dict:
     return out
 
 
-def kind_of(config: dict) -> str | None:
-    """What a configuration without a task looks like: training, tokenization or neither."""
-    data = config.get("dataset") if isinstance(config.get("dataset"), dict) else {}
-    if isinstance(config.get("tokenizer"), dict) and "task" in config["tokenizer"] or sum(k in config for k in ("tokenizer", "output", "max_length", "stride", "overlap")) >= 2:
-        return "tokenization"
-    training = ("model_name", "number_epochs", "batch_size", "lr", "parallelization_strategy", "logging_config", "gradient_accumulation", "validate_after_epoch")
-    if sum(k in config for k in training) >= 3 or "source" in data or "nameOrPath" in data:
-        return "training"
-    return None
-
-
 def read(path: str) -> dict:
     """A configuration from JSON, or from YAML where a reader for it is installed."""
     text = Path(path).read_text(encoding="utf-8")

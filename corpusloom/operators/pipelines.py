@@ -90,7 +90,8 @@ def dataset_merge(spark: SparkSession, config: dict) -> DataFrame:
     keyed = [d.withColumn("row_id", F.sha2(F.to_json(F.struct(*d.columns)), 256)) for d in sets]
     out = sampling.merge(keyed, "row_id", [d["percentage"] for d in config["datasets"]], seed)
     final = config.get("final_shuffle_seed")
-    out = sampling.shuffled(out, "row_id", seed + 999 if final is None else final, exact_order=False)
+    final = seed + 999 if final is None else final
+    out = sampling.shuffled_splits(out, "row_id", final) if "split" in out.columns else sampling.shuffled(out, "row_id", final, exact_order=False)
     files.save(out, config["output_path"])
     return out
 

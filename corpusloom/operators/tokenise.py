@@ -26,17 +26,22 @@ def vocabulary(docs: DataFrame, text: str, size: int) -> DataFrame:
     return top.select((rank + len(SPECIAL) - 1).cast("int").alias("token_id"), "word", "n")
 
 
-def encode(docs: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
-    """``docs`` with ``ids``; the vocabulary's size is a parameter, so workers hold all of it."""
+def encode(docs: DataFrame, text: str, vocab: DataFrame, first: int | None = None) -> DataFrame:
+    """``docs`` with ``ids``, of all words or of the ``first`` ones; the vocabulary's size is a parameter, so workers hold all of it."""
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: r["token_id"] for r in vocab.select("word", "token_id").collect()})
-    rows = docs.withColumn("_words", X.words(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    words = X.words(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    rows = docs.withColumn("_words", words if first is None else F.slice(words, 1, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
         for batch in batches:
             words = batch.column("_words")
-            flat = np.fromiter((get(w, UNK) for w in words.values.to_pylist()), dtype=np.int32) if len(words.values) else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(words.offsets, pa.array(flat, pa.int32()))
+            # A word is looked up once a batch.
+            coded = words.flatten().dictionary_encode()
+            known_ids = np.fromiter((get(w, UNK) for w in coded.dictionary.to_pylist()), dtype=np.int32, count=len(coded.dictionary))
+            flat = known_ids[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
+            offsets = words.offsets.to_numpy()
+            ids = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(flat, pa.int32()))
             kept = [c for c in batch.schema.names if c != "_words"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids], names=[*kept, "ids"])
 
@@ -44,6 +49,13 @@ def encode(docs: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def decode(encoded: DataFrame, vocab: DataFrame, name: str = "words", unknown: str = "[UNK]") -> DataFrame:
+    """``encoded`` with the word of each of its ``ids``, looked up in place: ids count the vocabulary's rows behind the special ones."""
+    listed = vocab.agg(F.array_sort(F.collect_list(F.struct("token_id", "word"))).alias("_vocab"))  # one row of a size that is a parameter
+    words = F.transform("ids", lambda i: F.coalesce(F.get(F.col("_vocab.word"), i - len(SPECIAL)), F.lit(unknown)))
+    return encoded.join(F.broadcast(listed)).withColumn(name, words).drop("_vocab")
+
+
 def causal_chunks(encoded: DataFrame, length: int, overlap: int, pad: int = PAD) -> DataFrame:
     """A row for each window: chunk, start, input_ids, attention_mask and labels of ``length``."""
     kept = [c for c in encoded.columns if c != "ids"]

@@ -248,6 +248,8 @@ ORACLES = {
     "top_sources": "WITH n AS (SELECT source, count(*) AS files FROM documents GROUP BY 1) SELECT CASE WHEN length(source) > 25 THEN left(source, 25) || '...' ELSE source END AS label, files, greatest((SELECT count(*) FROM n) - 15, 0)::BIGINT AS more FROM n ORDER BY files DESC, source LIMIT 15",
     "source_balance": "SELECT count(*) AS sources, max(n) / min(n) AS balance FROM (SELECT count(*) AS n FROM documents GROUP BY source)",
     "char_histogram": "SELECT char, count(*) AS n FROM (SELECT unnest(string_split(left(text, 1000), '')) AS char FROM documents) WHERE char <> '' GROUP BY 1",
+    "char_histogram_whole": "SELECT char, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS char FROM documents) WHERE char <> '' GROUP BY 1",
+    "word_length_hist_whole": f"SELECT length(w)::BIGINT AS length, count(*) AS n FROM (SELECT unnest({SQL.words('text')}) AS w FROM documents) GROUP BY 1",
     "word_length_hist": f"SELECT length(w)::BIGINT AS length, count(*) AS n FROM (SELECT unnest(({SQL.words('text')})[1:100]) AS w FROM documents) GROUP BY 1",
     "file_size_stats": "SELECT count(*) AS files, avg(length(text)) AS mean, quantile_cont(length(text), 0.5)::DOUBLE AS median, max(length(text))::BIGINT AS longest FROM documents",
     "file_size_hist50": "WITH s AS (SELECT length(text)::DOUBLE AS c FROM documents), e AS (SELECT min(c) AS lo, max(c) AS hi FROM s) SELECT least(floor((c - lo) * 50 / greatest(hi - lo, 1.0)), 49)::BIGINT AS bin, count(*) AS n FROM s, e GROUP BY 1",

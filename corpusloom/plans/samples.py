@@ -36,6 +36,11 @@ def shuffle_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", place(SEED, F.col("doc_id")).alias("place")).orderBy("place", "doc_id").limit(20)
 
 
+def permuted_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in a seeded permutation, told from its number alone."""
+    return S.with_place(_ids(spark, sf_dir), "doc_id", SEED).select("doc_id", "place")
+
+
 def train_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first int(n * 0.29) documents by id, with the double arithmetic of the ratio."""
     docs = _ids(spark, sf_dir)
@@ -47,8 +52,9 @@ def train_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = F.sum("c").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     counts = counts.withColumn("before", upto - F.col("c")).join(F.broadcast(edge))
     met = binned.join(F.broadcast(counts), "bin").filter("before < k")
-    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy("doc_id")))
-    return ranked.filter("before + r <= k").select("doc_id")
+    # Only the bin in which the size is met is ranked.
+    edge = met.filter("before + c > k").withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy("doc_id"))).filter("before + r <= k")
+    return met.filter("before + c <= k").select("doc_id").unionByName(edge.select("doc_id"))
 
 
 def train_valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +133,30 @@ _SCHEMA = {
     "conversations": {"conv_id": "BIGINT", "turn": "BIGINT", "role": "STRING", "text": "STRING"},
 }
 
-QUERIES = {f.__name__: f for f in (sample_per_source, seeded_shuffle_prefix, shuffle_top20, train_prefix, train_valid_split, stratified_split, undersample, oversample, merge_datasets, merge_contributions, schema_compat_matrix, distinct_keys, incremental_skip_existing)}
+def _permuted_sql() -> str:
+    """Rounds as nested expressions; what lands beyond goes through again, at most as often as there are numbers beyond."""
+    mixed = lambda x, k: f"list_transform([({x} * {S.MULTIPLIERS[0]} + {k}) % 2147483648], lambda y: xor((xor(y, y >> 15) * {S.MULTIPLIERS[1]}) % 2147483648, ((xor(y, y >> 15) * {S.MULTIPLIERS[1]}) % 2147483648) >> 13))[1]"
+    steps, names = [], ("l", "r")
+    for k, key in enumerate(S.round_keys(SEED)):
+        new = {"l": "l", "r": "r"}
+        own, other, size = ("r", "l", "b") if k % 2 else ("l", "r", "a")
+        new[own] = f"({own} + {mixed(other, key)}) % {size}"
+        steps.append(f"s{k + 1} AS (SELECT doc_id, pos, n, a, b, {', '.join(f'{new[x]} AS {x}' for x in names)} FROM s{k})")
+    last = f"s{S.ROUNDS}"
+    return f"""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+q AS (SELECT *, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM p), z AS (SELECT *, CASE WHEN n % a = 0 THEN n // a ELSE n // a + 1 END AS b FROM q),
+w AS (
+  SELECT 0 AS step, doc_id, pos, n, a, b FROM z
+  UNION ALL
+  SELECT * FROM (WITH s0 AS (SELECT step, doc_id, pos, n, a, b, pos // b AS l, pos % b AS r FROM w WHERE step = 0 OR pos >= n), {", ".join(x.replace("SELECT doc_id", "SELECT step, doc_id") for x in steps)}
+                 SELECT step + 1, doc_id, l * b + r, n, a, b FROM {last}))
+SELECT doc_id, pos::BIGINT AS place FROM w WHERE step > 0 AND pos < n"""
+
+
+QUERIES = {f.__name__: f for f in (sample_per_source, seeded_shuffle_prefix, shuffle_top20, permuted_places, train_prefix, train_valid_split, stratified_split, undersample, oversample, merge_datasets, merge_contributions, schema_compat_matrix, distinct_keys, incremental_skip_existing)}
 
 ORACLES = {
+    "permuted_places": _permuted_sql(),
     "sample_per_source": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= greatest(1, 100 // (SELECT count(DISTINCT source) FROM documents))",
     "seeded_shuffle_prefix": f"SELECT doc_id FROM {_ranked('doc_id', 'documents', SEED)} WHERE r <= floor(n * 0.15::DOUBLE)",
     "shuffle_top20": f"SELECT doc_id, md5('{SEED}-' || doc_id) AS place FROM documents ORDER BY 2, 1 LIMIT 20",

@@ -20,9 +20,9 @@ def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.vocabulary(table(spark, sf_dir, "documents"), "text", VOCAB)
 
 
-def _encoded(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def _encoded(spark: SparkSession, sf_dir: str, *columns: str, first: int | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
-    return T.encode(docs, "text", _vocab(spark, sf_dir)).drop("text")
+    return T.encode(docs, "text", _vocab(spark, sf_dir), first).drop("text")
 
 
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mlm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.mlm(_encoded(spark, sf_dir), "doc_id", LENGTH, VOCAB + 4, SEED)
+    return T.mlm(_encoded(spark, sf_dir, first=LENGTH), "doc_id", LENGTH, VOCAB + 4, SEED)
 
 
 def mlm_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +127,8 @@ def token_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tokens of each document as text again, as a digest; words beyond the vocabulary show as such."""
-    vocab = _vocab(spark, sf_dir)
-    e = _encoded(spark, sf_dir).select("doc_id", F.posexplode("ids").alias("at", "token_id"))
-    named = e.join(F.broadcast(vocab.select("token_id", "word")), "token_id", "left").select("doc_id", F.struct("at", F.coalesce("word", F.lit("[UNK]")).alias("w")).alias("z"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("z")), lambda z: z["w"]), " ")
-    return named.groupBy("doc_id").agg(long(F.count("*")).alias("tokens"), F.md5(text.cast("binary")).alias("decoded_md5"))
+    e = T.decode(_encoded(spark, sf_dir), _vocab(spark, sf_dir)).filter(F.size("ids") > 0)
+    return e.select("doc_id", long(F.size("ids")).alias("tokens"), F.md5(F.array_join("words", " ").cast("binary")).alias("decoded_md5"))
 
 
 def subword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,7 +234,6 @@ def test_rules_of_configurations(tmp_path):
     (tmp_path / "a.json").write_text('{"lr": 1, "batch_size": 2}')
     (tmp_path / "b.json").write_text('{"lr": 3}')
     assert config.training_settings(str(tmp_path / "a.json"), str(tmp_path / "missing.json"), str(tmp_path / "b.json")) == {"lr": 3, "batch_size": 2}
-    assert [config.kind_of(c) for c in (training, {"tokenizer": {"task": "x"}}, {"a": 1})] == ["training", "tokenization", None]
 
 
 def test_training_is_planned(spark, tmp_path):
@@ -253,7 +252,7 @@ def test_training_is_planned(spark, tmp_path):
 
 
 def test_info(capsys):
-    assert __main__.main(["--info"]) == 0 and "python_version: " in capsys.readouterr().out and __main__.cores() >= 1
+    assert __main__.main(["--info"]) == 0 and "Spark 4" in capsys.readouterr().out and __main__.cores() >= 1
 
 
 def test_units_and_schedules(spark):
