@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.sources import json_arrays
+from corpusloom.sources import shards as sharded
 
 #: Extensions that are read; the match is case-sensitive.
 EXTENSIONS = ("txt", "csv", "json", "jsonl")
@@ -106,11 +108,8 @@ def read_jsonl(spark: SparkSession, base: str | list[str], text_key: str | None
 
 
 def json_rows(spark: SparkSession, base: str | list[str]) -> DataFrame:
-    """The objects of JSON files as JSON texts, with their path; a file is one object or an array of them."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(_paths(base), wholetext=True)
-    whole = whole.select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("value"), F.col("_metadata.file_path").alias("path"))
-    many = F.from_json("value", "array<string>")
-    return whole.select(F.explode(F.when(F.startswith("value", F.lit("[")), many).otherwise(F.array("value"))).alias("value"), "path").filter("value IS NOT NULL")
+    """The objects of JSON files as JSON texts, with their path; a file is one object or an array of them, of any length."""
+    return json_arrays.elements(spark, _paths(base))
 
 
 def read_json(spark: SparkSession, base: str | list[str], text_key: str | None = None) -> DataFrame:
@@ -234,10 +233,10 @@ def load_training(spark: SparkSession, path: str, names: tuple[str, ...] = ("inp
 
 
 def save(df: DataFrame, path: str, shards: int | None = None, rows_per_file: int | None = None, shard_bytes: int | None = None) -> None:
-    """Writes a dataset, by split if it has one; ``shard_bytes`` bounds files by the mean size of rows as JSON."""
+    """Writes a dataset, by split if it has one; ``shard_bytes`` bounds the rows of a file by their sizes as JSON."""
     if shard_bytes:
-        mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 1
-        rows_per_file = min(rows_per_file or 1 << 62, max(1, int(shard_bytes // mean)))
+        sharded.save(df.repartition(shards) if shards else df, path, shard_bytes, "split" if "split" in df.columns else None)
+        return
     out = (df.repartition(shards) if shards else df).write.mode("errorifexists")
     if rows_per_file:
         out = out.option("maxRecordsPerFile", rows_per_file)
@@ -296,7 +295,7 @@ def write_samples(df: DataFrame, path: str, n: int = 10) -> None:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A saved dataset; without a split all rows are train."""
-    out = spark.read.parquet(path)
+    out = sharded.load(spark, path)
     return out if "split" in out.columns else out.withColumn("split", F.lit("train"))
 
 
