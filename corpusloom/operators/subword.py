@@ -2,6 +2,8 @@
 
 A back-end is chosen by the file's suffix; :func:`register` adds others. The
 padding id is the model's own, else that of its end, else one past the last id.
+A worker holds one bounded batch of rows, and what the library makes of about
+:data:`CHARS_AT_ONCE` characters of it.
 """
 
 from __future__ import annotations
@@ -11,11 +13,18 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.shared import at_a_time, small_arrow_batches
+
+#: Characters of texts that are encoded at a time, about: the library keeps some 50 bytes for each.
+CHARS_AT_ONCE = 1 << 18
+
 
 class Tokenizer(Protocol):
     """What a back-end offers. ``special`` has the ids that are never masked."""
@@ -55,7 +64,7 @@ class JsonTokenizer:
         self.special = tuple(sorted(i for i, t in self.lib.get_added_tokens_decoder().items() if t.special))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]  # the ids of encode_batch, without their offsets
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids, skip_special_tokens=False)
@@ -105,8 +114,11 @@ def tokenizer(path: str, backend: Callable[[str], Tokenizer] | None = None) -> T
     return (backend or BACKENDS[suffix])(path)
 
 
-def encode(docs: DataFrame, text: str, path: str, name: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` (null: none); the model file must lie at ``path`` on every worker."""
+def encode(docs: DataFrame, text: str, path: str, name: str = "ids", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the ids of ``text`` (null: none), without the text itself unless ``keep_text``; the model file must lie at ``path`` on every worker."""
+    small_arrow_batches(docs.sparkSession)
+    fields = [f for f in docs.schema.fields if f.name != name and (keep_text or f.name != text)]
+    kept = [f.name for f in fields]
     backend = BACKENDS.get(os.path.splitext(path)[1])
     tokenizer(path, backend)  # tells a missing file here
 
@@ -114,23 +126,30 @@ def encode(docs: DataFrame, text: str, path: str, name: str = "ids") -> DataFram
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         use = tokenizer(path, backend)
         for batch in batches:
-            ids = use.encode([t or "" for t in batch.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, name])
+            ids = [np.array(x, np.int32) for texts in at_a_time([t or "" for t in batch.column(text).to_pylist()], CHARS_AT_ONCE) for x in use.encode(texts)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.list_(pa.int32()))], names=[*kept, name])
+
+    return docs.drop(name).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+
 
-    return docs.drop(name).mapInArrow(run, T.StructType([*[f for f in docs.schema.fields if f.name != name], T.StructField(name, T.ArrayType(T.IntegerType()))]))
+def _lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The ids of each row (null: none), one row's numbers at a time."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return (flat[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True))
 
 
 def decode(rows: DataFrame, ids: str, path: str, name: str = "decoded", pieces: str | None = None) -> DataFrame:
     """``rows`` with the text of all ``ids`` and, under ``pieces``, the piece of each."""
     backend = BACKENDS.get(os.path.splitext(path)[1])
+    small_arrow_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = tokenizer(path, backend)
         for batch in batches:
-            lists = [x or [] for x in batch.column(ids).to_pylist()]
-            made = [pa.array([use.decode(x) for x in lists], pa.string())]
+            made = [pa.array([use.decode(x) for x in _lists(batch.column(ids))], pa.string())]
             if pieces:
-                made.append(pa.array([[use.piece(i) for i in x] for x in lists], pa.list_(pa.string())))
+                made.append(pa.array([[use.piece(i) for i in x] for x in _lists(batch.column(ids))], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, name, *[pieces] * bool(pieces)])
 
     fields = [T.StructField(name, T.StringType()), *(T.StructField(c, T.ArrayType(T.StringType())) for c in [pieces] if c)]

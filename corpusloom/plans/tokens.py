@@ -134,18 +134,18 @@ def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded by a public byte-level model and decoded again from all their ids: the text comes back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = subword.decode(subword.encode(docs, "text", subword_model()).drop("text"), "ids", subword_model())
+    out = subword.decode(subword.encode(docs, "text", subword_model(), keep_text=False), "ids", subword_model())
     return out.select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"))
 
 
 def subword_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, subword ids, windows and padding of each language; the library alone can tell the ids."""
+    """Documents, subword ids, windows and padding of each language; the library alone tells the ids, and all else follows from their numbers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    e = subword.encode(docs, "text", subword_model()).drop("text").withColumn("n", F.size("ids"))
-    pad = subword.tokenizer(subword_model()).pad
-    c = T.causal_chunks(e.select("doc_id", "lang", "ids"), LENGTH, OVERLAP, pad)
-    rows = c.groupBy("lang").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("windows"), long(F.sum(F.expr("size(filter(attention_mask, m -> m = 0))"))).alias("padding"))
-    return rows.join(e.groupBy("lang").agg(long(F.sum("n")).alias("ids")), "lang")
+    n = subword.encode(docs, "text", subword_model(), keep_text=False).select("doc_id", "lang", F.size("ids").cast("long").alias("n"))
+    more = F.expr(f"CASE WHEN n <= {LENGTH} THEN 0L ELSE (n - {LENGTH} + {STEP - 1}) div {STEP} END")
+    n = n.withColumn("windows", more + 1)
+    padding = F.col("windows") * LENGTH - F.col("n") - (F.col("windows") - 1) * OVERLAP
+    return n.groupBy("lang").agg(F.count_distinct("doc_id").alias("documents"), long(F.sum("windows")).alias("windows"), long(F.sum(padding)).alias("padding"), long(F.sum("n")).alias("ids"))
 
 
 def subword_model() -> str:
