@@ -3,7 +3,9 @@
 Fitting counts the trigrams of every labelled text by language and bucket, summed
 up in each task before they are shuffled; the weights follow in closed form. They
 are a table of languages x :data:`BUCKETS` numbers, whose size is a parameter, and
-go to the workers with the function that scores whole texts a batch at a time.
+go to the workers with the function that scores whole texts a batch at a time. A
+worker holds one bounded batch, and the trigrams of about :data:`CHARS_AT_ONCE`
+characters of it.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.shared import at_a_time, small_arrow_batches
+
 #: Buckets of trigrams; multipliers of their hash; what is added to each count.
 BUCKETS, HASH, SMOOTH = 8192, (1_000_003, 1_009), 0.5
 #: Neighbouring trigrams tell much the same, so a text counts as this many of them at most.
 EVIDENCE = 50
 UNKNOWN = "unknown"
+#: Characters whose trigrams are held at a time, about, some 80 bytes each; a longer text is taken alone.
+CHARS_AT_ONCE = 1 << 18
 
 
 def letters(text: Column) -> Column:
@@ -49,6 +55,10 @@ class Model:
 
     def detect(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text, the first of equal ones, and its probability."""
+        told = [self._detect(run) for run in at_a_time(texts, CHARS_AT_ONCE)]
+        return [x for names, _ in told for x in names], np.concatenate([np.zeros(0), *[sure for _, sure in told]])
+
+    def _detect(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         bucket, owner = trigrams(texts)
         n = np.bincount(owner, minlength=len(texts))
         if not self.languages:
@@ -62,20 +72,24 @@ class Model:
 
 def fit(docs: DataFrame, text: str, label: str) -> Model:
     """The model of all rows of ``docs`` that have a label."""
+    small_arrow_batches(docs.sparkSession)
     rows = docs.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), letters(F.col(text)).alias("letters"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            labels = batch.column("label").to_pylist()
-            names = {x: k for k, x in enumerate(dict.fromkeys(labels))}
-            bucket, owner = trigrams(batch.column("letters").to_pylist())
-            mine = np.array([names[x] for x in labels], np.int64)
-            counts = np.bincount(mine[owner] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-            for name, k in names.items():
-                # One more place for the number of texts.
-                held.setdefault(name, np.zeros(BUCKETS + 1, np.int64))[:-1] += counts[k]
-                held[name][-1] += int((mine == k).sum())
+            labels, at = batch.column("label").to_pylist(), 0
+            for texts in at_a_time(batch.column("letters").to_pylist(), CHARS_AT_ONCE):
+                own = labels[at : at + len(texts)]
+                at += len(texts)
+                names = {x: k for k, x in enumerate(dict.fromkeys(own))}
+                bucket, owner = trigrams(texts)
+                mine = np.array([names[x] for x in own], np.int64)
+                counts = np.bincount(mine[owner] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
+                for name, k in names.items():
+                    # One more place for the number of texts.
+                    held.setdefault(name, np.zeros(BUCKETS + 1, np.int64))[:-1] += counts[k]
+                    held[name][-1] += int((mine == k).sum())
         for name, n in held.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(n[at])], names=["label", "bucket", "n"])

@@ -1,9 +1,10 @@
 """What a Python worker holds at a time is bounded, and results don't depend on it."""
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from corpusloom.operators import subword, tokenise
+from corpusloom.operators import languages, subword, tokenise
 from corpusloom.plans import tokens
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +62,29 @@ def test_subword_counts_are_those_of_built_windows(spark, tmp_path):
     built = tokenise.causal_chunks(e, tokens.LENGTH, tokens.OVERLAP).groupBy("lang").agg(F.count("*"), F.sum(F.expr("size(filter(attention_mask, m -> m = 0))"))).collect()
     assert {(lang, r["windows"], r["padding"]) for lang, r in got.items()} == {tuple(r) for r in built} and None in got
     assert {(r[0], r[1], r[2]) for r in e.groupBy("lang").agg(F.count_distinct("doc_id"), F.sum(F.size("ids"))).collect()} == {(lang, r["documents"], r["ids"]) for lang, r in got.items()}
+
+
+def test_languages_hold_a_bounded_run_of_characters(wide_batches, monkeypatch):
+    docs = wide_batches.range(6000, numPartitions=1).select(F.when(F.col("id") % 2 == 0, F.lit("de")).otherwise(F.lit("en")).alias("lang"), F.repeat(F.when(F.col("id") % 2 == 0, "der hund und ").otherwise("the dog and "), 40).alias("text"))
+    real, most = languages.trigrams, languages.CHARS_AT_ONCE
+
+    def bounded(texts):
+        if sum(map(len, texts)) > most:
+            raise AssertionError("too many characters at once")
+        return real(texts)
+
+    # The functions that go to the workers are pickled with what they call.
+    monkeypatch.setattr(languages, "trigrams", bounded)
+    cloudpickle.register_pickle_by_value(languages)
+    try:
+        model = languages.fit(docs, "text", "lang")
+        right = docs.select((languages.detected(F.col("text"), model)["lang"] == F.col("lang")).alias("right"))
+        assert model.languages == ("de", "en") and right.filter("right").count() == 6000
+        texts = ["der hund", "", "the dog and " * 30_000, "the dog", "x"] * 3
+        names, sure = model.detect(texts[:2] + texts[3:5])
+        assert model.detect([])[0] == [] and names[::2] == ["de", "en"]
+    finally:
+        cloudpickle.unregister_pickle_by_value(languages)
+    monkeypatch.undo()
+    names, sure = model.detect(texts)
+    assert (names, sure.tolist()) == tuple(list(x) for x in zip(*[(n[0], s[0]) for n, s in (model.detect([t]) for t in texts)], strict=True))
