@@ -99,11 +99,19 @@ def anonymised(text: Column, method: str, rules: list[tuple[str, str]], seed: in
         if method == "label":
             out = F.regexp_replace(out, pattern, f"[{label}]")
         elif method in ("random", "intelligent"):
-            found, gaps = F.regexp_extract_all(out, F.lit(pattern), F.lit(0)), F.split(out, pattern, -1)
-            out = F.array_join(F.zip_with(gaps, found, _replacing(label, method, seed)), "")
+            # A variable of transform is the text as the rules before left it: named there, it is worked out once, not once for each mention.
+            out = F.transform(F.array(out), _replaced(label, pattern, method, seed))[0]
     return out
 
 
+def _replaced(label: str, pattern: str, method: str, seed: int):
+    def replace(text: Column) -> Column:
+        found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps, found, _replacing(label, method, seed)), "")).otherwise(text)
+
+    return replace
+
+
 def _replacing(label: str, method: str, seed: int):
     return lambda gap, match: F.concat(gap, F.coalesce(_surrogate(match, label, method, seed), F.lit("")))
 
