@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.functions import tokens as K
+from corpusloom.shared import small_arrow_batches
 
 PAD, UNK, EOS, MASK = 0, 1, 2, 3
 SPECIAL = [PAD, UNK, EOS, MASK]
@@ -26,11 +27,16 @@ def vocabulary(docs: DataFrame, text: str, size: int) -> DataFrame:
     return top.select((rank + len(SPECIAL) - 1).cast("int").alias("token_id"), "word", "n")
 
 
-def encode(docs: DataFrame, text: str, vocab: DataFrame, first: int | None = None) -> DataFrame:
-    """``docs`` with ``ids``, of all words or of the ``first`` ones; the vocabulary's size is a parameter, so workers hold all of it."""
+def encode(docs: DataFrame, text: str, vocab: DataFrame, first: int | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``ids``, of all words or of the ``first`` ones, without the text itself unless ``keep_text``.
+
+    The vocabulary's size is a parameter, so workers hold all of it, and one bounded batch of rows.
+    """
+    small_arrow_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast({r["word"]: r["token_id"] for r in vocab.select("word", "token_id").collect()})
     words = X.words(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.withColumn("_words", words if first is None else F.slice(words, 1, first))
+    fields = [f for f in docs.schema.fields if keep_text or f.name != text]
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in fields], (words if first is None else F.slice(words, 1, first)).alias("_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
@@ -45,8 +51,7 @@ def encode(docs: DataFrame, text: str, vocab: DataFrame, first: int | None = Non
             kept = [c for c in batch.schema.names if c != "_words"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids], names=[*kept, "ids"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, name: str = "words", unknown: str = "[UNK]") -> DataFrame:
@@ -59,9 +64,10 @@ def decode(encoded: DataFrame, vocab: DataFrame, name: str = "words", unknown: s
 def causal_chunks(encoded: DataFrame, length: int, overlap: int, pad: int = PAD) -> DataFrame:
     """A row for each window: chunk, start, input_ids, attention_mask and labels of ``length``."""
     kept = [c for c in encoded.columns if c != "ids"]
-    out = encoded.select(*kept, "ids", F.posexplode(K.window_starts("ids", length, overlap)).alias("chunk", "start"))
-    out = out.withColumn("_part", F.expr(f"slice(ids, start + 1, {length})"))
-    out = out.select(*kept, F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), K.padded("_part", str(length), pad).alias("input_ids"), K.attention("_part", str(length)).alias("attention_mask"))
+    # A row has the ids of its window alone: with all of the text's, long texts would grow by the square.
+    parts = F.transform(K.window_starts("ids", length, overlap), lambda start: F.struct(start.alias("start"), F.slice("ids", start + 1, F.lit(length)).alias("part")))
+    out = encoded.select(*kept, F.posexplode(parts).alias("chunk", "_window")).withColumn("_part", F.col("_window.part"))
+    out = out.select(*kept, F.col("chunk").cast("long").alias("chunk"), F.col("_window.start").cast("long").alias("start"), K.padded("_part", str(length), pad).alias("input_ids"), K.attention("_part", str(length)).alias("attention_mask"))
     return out.withColumn("labels", K.causal_labels("input_ids", "attention_mask"))
 
 

@@ -22,7 +22,7 @@ def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf_dir: str, *columns: str, first: int | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
-    return T.encode(docs, "text", _vocab(spark, sf_dir), first).drop("text")
+    return T.encode(docs, "text", _vocab(spark, sf_dir), first, keep_text=False)
 
 
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:

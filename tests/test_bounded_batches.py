@@ -88,3 +88,18 @@ def test_languages_hold_a_bounded_run_of_characters(wide_batches, monkeypatch):
     monkeypatch.undo()
     names, sure = model.detect(texts)
     assert (names, sure.tolist()) == tuple(list(x) for x in zip(*[(n[0], s[0]) for n, s in (model.detect([t]) for t in texts)], strict=True))
+
+
+def test_words_are_encoded_in_bounded_batches_without_their_text(wide_batches):
+    docs = wide_batches.createDataFrame([(1, "b a A"), (2, None)], "doc_id long, text string")
+    got = tokenise.encode(docs, "text", tokenise.vocabulary(docs, "text", 10), keep_text=False)
+    assert int(wide_batches.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    assert got.columns == ["doc_id", "ids"] and {tuple(r["ids"]) for r in got.collect()} == {(5, 4, 4), ()}
+
+
+def test_windows_of_a_long_text_do_not_carry_it(spark):
+    df = spark.range(1).select("id", F.sequence(F.lit(0), F.lit(99_999)).alias("ids"))
+    got = tokenise.causal_chunks(df, 64, 16)
+    generated = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line)
+    assert "posexplode(transform(" in generated
+    assert got.count() == 2083 and got.filter((F.col("input_ids")[0] != F.col("start")) | (F.size("input_ids") != 64) | (F.col("start") != F.col("chunk") * 48)).count() == 0
