@@ -1,10 +1,12 @@
-"""Byte-level byte-pair encoding with a public table of ranks, its work done once for each distinct word of a corpus.
+"""Byte-level byte-pair encoding with a public table of ranks, a frequent word's merges done once for the corpus.
 
 Texts are split into words by the model's pattern, with built-in functions. The
-distinct words of the corpus are counted, and each is merged once: neighbours
-with the lowest rank first, the leftmost of equal ones, from a heap. The ids come
-back to the texts by word: the most frequent ones by a broadcast of a size that is
-a parameter, in place; all others by a join of the texts' distinct rare words.
+words of the corpus are counted; the most frequent ones, of a number that is a
+parameter, are merged once and go to the workers, which put their ids in place:
+neighbours with the lowest rank first, the leftmost of equal ones, from a heap. A
+rare word is merged where it stands, once a batch: it hardly comes again, and to
+bring its ids there by a join would shuffle all texts. A worker holds what was
+broadcast and one bounded batch of rows.
 """
 
 from __future__ import annotations
@@ -12,15 +14,17 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.shared import written
+from corpusloom.shared import small_arrow_batches
 
 # The pattern that splits texts before the merges of the rank files.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,9 +71,14 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
-def vocabulary(docs: DataFrame, text: str, path: str) -> DataFrame:
-    """word, n (how often) and ids of all distinct words; the rank file must lie at ``path`` on every worker."""
-    counted = docs.select(F.explode(pieces(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def _counted(docs: DataFrame, text: str) -> DataFrame:
+    """How often each distinct word occurs, as n."""
+    return docs.select(F.explode(pieces(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _with_ids(words: DataFrame, path: str) -> DataFrame:
+    """The columns word and n with the ids of each word."""
+    small_arrow_batches(words.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(path)
@@ -77,77 +86,93 @@ def vocabulary(docs: DataFrame, text: str, path: str) -> DataFrame:
             ids = [merged(w.encode(), table) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    return counted.mapInArrow(run, "word string, n long, ids array<int>")
+    return words.mapInArrow(run, "word string, n long, ids array<int>")
 
 
-def encode(docs: DataFrame, text: str, path: str, name: str = "ids", resident: int = RESIDENT) -> DataFrame:
-    """``docs`` with the ids of ``text``."""
+def vocabulary(docs: DataFrame, text: str, path: str) -> DataFrame:
+    """word, n (how often) and ids of all distinct words; the rank file must lie at ``path`` on every worker."""
+    return _with_ids(_counted(docs, text), path)
+
+
+def encode(docs: DataFrame, text: str, path: str, name: str = "ids", resident: int = RESIDENT, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the ids of ``text``, without the text itself unless ``keep_text``."""
     spark = docs.sparkSession
     ranks(path)  # tells a missing file here
-    words = written(vocabulary(docs, text, path), "bpe-words")
-    often = words.orderBy(F.desc("n"), "word").limit(resident)
-    known = spark.sparkContext.broadcast({r["word"]: r["ids"] for r in often.select("word", "ids").collect()})
-    kept = [f for f in docs.schema.fields if f.name != name]
+    small_arrow_batches(spark)
+    often = _counted(docs, text).orderBy(F.desc("n"), "word").limit(resident).repartition(spark.sparkContext.defaultParallelism)
+    known = spark.sparkContext.broadcast(_Known.of([(r["word"], r["ids"]) for r in _with_ids(often, path).collect()]))  # at most ``resident`` rows
+    kept = [f for f in docs.schema.fields if f.name != name and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        use, table = known.value, ranks(path)
         for batch in batches:
-            ids, rare = _placed(batch.column("_pieces"), get)
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], ids, rare], names=[*[f.name for f in kept], name, "_rare"])
-
-    placed = docs.select(*[F.col(f"`{f.name}`") for f in kept], pieces(F.col(text)).alias("_pieces"))
-    ids_type, rare_type = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
-    placed = placed.mapInArrow(run, T.StructType([*kept, T.StructField(name, ids_type), T.StructField("_rare", rare_type)]))
-    if len(known.value) < resident:
-        return placed.drop("_rare")
-    placed = written(placed.withColumn("_row", F.monotonically_increasing_id()), "bpe-placed")
-    asked = placed.select("_row", F.posexplode("_rare").alias("k", "word"))
-    told = asked.join(words.select("word", F.col("ids").alias("_ids")), "word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("k", "_ids"))).alias("_told"))
-    filled = F.expr(f"flatten(transform(`{name}`, x -> CASE WHEN x >= 0 THEN array(x) ELSE _told[-1 - x]._ids END))")
-    out = placed.join(told, "_row", "left").withColumn(name, F.when(F.col("_told").isNull(), F.col(name)).otherwise(filled))
-    return out.drop("_row", "_rare", "_told")
-
-
-def _placed(words: pa.ListArray, get) -> tuple[pa.ListArray, pa.ListArray]:
-    """The ids of each text, with -1-k for the k-th of its distinct words that ``get`` doesn't know, and these words."""
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], _placed(batch.column("_pieces"), use, table)], names=[*[f.name for f in kept], name])
+
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], pieces(F.col(text)).alias("_pieces"))
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+
+
+@dataclass(frozen=True)
+class _Known:
+    """Where each word stands in starts and widths, which tell its ids in flat."""
+
+    at: dict[str, int]
+    starts: np.ndarray
+    widths: np.ndarray
+    flat: np.ndarray
+
+    @staticmethod
+    def of(words: list[tuple[str, list[int]]]) -> _Known:
+        widths = np.array([len(ids) for _, ids in words], np.int64)
+        return _Known({w: k for k, (w, _) in enumerate(words)}, np.cumsum(widths) - widths, widths, np.array([i for _, ids in words for i in ids], np.int32))
+
+
+def _placed(words: pa.ListArray, known: _Known, table: dict[bytes, int]) -> pa.ListArray:
+    """The ids of each text; words that are not ``known`` are merged here."""
     coded = words.flatten().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    lists = [get(w) for w in distinct]
+    place = np.fromiter((known.at.get(w, -1) for w in distinct), np.int64, len(distinct))
+    rare = np.flatnonzero(place < 0)
+    more = _Known.of([(distinct[k], merged(distinct[k].encode(), table)) for k in rare.tolist()])
+    place[rare] = len(known.at) + np.arange(len(rare))
+    starts = np.concatenate([known.starts, len(known.flat) + more.starts])[place]
+    widths = np.concatenate([known.widths, more.widths])[place]
+    flat = np.concatenate([known.flat, more.flat])
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(coded) else np.zeros(0, np.int64)
-    sizes = np.array([1 if x is None else len(x) for x in lists], np.int64)
-    flat = np.array([i for x in lists for i in ([-1] if x is None else x)], np.int32)
-    first = np.cumsum(sizes) - sizes
-    per = sizes[code]
+    per = widths[code]
     ends = np.cumsum(per)
-    ids = flat[np.repeat(first[code] - (ends - per), per) + np.arange(ends[-1] if len(ends) else 0)] if len(code) else np.zeros(0, np.int32)
-    offsets = words.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    rare: list[list[str]] = [[] for _ in range(len(words))]
-    unknown = np.array([x is None for x in lists], bool)
-    at = np.flatnonzero(unknown[code]) if len(code) else np.zeros(0, np.int64)
-    places: dict[tuple[int, int], int] = {}
-    for token, doc in zip(at.tolist(), (np.searchsorted(offsets, at, side="right") - 1).tolist(), strict=True):
-        c = int(code[token])
-        if (k := places.get((doc, c))) is None:
-            k = places[doc, c] = len(rare[doc])
-            rare[doc].append(distinct[c])
-        ids[ends[token] - 1] = -1 - k
-    cuts = np.concatenate([[0], ends])[offsets].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids, pa.int32())), pa.array(rare, pa.list_(pa.string()))
+    ids = flat[np.repeat(starts[code] - (ends - per), per) + np.arange(ends[-1])] if len(code) else np.zeros(0, np.int32)
+    cuts = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
 
 
 @lru_cache(maxsize=4)
-def parts(path: str) -> dict[int, bytes]:
-    return {i: b for b, i in ranks(path).items()}
+def parts(path: str) -> pa.Array:
+    """The bytes of each id."""
+    by_id = {i: b for b, i in ranks(path).items()}
+    return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.binary())
+
+
+def _joined(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The text of each row's ids; raises for an id that the table lacks."""
+    flat = table.take(ids.flatten())
+    if flat.null_count:
+        raise KeyError("ids beyond the rank file")
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat), b"")
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:  # some bytes are no UTF-8
+        return pa.array([b.decode("utf-8", "replace") for b in texts.to_pylist()], pa.string())
 
 
 def decode(rows: DataFrame, ids: str, path: str, name: str = "decoded") -> DataFrame:
     """``rows`` with the text of all ``ids`` (null: empty); bytes that are no UTF-8 show as replacement characters."""
+    small_arrow_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = parts(path)
         for batch in batches:
-            texts = [b"".join([table[i] for i in x or []]).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _joined(batch.column(ids), table)], names=[*batch.schema.names, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))

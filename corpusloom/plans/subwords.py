@@ -19,8 +19,8 @@ def model() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _encoded(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", *columns, "text"), "text", model())
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", model(), keep_text=False)
 
 
 def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that comes back from each document's ids, as a digest."""
-    return bpe.decode(_encoded(spark, sf_dir).drop("text"), "ids", model()).select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"))
+    return bpe.decode(_encoded(spark, sf_dir), "ids", model()).select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"))
 
 
 def bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ def bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, characters an id, and windows of 1024 ids with an overlap of 256 of each language; all follow from the numbers of ids."""
-    n = _encoded(spark, sf_dir, "lang").select("lang", long(F.size("ids")).alias("n"), long(F.length("text")).alias("c"))
+    docs = table(spark, sf_dir, "documents").select("lang", "text", long(F.length("text")).alias("c"))
+    n = bpe.encode(docs, "text", model(), keep_text=False).select("lang", long(F.size("ids")).alias("n"), "c")
     more = F.expr(f"CASE WHEN n <= {LENGTH} THEN 0L ELSE (n - {LENGTH} + {STEP - 1}) div {STEP} END")
     n = n.withColumn("windows", more + 1)
     return n.groupBy("lang").agg(long(F.sum("n")).alias("ids"), F.round(F.try_divide(F.sum("c"), F.sum("n")), 9).alias("chars_per_id"), long(F.sum("windows")).alias("windows"), long(F.sum(F.col("windows") * LENGTH - F.col("n") - (F.col("windows") - 1) * OVERLAP)).alias("padding"))

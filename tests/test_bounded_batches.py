@@ -4,8 +4,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from corpusloom.operators import languages, subword, tokenise
-from corpusloom.plans import tokens
+from corpusloom.operators import bpe, languages, subword, tokenise
+from corpusloom.plans import subwords, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,3 +103,16 @@ def test_windows_of_a_long_text_do_not_carry_it(spark):
     generated = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line)
     assert "posexplode(transform(" in generated
     assert got.count() == 2083 and got.filter((F.col("input_ids")[0] != F.col("start")) | (F.size("input_ids") != 64) | (F.col("start") != F.col("chunk") * 48)).count() == 0
+
+
+def test_rare_words_are_merged_where_they_stand(wide_batches):
+    docs = wide_batches.range(3000, numPartitions=1).withColumn("text", F.concat(F.lit("often seen "), F.sha2(F.col("id").cast("string"), 256)))
+    path = subwords.model()
+    got = bpe.encode(docs, "text", path, resident=10, keep_text=False)
+    assert got.columns == ["id", "ids"] and int(wide_batches.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    back = bpe.decode(got.withColumn("ids", F.when(F.col("id") != 1, F.col("ids"))), "ids", path)
+    assert back.join(docs, "id").filter(F.col("decoded") != F.when(F.col("id") != 1, F.col("text")).otherwise("")).count() == 0
+    halves = wide_batches.createDataFrame([(0, [bpe.ranks(path)["é".encode()[:1]]]), (1, [])], "id int, ids array<int>")
+    assert [r["decoded"] for r in bpe.decode(halves, "ids", path).orderBy("id").collect()] == ["�", ""]
