@@ -51,9 +51,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digest of what they decode to."""
-    out = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"), outputs=("ids", "decoded"))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Token ids of each document, the spans of their pieces in the text's UTF-8 bytes, and the digest of what the ids decode to."""
+    out = sentencepieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("personal data", personal_data), ("mixing sources", mixing), ("SentencePiece", encoding)]

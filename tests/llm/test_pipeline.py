@@ -166,3 +166,23 @@ def test_empty_table(spark):
         docs = corpus_pipeline.stored(stage(spark, docs, ""), "test")
         assert docs.count() == 0 and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").withColumn("x", F.lit(1)).count() == 0
+
+
+def test_encoding_tells_the_span_of_each_piece(spark):
+    import sentencepiece
+
+    import corpus_pipeline
+    from corpusloom.llm import sentencepieces
+
+    texts = ["Hello world,  two blanks\n\tand lines", "naïve café 日本語 😀 x", "▁ own marks ▁▁ here", "", None]
+    docs = spark.createDataFrame([(k, t, "en", None) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    for r in corpus_pipeline.encoding(spark, docs, "").collect():
+        text = texts[r["doc_id"]] or ""
+        data, pieces = text.encode(), lib.encode(text, return_type="proto").pieces
+        assert len(r["begins"]) == len(r["ends"]) == len(r["ids"]) == len(pieces)
+        covered = set()
+        for p, i, a, b in zip(pieces, r["ids"], r["begins"], r["ends"], strict=True):
+            covered.update(range(a, b))
+            assert p.id == i and (lib.is_byte(i) or data[a:b].decode() == p.surface)
+        assert covered == set(range(len(data)))
